@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,20 +14,32 @@ from pyspark.sql import types as T
 from newsloom.functions.text import WORD
 
 SHINGLE = 4
+CACHED_SHINGLES = 500_000
 
 
-def _vote(text: str) -> int:
-    """Majority vote per bit over the MD5 tails of all overlapping shingles."""
+class _Tails(dict):
+    """MD5 tail of a shingle, remembered: texts repeat the same few hundred thousand."""
+
+    def __missing__(self, shingle: str) -> bytes:
+        if len(self) >= CACHED_SHINGLES:
+            self.clear()
+        tail = self[shingle] = hashlib.md5(shingle.encode()).digest()[8:]
+        return tail
+
+
+def _vote(text: str, tails: _Tails) -> int:
+    """Majority vote per bit over the tails of all overlapping shingles."""
     n = max(len(text) - SHINGLE + 1, 1)
-    md5 = hashlib.md5
-    tails = b"".join([md5(text[i : i + SHINGLE].encode()).digest()[8:] for i in range(n)])
-    bits = np.unpackbits(np.frombuffer(tails, dtype=np.uint8).reshape(n, 8), axis=1)
+    packed = b"".join([tails[text[i : i + SHINGLE]] for i in range(n)])
+    bits = np.unpackbits(np.frombuffer(packed, dtype=np.uint8).reshape(n, 8), axis=1)
     majority = bits.sum(axis=0, dtype=np.int64) * 2 > n
     return int(np.packbits(majority).view(">i8")[0])
 
 
-def _votes(words: pd.Series) -> pd.Series:
-    return pd.Series([_vote(t) for t in words], dtype="int64")
+def _votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    tails = _Tails()
+    for words in batches:
+        yield pd.Series([_vote(t, tails) for t in words], dtype="int64")
 
 
 def simhash(text: Column) -> Column:

@@ -45,5 +45,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    for part in ("ingest","storage","reads"):
+    for part in ("ingest","storage","reads","dedup"):
         import_module(f"newsloom.registry.{part}")

@@ -11,11 +11,15 @@ def simhash_sql(source: str, text: str, name: str = "hashes") -> str:
     value = " + ".join(f"case when b{b} then {1 << b}::hugeint else 0 end" for b in range(64))
     return f"""words as (
         select id, regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}_]+', '', 'g') as w from {source}),
+    letters as (select id, length(w) as n, unnest(string_split(w, '')) as c,
+                       generate_subscripts(string_split(w, ''), 1) as i from words),
+    windows as (
+        select id, n, i, concat(c, lead(c, 1) over p, lead(c, 2) over p, lead(c, 3) over p) as g
+        from letters window p as (partition by id order by i)),
     shingles as (
-        select id, ('0x' || substr(md5(substr(w, cast(i as bigint), 4)), 17, 16))::ubigint as h
-        from (select id, w, unnest(range(1, greatest(length(w) - 3, 1) + 1)) as i from words)),
+        select id, ('0x' || substr(md5(g), 17, 16))::ubigint as h from windows where i <= greatest(n - 3, 1)),
     votes as (select id, {votes} from shingles group by id),
-    {name} as (
+    {name} as materialized (
         select id, cast(case when v >= 9223372036854775808::hugeint then v - 18446744073709551616::hugeint
                              else v end as bigint) as simhash
         from (select id, {value} as v from votes))

@@ -37,3 +37,13 @@ def collect_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     """All rows if there are at most ``max_rows``, else None. Never fetches more than that plus one."""
     rows = df.limit(max_rows + 1).collect()
     return rows if len(rows) <= max_rows else None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all task slots, if its input comes in fewer pieces than there are slots.
+
+    For costly per-row work on a small file that Spark cannot split. Large inputs
+    already have enough partitions and pass through without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
