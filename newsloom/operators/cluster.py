@@ -6,7 +6,9 @@ reachability, cluster hierarchy bottom up, choice of the most stable clusters.
 
 from __future__ import annotations
 
+import hashlib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -74,7 +76,7 @@ def reachability_tree(vectors: DataFrame, k: int, block_rows: int = TREE_BLOCK_R
     rows = cut_lineage(vectors_only(vectors, "article_id").join(core, "id"))
     blocks = max(1, math.ceil(rows.count() / block_rows))
 
-    def tree(_key, table: pa.Table) -> pa.Table:
+    def tree(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id").to_pylist(), dtype=object)
         a, b, w = spanning_tree(matrix(table.column("embedding")), table.column("core").to_numpy())
         return pa.table({"a": pa.array(ids[a], pa.string()), "b": pa.array(ids[b], pa.string()), "w": w})
@@ -131,31 +133,43 @@ class _Parts:
         self.finished.append((self.cluster[part], parent, float(stability), bool(chosen)))
         return max(stability, self.below[part])
 
-    def merge(self, a, b, w):
-        a, b = self.root(a), self.root(b)
-        density = 1.0 / max(w, MIN_DISTANCE)
-        big_a, big_b = self.cluster[a] is not None, self.cluster[b] is not None
-        if not big_a and big_b:
-            a, b, big_a, big_b = b, a, True, False
-        size = self.size[a] + self.size[b]
-        if big_a and big_b:
-            name = min(self.cluster[a], self.cluster[b]) + "+"
-            self.below[a] = self._close(a, density, name) + self._close(b, density, name)
-            self.cluster[a], self.mass[a] = name, size * density
-        elif big_a:
-            self._enter(b, self.cluster[a])
-            self.mass[a] += self.size[b] * density
+    def merge_level(self, ends: list[tuple], w: float):
+        """Adds all edges of one weight at once, so that the order among them does not matter."""
+        met: dict = {}
+        for a, b in ends:
+            a, b = self.root(a), self.root(b)
+            together = met.setdefault(a, {a}) | met.setdefault(b, {b})
+            for part in together:
+                met[part] = together
+        for pieces in {id(group): sorted(group) for group in met.values()}.values():
+            self._merge(pieces, 1.0 / max(w, MIN_DISTANCE))
+
+    def _merge(self, pieces: list, density: float):
+        clusters = [p for p in pieces if self.cluster[p] is not None]
+        small = [p for p in pieces if self.cluster[p] is None]
+        size = sum(self.size[p] for p in pieces)
+        top = clusters[0] if clusters else pieces[0]
+        if len(clusters) > 1:
+            names = "|".join(sorted(self.cluster[p] for p in clusters))
+            name = hashlib.md5(names.encode()).hexdigest()
+            self.below[top] = sum(self._close(p, density, name) for p in clusters)
+            self.cluster[top], self.mass[top] = name, size * density
+        elif clusters:
+            self.mass[top] += sum(self.size[p] for p in small) * density
         else:
-            self.members[a] = self.members[a] + self.members[b]
+            rows = [m for p in small for m in self.members[p]]
             if size >= self.min_size:
-                self.cluster[a] = min(self.members[a])
-                self.mass[a], self.below[a] = size * density, 0.0
-                self._enter(a, self.cluster[a])
-        self.parent[b] = a
-        self.size[a] = size
+                self.cluster[top], self.mass[top], self.below[top] = min(rows), size * density, 0.0
+            else:
+                self.members[top] = rows
+        if self.cluster[top] is not None:
+            for p in small:
+                self._enter(p, self.cluster[top])
+        for p in pieces:
+            self.parent[p] = top
+        self.size[top] = size
 
 
-NODE_SCHEMA = "node string, size bigint, members array<string>, cluster string, mass double, below double"
 STEP_SCHEMA = (
     "kind string, node string, size bigint, members array<string>, cluster string, mass double, "
     "below double, parent string, chosen boolean"
@@ -173,8 +187,12 @@ def _merge_slice(edges: DataFrame, state: DataFrame, labels: DataFrame, min_size
         nodes = nodes.astype({"cluster": object})
         nodes["cluster"] = nodes["cluster"].where(nodes["cluster"].notna(), None)
         parts = _Parts(nodes, min_size)
-        for e in pairs.sort_values(["w", "a", "b"]).itertuples(index=False):
-            parts.merge(e.a, e.b, e.w)
+        pairs = pairs.sort_values("w")
+        ends = list(zip(pairs["a"], pairs["b"]))
+        weights = pairs["w"].to_numpy()
+        levels = np.flatnonzero(np.diff(weights)) + 1
+        for lo, hi in zip([0, *levels], [*levels, len(weights)]):
+            parts.merge_level(ends[lo:hi], weights[lo])
         root = parts.root(nodes["node"].iloc[0])
         out = [
             ("part", root, int(parts.size[root]), parts.members[root], parts.cluster[root],
@@ -189,6 +207,30 @@ def _merge_slice(edges: DataFrame, state: DataFrame, labels: DataFrame, min_size
     )
 
 
+def _copies(tree: DataFrame, nodes: DataFrame, min_size: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The level of distance 0: ``part_of`` (node, part), the state of the parts, and the rows
+    that enter a cluster there. Rows of equal vectors may be any share of all rows, so they are
+    joined as a table and reach a task of the hierarchy as one part."""
+    labels = spanning_forest(tree.where("w <= 0"))[1]
+    part_of = cut_lineage(
+        nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("part"))
+    )
+    sizes = part_of.groupBy("part").agg(F.count("*").alias("size"))
+    large = F.col("size") >= min_size
+    listed = part_of.join(sizes.where(~large).select("part"), "part", "left_semi")
+    members = listed.groupBy("part").agg(F.collect_list("node").alias("members"))
+    state = sizes.join(members, "part", "left").select(
+        F.col("part").alias("node"),
+        "size",
+        F.coalesce("members", F.array().cast("array<string>")).alias("members"),
+        F.when(large, F.col("part")).alias("cluster"),
+        F.when(large, F.col("size") / F.lit(MIN_DISTANCE)).otherwise(F.lit(0.0)).alias("mass"),
+        F.lit(0.0).alias("below"),
+    )
+    rows = part_of.join(sizes.where(large).select("part"), "part", "left_semi")
+    return part_of, cut_lineage(state), rows.select("node", F.col("part").alias("cluster"))
+
+
 def hierarchy(tree: DataFrame, min_size: int, slice_edges: int = SLICE_EDGES) -> tuple[DataFrame, DataFrame]:
     """``(node, cluster)`` for rows that enter a cluster, and ``(cluster, parent, chosen)``
     for every cluster that ends in a merge. The last cluster of a tree, the root, never ends and is
@@ -198,72 +240,43 @@ def hierarchy(tree: DataFrame, min_size: int, slice_edges: int = SLICE_EDGES) ->
     unconnected parts are processed side by side.
     """
     tree = cut_lineage(tree)
-    n = tree.count()
-    slices = max(1, math.ceil(n / slice_edges))
-    cuts = []
+    nodes = tree.select(F.col("a").alias("node")).union(tree.select(F.col("b").alias("node"))).distinct()
+    part_of, state, first_rows = _copies(tree, nodes, min_size)
+    tree = tree.where("w > 0")
+    slices = max(1, math.ceil(tree.count() / slice_edges))
+    cuts: list[float] = []
     if slices > 1:
         shares = [i / slices for i in range(1, slices)]
         cuts = sorted(set(tree.approxQuantile("w", shares, 0.1 / slices)))
-    nodes = tree.select(F.col("a").alias("node")).union(tree.select(F.col("b").alias("node"))).distinct()
-    state = nodes.select(
-        "node",
-        F.lit(1).cast("bigint").alias("size"),
-        F.array("node").alias("members"),
-        F.lit(None).cast("string").alias("cluster"),
-        F.lit(0.0).alias("mass"),
-        F.lit(0.0).alias("below"),
-    )
-    part_of = None
-    rows, finished = [], []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        edges = tree
-        if low is not None:
-            edges = edges.where(F.col("w") > low)
-        if high is not None:
-            edges = edges.where(F.col("w") <= high)
-        if part_of is not None:
-            pa_, pb = (part_of.select(F.col("node").alias(c), F.col("part").alias("p" + c)) for c in ("a", "b"))
-            edges = (
-                edges.join(pa_, "a", "left")
-                .join(pb, "b", "left")
-                .select(F.coalesce("pa", "a").alias("a"), F.coalesce("pb", "b").alias("b"), "w")
-            )
-        edges = cut_lineage(edges)
-        if slices == 1:
-            # a tree in one slice of bounded size: one group
-            labels = nodes.select("node", F.lit("all").alias("component"))
-            if tree.count() != nodes.count() - 1:
-                labels = spanning_forest(edges)[1]
-        else:
+    rows, finished = [first_rows], []
+    for low, high in zip([0.0, *cuts], [*cuts, math.inf]):
+        ends = [part_of.select(F.col("node").alias(c), F.col("part").alias("p" + c)) for c in ("a", "b")]
+        edges = cut_lineage(
+            tree.where((F.col("w") > low) & (F.col("w") <= high))
+            .join(ends[0], "a")
+            .join(ends[1], "b")
+            .select(F.col("pa").alias("a"), F.col("pb").alias("b"), "w")
+        )
+        if cuts:
             labels = cut_lineage(spanning_forest(edges)[1])
+        else:
+            # one slice, and the tree connects everything: one group of bounded size
+            labels = state.select("node", F.lit("all").alias("component"))
         step = cut_lineage(_merge_slice(edges, state, labels, min_size))
         rows.append(step.where("kind = 'row'").select("node", "cluster"))
         finished.append(step.where("kind = 'cluster'").select("cluster", "parent", "chosen"))
-        if slices == 1:
+        if high == math.inf:
             break
         parts = step.where("kind = 'part'").select("node", "size", "members", "cluster", "mass", "below")
-        # the part of a group is named after one of its nodes
-        renamed = (
-            labels.join(
-                parts.select(F.col("node").alias("part")).join(
-                    labels.withColumnRenamed("node", "part"), "part"
-                ),
-                "component",
-            ).select("node", "part")
+        # a group goes on under the name of one of its parts
+        heads = parts.select(F.col("node").alias("to")).join(labels.withColumnRenamed("node", "to"), "to")
+        moved = labels.join(heads, "component").select(F.col("node").alias("part"), "to")
+        part_of = cut_lineage(
+            part_of.join(moved, "part", "left").select("node", F.coalesce("to", "part").alias("part"))
         )
-        if part_of is None:
-            part_of = cut_lineage(renamed)
-        else:
-            moved = renamed.select(F.col("node").alias("part"), F.col("part").alias("to"))
-            kept = part_of.join(moved, "part", "left").select("node", F.coalesce("to", "part").alias("part"))
-            fresh = renamed.join(part_of.select("node"), "node", "left_anti")
-            part_of = cut_lineage(kept.unionByName(fresh))
         untouched = state.join(labels.select("node"), "node", "left_anti")
         state = cut_lineage(untouched.unionByName(parts))
-    all_rows, all_finished = rows[0], finished[0]
-    for more_rows, more_finished in zip(rows[1:], finished[1:]):
-        all_rows, all_finished = all_rows.unionByName(more_rows), all_finished.unionByName(more_finished)
-    return all_rows, all_finished
+    return reduce(DataFrame.unionByName, rows), reduce(DataFrame.unionByName, finished)
 
 
 def chosen_clusters(finished: DataFrame) -> DataFrame:

@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.session import cut_lineage
 
+# Edges that one task sorts and joins in memory.
+FINISH_EDGES = 100_000
+
 
 def _jump_to_roots(parents: DataFrame) -> DataFrame:
     """``(comp, root)`` from ``(comp, parent)`` by pointer jumping, log of the depth rounds."""
@@ -30,9 +34,38 @@ def _jump_to_roots(parents: DataFrame) -> DataFrame:
             return links.select("comp", F.col("parent").alias("root"))
 
 
-def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _finish(live: DataFrame) -> DataFrame:
+    """The rest of the work on few edges, in one task: picked edges and ``(comp, root)`` rows."""
+
+    def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
+        top: dict = {}
+
+        def find(x):
+            top.setdefault(x, x)
+            while top[x] != x:
+                top[x] = top[top[x]]
+                x = top[x]
+            return x
+
+        picked = []
+        for e in pdf.sort_values(["w", "a", "b"]).itertuples(index=False):
+            x, y = find(e.ca), find(e.cb)
+            if x != y:
+                top[max(x, y)] = min(x, y)
+                picked.append((e.a, e.b, e.w, None, None))
+        roots = [(None, None, None, c, find(c)) for c in list(top)]
+        return pd.DataFrame(picked + roots, columns=["a", "b", "w", "comp", "root"])
+
+    one = live.withColumn("all", F.lit(1))
+    return one.groupBy("all").applyInPandas(kruskal, "a string, b string, w double, comp string, root string")
+
+
+def spanning_forest(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> tuple[DataFrame, DataFrame]:
     """Edges ``(a, b, w)`` of a minimum spanning forest, and ``(node, component)`` for
-    every node that has an edge; a component is named after its smallest node."""
+    every node that has an edge; a component is named after its smallest node.
+
+    Once at most ``finish_edges`` edges are left between components, one task completes the work.
+    """
     ordered = edges.where("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "w"
     )
@@ -41,7 +74,13 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = live.select(F.col("a").alias("node")).union(live.select(F.col("b").alias("node"))).distinct()
     labels = cut_lineage(nodes.select("node", F.col("node").alias("comp")))
     picked: list[DataFrame] = []
-    while not live.isEmpty():
+    while n_live := live.count():
+        if n_live <= finish_edges:
+            rest = cut_lineage(_finish(live))
+            picked.append(rest.where("comp is null").select("a", "b", "w"))
+            roots = rest.where("comp is not null").select("comp", "root")
+            labels = labels.join(roots, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp"))
+            break
         edge = F.struct("w", "a", "b")
         ends = live.select(F.col("ca").alias("comp"), F.struct(edge.alias("e"), F.col("cb").alias("to")).alias("pick"))
         ends = ends.union(live.select(F.col("cb"), F.struct(edge.alias("e"), F.col("ca").alias("to"))))
