@@ -45,5 +45,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    for part in ("ingest", "storage", "reads", "dedup", "similarity", "stories", "questions"):
+    for part in ("ingest", "storage", "reads", "dedup", "similarity", "stories", "questions", "streams"):
         import_module(f"newsloom.registry.{part}")

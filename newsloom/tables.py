@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,33 +93,50 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
-# Articles and vectors are read by ingest window, so days become directories.
-PARTITIONED_BY_DAY = {"articles": "ingested_at"}
+# What hangs on an article is laid out by its ingest day: windows read few directories, and
+# retention drops whole ones. Below the day, each run has a directory of its own, so that
+# a repeated run replaces its output.
+BY_DAY = ("articles", "vectors", "entities", "article_clusters")
+LAYOUT = {
+    **{name: (("ingest_date", T.DateType()), ("batch", T.LongType())) for name in BY_DAY},
+    "feeds": (),
+    "clusters": (("version", T.LongType()),),
+    "ingestion_log": (("batch", T.LongType()),),
+}
 
 
-def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite") -> None:
-    """Write one table below ``root``; ``articles`` is laid out by ingest day, and an
-    overwrite then replaces only the days present in ``df``."""
-    out = conform(df, SCHEMAS[name])
-    target = f"{root}/{name}"
-    day_of = PARTITIONED_BY_DAY.get(name)
-    if day_of is None:
-        out.write.mode(mode).parquet(target)
-        return
-    out = out.withColumn("ingest_date", F.to_date(day_of))
+def write_part(df: DataFrame, root: str, name: str, **keys: Column) -> None:
+    """Add ``df`` to a stored table, replacing the directories named by its partition keys."""
+    layout = [key for key, _ in LAYOUT[name]]
+    data = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
+    extra = [keys.get(key, F.col(key)).cast(kind).alias(key) for key, kind in LAYOUT[name]]
+    out = df.select(*data, *extra)
     (
-        out.write.mode(mode)
+        out.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("ingest_date")
-        .parquet(target)
+        .partitionBy(*layout)
+        .parquet(f"{root}/{name}")
     )
 
 
+def init_tables(spark: SparkSession, root: str, feeds: DataFrame) -> None:
+    """An empty store with the given feed list."""
+    for name, schema in SCHEMAS.items():
+        if name == "feeds":
+            conform(feeds, schema).write.mode("errorifexists").parquet(f"{root}/{name}")
+            continue
+        stored = T.StructType([*schema.fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
+        keys = [k for k, _ in LAYOUT[name]]
+        spark.createDataFrame([], stored).write.mode("errorifexists").partitionBy(*keys).parquet(f"{root}/{name}")
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    schema = SCHEMAS[name]
-    if name in PARTITIONED_BY_DAY:
-        schema = T.StructType([*schema.fields, T.StructField("ingest_date", T.DateType())])
-    return spark.read.schema(schema).parquet(f"{root}/{name}")
+    """A stored table with its partition columns; of ``clusters`` the last version."""
+    schema = T.StructType([*SCHEMAS[name].fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
+    df = spark.read.schema(schema).parquet(f"{root}/{name}")
+    if name == "clusters":
+        return df.where(F.col("version") == df.agg(F.max("version").alias("v")).scalar()).drop("version")
+    return df
 
 
 def read_tables(spark: SparkSession, root: str) -> NewsTables:
