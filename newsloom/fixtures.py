@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from newsloom.session import spread
+
 AS_OF_TEXT = "2024-01-31 00:00:00"
 BASE_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -187,13 +189,17 @@ def base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One derived table; timestamps as instants (UTC)."""
+def derived(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False) -> DataFrame:
+    """One derived table; timestamps as instants (UTC). ``parallel`` is for costly work per
+    row: it deals an unsplittable text file out to all task slots."""
     for table in BASE_TABLES:
         if table in DERIVED[name]:
-            base(spark, sf_dir, table).createOrReplaceTempView(table)
+            scan = base(spark, sf_dir, table)
+            if parallel and table in ("documents", "pages"):
+                scan = spread(scan)
+            scan.createOrReplaceTempView(table)
     for needed in DEPENDS.get(name, []):
-        derived(spark, sf_dir, needed).createOrReplaceTempView(needed)
+        derived(spark, sf_dir, needed, parallel).createOrReplaceTempView(needed)
     df = spark.sql(DERIVED[name])
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":

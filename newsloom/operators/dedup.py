@@ -8,13 +8,18 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.merge import insertable_articles
 from newsloom.operators.near_hash import near_pairs
 from newsloom.session import cut_lineage
 
+# Hashes that one task compares in arrival order.
+FINISH_HASHES = 20_000
+
 
 def dedup_url(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows with an unknown URL, the first of each URL within the batch."""
@@ -31,6 +36,7 @@ def simhash_pairs(articles: DataFrame, t: int = 3) -> DataFrame:
 
     One row per article that has such an earlier one.
     """
+    articles = cut_lineage(articles.select("id", "ord", "simhash"))
     firsts = cut_lineage(first_per_hash(articles))
     left = firsts.select(F.col("simhash").alias("lh"))
     right = firsts.select(F.col("simhash").alias("rh"), F.struct("first", "simhash").alias("match"))
@@ -39,7 +45,7 @@ def simhash_pairs(articles: DataFrame, t: int = 3) -> DataFrame:
         .groupBy(F.col("lh").alias("simhash"))
         .agg(F.min("match").alias("match"))
     )
-    matched = articles.select("id", "ord", "simhash").join(best, "simhash")
+    matched = articles.join(best, "simhash")
     earlier = F.col("match.first") < F.struct("ord", "id")
     return matched.where(earlier).select(
         "id",
@@ -48,8 +54,8 @@ def simhash_pairs(articles: DataFrame, t: int = 3) -> DataFrame:
     )
 
 
-def _without_stored(firsts: DataFrame, recent: DataFrame, t: int) -> DataFrame:
-    """Hashes not near any stored one."""
+def _without_near(firsts: DataFrame, recent: DataFrame, t: int) -> DataFrame:
+    """Hashes not near any of ``recent``."""
     stored = recent.select(F.col("simhash").alias("rh")).distinct()
     n = max(firsts.count(), stored.count())
     near = near_pairs(firsts.select(F.col("simhash").alias("lh")), stored, t, n)
@@ -57,32 +63,54 @@ def _without_stored(firsts: DataFrame, recent: DataFrame, t: int) -> DataFrame:
     return firsts.join(hit, "simhash", "left_anti")
 
 
-def dedup_simhash(batch: DataFrame, recent: DataFrame | None = None, t: int = 3) -> DataFrame:
+def _greedy(undecided: DataFrame, t: int) -> DataFrame:
+    """The pass itself over at most ``FINISH_HASHES`` hashes, in one task."""
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        kept = np.empty(len(pdf), dtype=np.uint64)
+        n, places = 0, []
+        pdf = pdf.sort_values("place")
+        for place, h in enumerate(pdf["simhash"].to_numpy().view(np.uint64)):
+            if n == 0 or np.bitwise_count(kept[:n] ^ h).min() > t:
+                kept[n] = h
+                n += 1
+                places.append(place)
+        return pdf.iloc[places][["simhash"]]
+
+    # bounded rows, so one window over all of them is
+    placed = undecided.select("simhash", F.row_number().over(Window.orderBy("first")).alias("place"))
+    chosen = placed.groupBy().applyInPandas(keep, "simhash long")
+    return undecided.join(chosen, "simhash", "left_semi")
+
+
+def dedup_simhash(
+    batch: DataFrame, recent: DataFrame | None = None, t: int = 3, finish_hashes: int = FINISH_HASHES
+) -> DataFrame:
     """The rows a pass in arrival order keeps: no stored hash and no hash of an earlier
-    kept row is within ``t`` bits.
+    kept row is within ``t`` bits. ``batch`` has id, simhash and ord.
 
     Computed in rounds instead of row by row (Blelloch, Fineman, Shun 2012). In a
     round an undecided hash is dropped if an earlier one near it was kept last
     round, kept if no earlier one near it is undecided, and otherwise waits. Only
-    waiting rows enter the next round. ``batch`` has id, simhash and ord.
+    waiting hashes enter the next round; once at most ``finish_hashes`` are left,
+    one task completes the pass.
     """
     batch = batch.select("id", "simhash", "ord")
     undecided = cut_lineage(first_per_hash(batch))
     if recent is not None:
-        undecided = cut_lineage(_without_stored(undecided, recent, t))
+        undecided = cut_lineage(_without_near(undecided, recent, t))
     n = undecided.count()
-    just_kept = undecided.limit(0)
+    just_kept, n_kept = undecided.limit(0), 0
     kept: list[DataFrame] = []
-    while n:
+    while n > finish_hashes:
         left = undecided.select(F.col("simhash").alias("lh"), F.col("first").alias("l_first"))
         pool = undecided.withColumn("kept", F.lit(False)).unionByName(
             just_kept.withColumn("kept", F.lit(True))
         )
         right = pool.select(F.col("simhash").alias("rh"), F.col("first").alias("r_first"), "kept")
-        size = n if not kept else n + just_kept.count()
         earlier = F.col("r_first") < F.col("l_first")
         seen = (
-            near_pairs(left, right, t, size, earlier)
+            near_pairs(left, right, t, n + n_kept, earlier)
             .groupBy(F.col("lh").alias("simhash"))
             .agg(F.bool_or("kept").alias("near_kept"))
         )
@@ -90,7 +118,13 @@ def dedup_simhash(batch: DataFrame, recent: DataFrame | None = None, t: int = 3)
         just_kept = judged.where("near_kept is null").drop("near_kept")
         undecided = judged.where("not near_kept").drop("near_kept")
         kept.append(just_kept)
-        n = undecided.count()
+        n_kept, n = judged.agg(
+            F.count_if(F.col("near_kept").isNull()), F.count_if(~F.col("near_kept"))
+        ).first()
+    if n:
+        if kept:
+            undecided = cut_lineage(_without_near(undecided, just_kept, t))
+        kept.append(cut_lineage(_greedy(undecided, t)))
     if not kept:
         return batch.limit(0)
     survivors = reduce(DataFrame.unionByName, kept)

@@ -43,6 +43,8 @@ def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int =
     listed = texts.select("article_id", words.alias("words"))
 
     def spans(n: int):
+        if n == 1:
+            return F.transform("words", lambda w, i: F.struct((i + 1).alias("pos"), w.alias("text")))
         last = F.greatest(F.size("words") - F.lit(n - 1), F.lit(0))
         starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(
@@ -51,12 +53,11 @@ def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int =
         )
 
     runs = listed.select("article_id", F.inline(F.concat(*[spans(n) for n in range(1, max_words + 1)])))
-    # A frequent word counts once per article, at its first place, before anything moves.
-    first = runs.groupBy("article_id", F.lower("text").alias("term")).agg(
-        F.min(F.struct("pos", "text")).alias("first")
-    )
+    runs = runs.withColumn("term", F.lower("text"))
     if gazetteer.limit(MAX_SENT_TERMS + 1).count() <= MAX_SENT_TERMS:
-        gazetteer = F.broadcast(gazetteer)
+        return runs.join(F.broadcast(gazetteer), "term").select("article_id", "pos", "text", "label")
+    # A frequent word counts once per article, at its first place, before anything moves.
+    first = runs.groupBy("article_id", "term").agg(F.min(F.struct("pos", "text")).alias("first"))
     return first.join(gazetteer, "term").select("article_id", "first.pos", "first.text", "label")
 
 

@@ -4,12 +4,18 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from newsloom.operators.blocks import SCORE_DECIMALS, matrix
 from newsloom.operators.similarity import top_matches, vectors_only
 from newsloom.session import cut_lineage
 
+# Rows that one task settles feed by feed.
+FINISH_ROWS = 4096
+
 
 def filter_vectors(
     vectors: DataFrame,
@@ -61,17 +67,35 @@ def dedup_vectors(batch: DataFrame, vectors: DataFrame, t: float = 0.95, **tunin
     return batch.join(hits, "article_id", "left_anti").select(*batch.columns)
 
 
-def dedup_vectors_in_order(batch: DataFrame, vectors: DataFrame, t: float = 0.95, **tuning) -> DataFrame:
+def _feed_by_feed(undecided: DataFrame, t: float) -> DataFrame:
+    """The ids a pass over the feeds keeps, for a bounded number of rows, in one task."""
+
+    def keep(table: pa.Table) -> pa.Table:
+        rows = matrix(table.column("embedding"))
+        feed = table.column("batch_seq").to_numpy()
+        kept = np.zeros(len(rows), dtype=bool)
+        for number in np.unique(feed):
+            mine = np.flatnonzero(feed == number)
+            near = np.round(rows[mine] @ rows[kept].T, SCORE_DECIMALS) >= np.round(t, SCORE_DECIMALS)
+            kept[mine] = ~near.any(axis=1)
+        return pa.table({"article_id": table.column("article_id").filter(pa.array(kept))})
+
+    rows = undecided.select(
+        "article_id", F.col("embedding").cast("array<float>"), F.col("batch_seq").cast("long").alias("batch_seq")
+    )
+    return rows.groupBy().applyInArrow(keep, "article_id string")
+
+
+def dedup_vectors_in_order(
+    batch: DataFrame, vectors: DataFrame, t: float = 0.95, finish_rows: int = FINISH_ROWS, **tuning
+) -> DataFrame:
     """As ``dedup_vectors`` for several feeds that are stored one after the other.
 
     A row is compared with the stored vectors and with kept rows of a smaller
     ``batch_seq``, never within its own. In rounds: a row waits while an earlier row
-    near it is undecided.
+    near it is undecided. At most ``finish_rows`` remaining rows are settled in one task.
     """
     undecided = cut_lineage(dedup_vectors(batch, vectors, t, **tuning))
-    span = undecided.agg(F.min("batch_seq") < F.max("batch_seq")).first()[0]
-    if not span:
-        return undecided
     kept: list[DataFrame] = []
     just_kept = undecided.limit(0)
 
@@ -82,7 +106,7 @@ def dedup_vectors_in_order(batch: DataFrame, vectors: DataFrame, t: float = 0.95
         )
         return found.select(F.col("query_id").alias("article_id"), F.lit(True).alias(name))
 
-    while not undecided.isEmpty():
+    while (n := undecided.count()) > finish_rows:
         judged = undecided.join(hit_ids(undecided, undecided, "waits"), "article_id", "left")
         if kept:
             judged = judged.join(hit_ids(undecided, just_kept, "dropped"), "article_id", "left")
@@ -92,4 +116,9 @@ def dedup_vectors_in_order(batch: DataFrame, vectors: DataFrame, t: float = 0.95
         just_kept = judged.where("dropped is null and waits is null").select(*batch.columns)
         undecided = judged.where("dropped is null and waits").select(*batch.columns)
         kept.append(just_kept)
-    return reduce(DataFrame.unionByName, kept)
+    if n:
+        if kept:
+            dropped = hit_ids(undecided, just_kept, "dropped").select("article_id")
+            undecided = cut_lineage(undecided.join(dropped, "article_id", "left_anti").select(*batch.columns))
+        kept.append(undecided.join(_feed_by_feed(undecided, t), "article_id", "left_semi").select(*batch.columns))
+    return reduce(DataFrame.unionByName, kept) if kept else undecided

@@ -17,7 +17,7 @@ from newsloom.operators.entities import EntityFn, extract_entities
 from newsloom.operators.normalize import ARTICLE_COLUMNS, normalize_gdelt, normalize_rss
 from newsloom.operators.reads import recent_simhashes
 from newsloom.operators.vector_search import dedup_vectors_in_order
-from newsloom.session import cut_lineage, spread
+from newsloom.session import cut_lineage
 from newsloom.tables import ARTICLES, ENTITIES, INGESTION_LOG, VECTORS, NewsTables, conform
 
 RSS, GDELT = 0, 1
@@ -110,8 +110,7 @@ def ingest_batch(
     batch = cut_lineage(_batch_numbers(batch))
     placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "item_seq"))
     fresh = dedup_url(placed, tables.articles)
-    hashed = spread(fresh.select("id", "ord", "title", "summary"))
-    hashes = hashed.select("id", "ord", simhash(article_text(hashed)).alias("simhash"))
+    hashes = fresh.select("id", "ord", simhash(article_text(fresh)).alias("simhash"))
     recent = recent_simhashes(tables.articles, as_of, settings.simhash_window_hours)
     unlike = dedup_simhash(hashes, recent, settings.simhash_threshold).select("id", "simhash")
     unlike = cut_lineage(fresh.join(unlike, "id"))

@@ -11,14 +11,13 @@ from newsloom.operators import dedup
 from newsloom.registry import query
 from newsloom.registry.sqlparts import simhash_sql
 from newsloom.registry.storage import HISTORY
-from newsloom.session import spread
 
 HASHES = fx.ctes("articles") + ", " + simhash_sql("articles", "title || ' ' || summary")
 
 
 def hashed_articles(spark, sf):
     """id, ord and simhash of every article, in document order."""
-    articles = spread(fx.derived(spark, sf, "articles").select("id", "title", "summary", "source_url", "published_at"))
+    articles = fx.derived(spark, sf, "articles", parallel=True)
     return articles.select(
         "id",
         F.col("id").cast("bigint").alias("ord"),

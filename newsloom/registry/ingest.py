@@ -214,7 +214,7 @@ def country_regions(spark, sf):
     """,
 )
 def normalized_rss(spark, sf):
-    entries = fx.derived(spark, sf, "rss_entries")
+    entries = fx.derived(spark, sf, "rss_entries", parallel=True)
     return normalize_rss(entries, fx.derived(spark, sf, "feeds"), fx.as_of()).drop("ingested_at")
 
 

@@ -115,7 +115,7 @@ def searched_news(spark, sf):
 def search_by_text(spark, sf):
     """Every benchmark text as a query, embedded like the articles."""
     articles = fx.derived(spark, sf, "articles")
-    vectors = embed_articles(articles).withColumnRenamed("id", "article_id")
+    vectors = embed_articles(fx.derived(spark, sf, "articles", parallel=True)).withColumnRenamed("id", "article_id")
     asked = fx.base(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
     found = search_news(articles, vectors, embed_text(asked, "text"), fx.as_of(), limit=5)
     return found.drop("summary")

@@ -22,7 +22,7 @@ WORDS_SQL = r"list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda
 @query("embed_articles")
 def embedded_articles(spark, sf):
     """Length and number of used dimensions of each article's default embedding."""
-    embedded = embed_articles(fx.derived(spark, sf, "articles"))
+    embedded = embed_articles(fx.derived(spark, sf, "articles", parallel=True))
     used = F.size(F.filter("embedding", lambda x: x != 0))
     return embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), used.alias("used"))
 
@@ -51,7 +51,7 @@ def gazetteer_entities(spark, sf):
     gazetteer = fx.derived(spark, sf, "gazetteer").select(
         "term", F.element_at(names, (F.col("label_no") + 1).cast("int")).alias("label")
     )
-    return extract_entities(fx.derived(spark, sf, "articles"), gazetteer=gazetteer).drop("id")
+    return extract_entities(fx.derived(spark, sf, "articles", parallel=True), gazetteer=gazetteer).drop("id")
 
 
 @query(

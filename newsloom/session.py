@@ -39,11 +39,12 @@ def collect_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all task slots, if its input comes in fewer pieces than there are slots.
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over all task slots, if its file comes in fewer pieces than there are slots.
 
     For costly per-row work on a small file that Spark cannot split. Large inputs
-    already have enough partitions and pass through without a shuffle.
+    already have enough partitions and pass through without a shuffle. Takes plain
+    scans only: counting the partitions of a plan with shuffles would run them.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    slots = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(slots) if scan.rdd.getNumPartitions() < slots else scan
