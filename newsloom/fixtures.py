@@ -145,10 +145,9 @@ from benchmark where length(split_part(text, ' ', 1)) >= 4 group by 1
 """
 
 RAW_ENTITIES = """
-select a.id as article_id, p.pos,
-       case when p.pos = 2 then lower(split_part(a.title, ' ', 1)) else split_part(a.title, ' ', p.pos) end as text,
-       case when p.pos = 3 then 'location' else 'person' end as label
-from articles a cross join (values (1), (2), (3)) as p(pos)
+select id as article_id, 1 as pos, split_part(title, ' ', 1) as text, 'person' as label from articles
+union all select id, 2, lower(split_part(title, ' ', 1)), 'person' from articles
+union all select id, 3, split_part(title, ' ', 3), 'location' from articles
 """
 
 # one outcome per event, one run per day and event type

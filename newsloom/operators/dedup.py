@@ -13,7 +13,6 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.merge import insertable_articles
 from newsloom.operators.near_hash import near_pairs
 from newsloom.session import cut_lineage
 
@@ -22,8 +21,15 @@ FINISH_HASHES = 20_000
 
 
 def dedup_url(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows with an unknown URL, the first of each URL within the batch."""
-    return insertable_articles(existing, batch, ["ord", "id"])
+    """Rows with an unknown URL, the first of each URL within the batch. ``ord`` is unique.
+
+    The choice is made on URL and place alone, so article texts are not grouped or
+    sorted, and a URL shared by very many rows is reduced before the shuffle.
+    """
+    first = batch.groupBy("source_url").agg(F.min(F.struct("ord", "id")).alias("first"))
+    fresh = first.join(existing.select("source_url"), "source_url", "left_anti")
+    chosen = fresh.select("source_url", "first.ord", "first.id")
+    return batch.join(chosen, ["source_url", "ord", "id"], "left_semi").select(*batch.columns)
 
 
 def first_per_hash(batch: DataFrame) -> DataFrame:
