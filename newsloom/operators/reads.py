@@ -46,11 +46,30 @@ def articles_by_region(
     return recent_articles(articles, as_of, hours, limit, region=region)
 
 
-def cluster_articles(articles: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Articles of every given cluster in one join, ``cluster_id`` kept. Newest first
-    within a cluster is the reader's ordering (``newest_first``)."""
+def cluster_articles(
+    articles: DataFrame, clusters: DataFrame, article_clusters: DataFrame | None = None
+) -> DataFrame:
+    """Articles of every given cluster in one join, with ``cluster_id``. Newest first
+    within a cluster is the reader's ordering (``newest_first``).
+
+    The assignments are cut down to the clusters before they meet the articles; without
+    ``article_clusters`` the articles carry ``cluster_id`` themselves.
+    """
     ids = clusters.select(F.col("id").alias("cluster_id"))
-    return articles.join(ids, "cluster_id", "left_semi")
+    if article_clusters is None:
+        return articles.join(ids, "cluster_id", "left_semi")
+    members = article_clusters.select(F.col("article_id").alias("id"), "cluster_id").join(
+        ids, "cluster_id", "left_semi"
+    )
+    return articles.join(members, "id")
+
+
+def with_cluster(found: DataFrame, article_clusters: DataFrame | None) -> DataFrame:
+    """Result rows with their nullable ``cluster_id``. Called after limits, so that only the
+    result is joined; rows that carry one already are left alone."""
+    if article_clusters is None:
+        return found
+    return found.join(article_clusters.select(F.col("article_id").alias("id"), "cluster_id"), "id", "left")
 
 
 def articles_by_ids(articles: DataFrame, ids: DataFrame) -> DataFrame:

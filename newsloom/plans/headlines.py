@@ -11,10 +11,16 @@ from newsloom.operators.rollup import article_card, cluster_rollup, nested_artic
 
 
 def _stories(
-    articles: DataFrame, clusters: DataFrame, as_of: Column, hours: float, limit: int, category: str | None
+    articles: DataFrame,
+    clusters: DataFrame,
+    as_of: Column,
+    hours: float,
+    limit: int,
+    category: str | None,
+    article_clusters: DataFrame | None,
 ) -> DataFrame:
     top = top_clusters(clusters, as_of, hours, limit)
-    members = cluster_articles(articles, top)
+    members = cluster_articles(articles, top, article_clusters)
     stories = (
         top.select(
             F.col("id").alias("cluster_id"),
@@ -46,14 +52,16 @@ def latest_headlines(
     hours: float = 24,
     limit: int = 20,
     category: str | None = None,
+    article_clusters: DataFrame | None = None,
 ) -> DataFrame:
     """Top clusters of the window with sources, latest date and five newest articles.
 
     The category test comes after the limit, so fewer than ``limit`` stories may
     remain. If none do, the newest articles of the window (and category) are
-    returned one by one. ``articles`` carries ``cluster_id``.
+    returned one by one. Members come from ``article_clusters``, or without it from the
+    ``cluster_id`` of the articles.
     """
-    stories = _stories(articles, clusters, as_of, hours, limit, category)
+    stories = _stories(articles, clusters, as_of, hours, limit, category, article_clusters)
     none_left = stories.limit(1).agg((F.count("*") == 0).alias("none_left")).scalar()
     singles = (
         recent_articles(articles.where(none_left), as_of, hours, limit, category=category)

@@ -6,14 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import iso_or_empty
-from newsloom.operators.reads import articles_by_region, newest_first
+from newsloom.operators.reads import articles_by_region, newest_first, with_cluster
 
 
 def news_by_region(
-    articles: DataFrame, as_of: Column, region: str, hours: float = 24, limit: int = 50
+    articles: DataFrame,
+    as_of: Column,
+    region: str,
+    hours: float = 24,
+    limit: int = 50,
+    article_clusters: DataFrame | None = None,
 ) -> DataFrame:
-    """``articles`` carries ``cluster_id``."""
-    found = articles_by_region(articles, as_of, region, hours, limit)
+    """``cluster_id`` comes from ``article_clusters``, or without it from the articles."""
+    found = with_cluster(articles_by_region(articles, as_of, region, hours, limit), article_clusters)
     return found.orderBy(*newest_first()).select(
         "title",
         "summary",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import hours_before
 from newsloom.functions.text import iso_or_empty
+from newsloom.operators.reads import with_cluster
 from newsloom.operators.vector_search import knn
 
 
@@ -35,10 +36,12 @@ def search_news(
     limit: int = 20,
     region: str | None = None,
     hours: float | None = None,
+    article_clusters: DataFrame | None = None,
 ) -> DataFrame:
     """Results of all queries (query_id, embedding), each query's best score first.
-    ``articles`` carries ``cluster_id``."""
+    ``cluster_id`` comes from ``article_clusters``, or without it from the articles."""
     found = found_articles(articles, vectors, queries, as_of, limit, 0.0, region, hours)
+    found = with_cluster(found, article_clusters)
     return found.orderBy("query_id", "rank").select(
         "query_id",
         "rank",

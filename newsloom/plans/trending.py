@@ -10,12 +10,18 @@ from newsloom.operators.rollup import category_rollup, cluster_rollup
 
 
 def trending_topics(
-    articles: DataFrame, clusters: DataFrame, as_of: Column, hours: float = 12, limit: int = 10
+    articles: DataFrame,
+    clusters: DataFrame,
+    as_of: Column,
+    hours: float = 12,
+    limit: int = 10,
+    article_clusters: DataFrame | None = None,
 ) -> DataFrame:
     """Top clusters with sources, regions and latest date. If the window has none, its
-    newest ``3 * limit`` articles grouped by category. ``articles`` carries ``cluster_id``."""
+    newest ``3 * limit`` articles grouped by category. Members come from ``article_clusters``, or
+    without it from the ``cluster_id`` of the articles."""
     top = top_clusters(clusters, as_of, hours, limit)
-    rollup = cluster_rollup(cluster_articles(articles, top))
+    rollup = cluster_rollup(cluster_articles(articles, top, article_clusters))
     empty = F.array().cast("array<string>")
     stories = (
         top.withColumnRenamed("id", "cluster_id")

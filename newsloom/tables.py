@@ -84,7 +84,7 @@ class NewsTables:
 
     def articles_with_cluster(self) -> DataFrame:
         """``articles`` plus the nullable ``cluster_id``."""
-        assigned = self.article_clusters.withColumnRenamed("article_id", "id")
+        assigned = self.article_clusters.select(F.col("article_id").alias("id"), "cluster_id")
         return self.articles.join(assigned, "id", "left")
 
 

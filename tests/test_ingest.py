@@ -15,8 +15,12 @@ from newsloom.operators.embed import embed_articles, embed_text, fit_idf
 from newsloom.operators.entities import extract_entities
 from newsloom.operators.summarize import briefing_text, summarize_clusters
 from newsloom.plans.briefing import NOTHING, topic_briefing
+from newsloom.plans.headlines import latest_headlines
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.plans.jobs import run_cluster_job, run_retention_job
+from newsloom.plans.region import news_by_region
+from newsloom.plans.search import search_news
+from newsloom.plans.trending import trending_topics
 from newsloom.sources.feeds import with_defaults
 from newsloom.streaming.ingest import cluster_stored, expire_stored, stream_ingest
 from newsloom.tables import NewsTables, init_tables, read_tables
@@ -201,6 +205,17 @@ def test_stream_replay_clusters_and_retention(spark, landing):
     assert log == {(0, "rss"): (2, 2), (0, "gdelt"): (2, 1), (1, "rss"): (2, 1)}
 
     now = datetime.now(timezone.utc)
+    later = F.lit(str((now + timedelta(minutes=5)).replace(tzinfo=None))).cast("timestamp")
+    links = tables.article_clusters
+    assert news_by_region(tables.articles, later, "global", article_clusters=links).count() == 4
+    assert news_by_region(tables.articles_with_cluster(), later, "global").count() == 4
+    assert latest_headlines(tables.articles, tables.clusters, later, article_clusters=links).count() == 4
+    assert trending_topics(tables.articles, tables.clusters, later, article_clusters=links).count() == 1
+    asked = embed_text(spark.createDataFrame([("q", "alpha1 alpha")], "query_id string, topic string"), "topic")
+    found = search_news(tables.articles, tables.vectors, asked, later, article_clusters=links).collect()
+    assert found[0]["url"] == "u1"
+    assert topic_briefing(tables.articles, tables.vectors, asked, later, hours=None).first()["article_count"] >= 1
+
     cluster_stored(spark, root, now, Settings(min_cluster_size=2))
     clustered = read_tables(spark, root)
     n = clustered.article_clusters.count()

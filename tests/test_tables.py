@@ -171,7 +171,7 @@ def test_headlines_limit_comes_before_category(spark):
     assert [a["title"] for a in top[0]["articles"]] == [f"ta{i}" for i in range(5)]
     fallback = latest_headlines(with_cluster, t.clusters, as_of(), limit=1, category="world").collect()
     assert [(r["cluster_id"], r["headline"], r["article_count"]) for r in fallback] == [(None, "tw", 1)]
-    both = latest_headlines(with_cluster, t.clusters, as_of(), category="world").collect()
+    both = latest_headlines(t.articles, t.clusters, as_of(), category="world", article_clusters=t.article_clusters).collect()
     assert [r["cluster_id"] for r in both] == ["small"]
 
 
