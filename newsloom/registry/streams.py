@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,7 +14,7 @@ from newsloom.session import cut_lineage, require_checkpoint_dir
 from newsloom.sources.feeds import with_defaults
 from newsloom.sources.gdelt import read_gdelt_articles
 from newsloom.sources.rss import parse_feed_payloads
-from newsloom.streaming.ingest import process_payloads
+from newsloom.streaming.ingest import process_payloads, start_ingest
 from newsloom.tables import NewsTables, init_tables, read_table
 
 
@@ -46,14 +46,8 @@ def ingest_chain(spark, sf):
     )
 
 
-@query("stream_replay")
-def stream_replay(spark, sf):
-    """Two micro-batches of payloads into a store, the second one twice: its articles once.
-
-    The batches are handed over as the stream hands them over.
-    """
-    shared = require_checkpoint_dir(spark)
-    root = f"{shared}/stream-{next(tempfile._get_candidate_names())}"
+def landed(spark, sf):
+    """All payloads as rows, in the form the stream reads."""
     fx.base(spark, sf, "pages").createOrReplaceTempView("pages")
     rss = spark.sql(PAYLOAD_BODY).select(
         F.lit("rss").alias("source"), F.concat("feed_id", F.lit(".xml")).alias("file_name"), "body"
@@ -61,9 +55,39 @@ def stream_replay(spark, sf):
     gdelt = fx.derived(spark, sf, "gdelt_raw").select(
         F.lit("gdelt").alias("source"), F.concat("payload_id", F.lit(".json")).alias("file_name"), "body"
     )
-    landed = cut_lineage(rss.unionByName(gdelt).withColumn("landed_at", fx.as_of()))
+    return rss.unionByName(gdelt).withColumn("landed_at", fx.as_of())
+
+
+def new_folder(spark) -> str:
+    return f"{require_checkpoint_dir(spark)}/news-{uuid.uuid4().hex}"
+
+
+@query("stream_replay")
+def stream_replay(spark, sf):
+    """Two micro-batches of payloads into a store, the second one twice: its articles once.
+
+    The batches are handed over as the stream hands them over.
+    """
+    root = new_folder(spark)
+    payloads = cut_lineage(landed(spark, sf))
     init_tables(spark, root, page_feeds(spark, sf))
-    process_payloads(landed.where("source = 'rss'"), 0, root)
-    process_payloads(landed, 1, root)
-    process_payloads(landed, 1, root)
+    process_payloads(payloads.where("source = 'rss'"), 0, root)
+    process_payloads(payloads, 1, root)
+    process_payloads(payloads, 1, root)
     return read_table(spark, root, "articles").select("id", "source_url", "source_feed", "batch")
+
+
+@query("stream_ingest")
+def streamed_articles(spark, sf):
+    """The payloads landed as a table and stored by the stream; its log."""
+    root = new_folder(spark)
+    payloads = landed(spark, sf)
+    landing = f"{root}/landing"
+    payloads.write.parquet(landing)
+    init_tables(spark, f"{root}/store", page_feeds(spark, sf))
+    stream = spark.readStream.schema(payloads.schema).parquet(landing)
+    run = start_ingest(stream, f"{root}/store", f"{root}/progress", available_now=True)
+    run.awaitTermination()
+    return read_table(spark, f"{root}/store", "ingestion_log").select(
+        "batch", "source", "articles_fetched", "articles_stored"
+    )

@@ -76,26 +76,38 @@ def process_payloads(
     write_part(added.articles, root, "articles", **keys)
 
 
-def stream_ingest(
-    spark: SparkSession,
-    landing: str,
+def start_ingest(
+    payloads: DataFrame,
     root: str,
     progress: str,
     models: Models = Models(),
     settings: Settings = Settings(),
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Start the stream into the store at ``root``; ``progress`` is its checkpoint folder."""
-    writer = (
-        landed_payloads(spark, landing, settings)
-        .writeStream.option("checkpointLocation", progress)
-        .foreachBatch(lambda df, batch_id: process_payloads(df, batch_id, root, models, settings))
+    """Start storing a stream of payloads (source, file_name, landed_at, body) at ``root``;
+    ``progress`` is the stream's checkpoint folder."""
+    writer = payloads.writeStream.option("checkpointLocation", progress).foreachBatch(
+        lambda df, batch_id: process_payloads(df, batch_id, root, models, settings)
     )
     if available_now:
         return writer.trigger(availableNow=True).start()
     return writer.trigger(processingTime=f"{settings.rss_interval_seconds} seconds").start()
 
 
+def stream_ingest(
+    spark: SparkSession,
+    landing: str,
+    root: str,
+    progress: str,
+    models: Models = Models(),
+    settings: Settings = Settings(),
+    available_now: bool = False,
+) -> StreamingQuery:
+    """``start_ingest`` over the landing folder."""
+    payloads = landed_payloads(spark, landing, settings)
+    return start_ingest(payloads, root, progress, models, settings, available_now)
+
+
 def _epoch(as_of: datetime) -> int:
     return int(as_of.replace(tzinfo=as_of.tzinfo or timezone.utc).timestamp())
 
