@@ -17,10 +17,11 @@ from newsloom.operators.entities import EntityFn, extract_entities
 from newsloom.operators.normalize import ARTICLE_COLUMNS, normalize_gdelt, normalize_rss
 from newsloom.operators.reads import recent_simhashes
 from newsloom.operators.vector_search import dedup_vectors_in_order
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, send_if_small
 from newsloom.tables import ARTICLES, ENTITIES, INGESTION_LOG, VECTORS, NewsTables, conform
 
 RSS, GDELT = 0, 1
+MAX_SENT_FEEDS = 200_000
 SOURCE_NAMES = {RSS: "rss", GDELT: "gdelt"}
 
 
@@ -88,7 +89,8 @@ def _batch_numbers(batch: DataFrame) -> DataFrame:
     ranked = feeds.orderBy("source_seq", "feed_id").select(
         "source_seq", "feed_id", F.monotonically_increasing_id().alias("batch_seq")
     )
-    return batch.join(cut_lineage(ranked), ["source_seq", "feed_id"])
+    # one feed may hold most rows, so the short list goes to the rows
+    return batch.join(send_if_small(cut_lineage(ranked), MAX_SENT_FEEDS), ["source_seq", "feed_id"])
 
 
 def _per_source(df: DataFrame, stage: str) -> DataFrame:

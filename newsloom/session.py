@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def require_checkpoint_dir(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def collect_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
     return rows if len(rows) <= max_rows else None
 
 
+def send_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``max_rows`` rows, else as it is."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A scan over all task slots, if its file comes in fewer pieces than there are slots.
 

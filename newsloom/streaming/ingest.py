@@ -14,13 +14,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.config import Settings
 from newsloom.functions.dates import since
-from newsloom.operators.merge import upsert_clusters
+from newsloom.operators.merge import merge_feeds, upsert_clusters
 from newsloom.operators.retention import live_clusters
 from newsloom.operators.summarize import TextFn
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.plans.jobs import new_stories
+from newsloom.sources.feeds import load_feeds
 from newsloom.sources.gdelt import read_gdelt_articles
-from newsloom.sources.rss import parse_feed_payloads
+from newsloom.sources.rss import parse_feed_payloads, resolve_fetches
 from newsloom.tables import BY_DAY, read_table, read_tables, write_part
 
 
@@ -150,3 +151,15 @@ def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Set
         left = live_clusters(tables.clusters, assigned, deleted)
         write_part(left, root, "clusters", version=F.lit(_epoch(as_of)))
     return days
+
+
+def sync_feeds_stored(spark: SparkSession, root: str, config: DataFrame, as_of: datetime) -> None:
+    """Bring the stored feed list in line with a configuration; raises if that breaks a rule."""
+    merged = merge_feeds(read_table(spark, root, "feeds"), load_feeds(config))
+    write_part(merged, root, "feeds", version=F.lit(_epoch(as_of)))
+
+
+def save_validators_stored(spark: SparkSession, root: str, fetches: DataFrame, as_of: datetime) -> None:
+    """Keep what the latest fetch of each feed leaves behind, as a new version of the feed list."""
+    resolved = resolve_fetches(fetches, read_table(spark, root, "feeds"))
+    write_part(resolved, root, "feeds", version=F.lit(_epoch(as_of)))

@@ -95,11 +95,11 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 # What hangs on an article is laid out by its ingest day: windows read few directories, and
 # retention drops whole ones. Below the day, each run has a directory of its own, so that
-# a repeated run replaces its output.
+# a repeated run replaces its output. Feeds and clusters are rewritten whole, as versions.
 BY_DAY = ("articles", "vectors", "entities", "article_clusters")
 LAYOUT = {
     **{name: (("ingest_date", T.DateType()), ("batch", T.LongType())) for name in BY_DAY},
-    "feeds": (),
+    "feeds": (("version", T.LongType()),),
     "clusters": (("version", T.LongType()),),
     "ingestion_log": (("batch", T.LongType()),),
 }
@@ -122,19 +122,17 @@ def write_part(df: DataFrame, root: str, name: str, **keys: Column) -> None:
 def init_tables(spark: SparkSession, root: str, feeds: DataFrame) -> None:
     """An empty store with the given feed list."""
     for name, schema in SCHEMAS.items():
-        if name == "feeds":
-            conform(feeds, schema).write.mode("errorifexists").parquet(f"{root}/{name}")
-            continue
         stored = T.StructType([*schema.fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
         keys = [k for k, _ in LAYOUT[name]]
         spark.createDataFrame([], stored).write.mode("errorifexists").partitionBy(*keys).parquet(f"{root}/{name}")
+    write_part(feeds, root, "feeds", version=F.lit(0))
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table with its partition columns; of ``clusters`` the last version."""
+    """A stored table with its partition columns; of ``feeds`` and ``clusters`` the last version."""
     schema = T.StructType([*SCHEMAS[name].fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
     df = spark.read.schema(schema).parquet(f"{root}/{name}")
-    if name == "clusters":
+    if "version" in df.columns:
         return df.where(F.col("version") == df.agg(F.max("version").alias("v")).scalar()).drop("version")
     return df
 

@@ -21,8 +21,14 @@ from newsloom.plans.jobs import run_cluster_job, run_retention_job
 from newsloom.plans.region import news_by_region
 from newsloom.plans.search import search_news
 from newsloom.plans.trending import trending_topics
-from newsloom.sources.feeds import with_defaults
-from newsloom.streaming.ingest import cluster_stored, expire_stored, stream_ingest
+from newsloom.sources.feeds import FeedConfigError, with_defaults
+from newsloom.streaming.ingest import (
+    cluster_stored,
+    expire_stored,
+    save_validators_stored,
+    stream_ingest,
+    sync_feeds_stored,
+)
 from newsloom.tables import NewsTables, init_tables, read_tables
 
 NOW = "2024-01-31 00:00:00"
@@ -228,6 +234,20 @@ def test_stream_replay_clusters_and_retention(spark, landing):
     assert not os.path.exists(f"{root}/articles/ingest_date={day}")
 
 
+def test_stored_feed_list(spark, tmp_path):
+    root = str(tmp_path / "store")
+    init_tables(spark, root, feeds(spark))
+    day = datetime(2024, 1, 1, tzinfo=timezone.utc)
+    fetch = "feed_id string, fetched_at int, fetch_seq int, status int, etag_header string, last_modified_header string"
+    save_validators_stored(spark, root, spark.createDataFrame([("f1", 1, 1, 200, "e1", None)], fetch), day)
+    cfg = spark.createDataFrame([("f1", "Renamed", "https://1.org/"), ("f3", "Three", "https://3.org")], FEED)
+    sync_feeds_stored(spark, root, cfg, day + timedelta(hours=1))
+    got = {r["id"]: (r["name"], r["etag"], r["enabled"]) for r in read_tables(spark, root).feeds.collect()}
+    assert got == {"f1": ("Renamed", "e1", True), "f2": ("Two", "", False), "f3": ("Three", "", True)}
+    with pytest.raises(FeedConfigError):
+        sync_feeds_stored(spark, root, cfg.limit(0), day)
+
+
 def test_cluster_and_retention_jobs(spark):
     rng = np.random.default_rng(1)
     groups = {"a": [1, 0, 0], "b": [0, 1, 0], "c": [0, 0, 1]}
