@@ -27,3 +27,10 @@ def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.tokens import token_counts
 
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op9_repeated_phrases")
+def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.phrases import repeat_digest
+
+    return repeat_digest(table(spark, sf_dir, "documents"))
