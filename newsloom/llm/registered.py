@@ -34,3 +34,10 @@ def repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.phrases import repeat_digest
 
     return repeat_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op10_benchmark_matches")
+def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.decontaminate import matches
+
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
