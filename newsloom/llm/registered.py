@@ -41,3 +41,23 @@ def benchmark_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.decontaminate import matches
 
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _mixing_sql() -> str:
+    from newsloom.llm.mixing import MIX_SQL
+
+    return MIX_SQL.format(docs="documents")
+
+
+@query("op3_mixing", sql=_mixing_sql())
+def mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.mixing import mix
+
+    return mix(table(spark, sf_dir, "documents"))
+
+
+@query("op7_quality")
+def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
