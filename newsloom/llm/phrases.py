@@ -28,15 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import WORD, batches, saved, texts
+from newsloom.llm.columns import batches, saved, texts
 from newsloom.llm.wordhash import hashes, inside, rolling, sliding_min
 
 WINDOW, GRAM = 13, 5
-CROWD = 5_000
+CROWD = 30_000
 #: Stretches in a shard, on average.
 SHARD = 20_000
+#: Rows without an id.
+NO_ID = -(2**63)
 
-ANCHORS = "gram long, id_key long, text_key long, place int, windows int"
+#: ``spot``: first window of the run, number of its windows and whether its anchor is crowded, in one number.
+ANCHORS = "gram long, id_key long, text_key long, spot long"
 STRETCHES = "gram long, crowded boolean, id_key long, text_key long, place int, words binary"
 SPANS = "id_key long, text_key long, place int, length int"
 
@@ -53,36 +56,36 @@ def anchor_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
     return least[first], doc[first], (at - starts[doc])[first], np.diff(np.append(first, len(at)))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """Rows with an id, and the two keys that no null or repeated row upsets."""
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        "text",
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id_key"),
-        F.xxhash64("text").alias("text_key"),
-    )
+def keyed_rows(docs: DataFrame) -> DataFrame:
+    """The text, a key for the id, a fingerprint of the text, and all other columns as ``row``."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
+    return docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_key"), F.xxhash64("text").alias("text_key"), row.alias("row"))
 
 
 def find_anchors(batch: pa.RecordBatch) -> dict:
     gram, doc, place, windows = anchor_runs([t.split() for t in texts(batch)])
     ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[doc] if len(doc) else [] for i in (1, 2))
-    return {"gram": gram.view(np.int64), "id_key": ids, "text_key": keys, "place": place, "windows": windows}
+    return {"gram": gram.view(np.int64), "id_key": ids, "text_key": keys, "spot": place << 31 | windows << 1}
 
 
 def cut_stretches(batch: pa.RecordBatch) -> dict | None:
     out = {f: [] for f in ("gram", "crowded", "id_key", "text_key", "place", "words")}
-    hits = batch.column(3).to_pylist()
-    if not any(hits):
-        return None
-    for text, id_key, text_key, runs in zip(texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist(), hits):
-        words = text.split() if runs else []
-        for run in runs or ():
-            out["gram"].append(run["gram"])
-            out["crowded"].append(run["crowded"])
+    for text, id_key, text_key, hits, copies in zip(texts(batch), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
+        if not hits or text_key in (copies or ()):
+            continue
+        words = text.split()
+        for hit in hits:
+            spot = hit["spot"]
+            place = spot >> 31
+            stretch = words[place : place + (spot >> 1 & 0x3FFFFFFF) + WINDOW - 1]
+            if len(stretch) < WINDOW:  # from another text with this id
+                continue
+            out["gram"].append(hit["gram"])
+            out["crowded"].append(bool(spot & 1))
             out["id_key"].append(id_key)
             out["text_key"].append(text_key)
-            out["place"].append(run["place"])
-            out["words"].append(b" ".join(words[run["place"] : run["place"] + run["windows"] + WINDOW - 1]))
+            out["place"].append(place)
+            out["words"].append(b" ".join(stretch))
     return out
 
 
@@ -137,48 +140,46 @@ def crowded_spans(stretches: DataFrame) -> DataFrame:
     return single.join(first, "window").where("first < id_key").select("id_key", "text_key", "place", F.lit(WINDOW).alias("length"))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """``id_key``, ``text_key`` and the spans of words (``place``, ``length``) that an earlier document has."""
-    docs = keyed(docs).where("doc_id is not null").drop("doc_id")
-    runs = docs.select("text", "id_key", "text_key").mapInArrow(batches(find_anchors, ANCHORS), ANCHORS)
+def repeated_spans(rows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``id_key`` and its ``spans``: words (``place``, ``length``) of the text ``text_key`` that an earlier document has."""
+    runs = rows.where(F.col("id_key") != NO_ID).select("text", "id_key", "text_key").mapInArrow(batches(find_anchors, ANCHORS), ANCHORS)
     recurring = saved(
-        runs.select("gram", "text_key")
-        .groupBy("gram")
-        .agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n"))
-        .where("a <> b")
-        .select("gram", "n", (F.col("n") > CROWD).alias("crowded"))
+        runs.groupBy("gram").agg(F.min("text_key").alias("a"), F.max("text_key").alias("b"), F.count("*").alias("n")).where("a <> b").select("gram", "n", (F.col("n") > CROWD).cast("long").alias("crowded"))
     )
     total, crowds = recurring.agg(F.sum("n"), F.max("crowded")).first()
     shards = max(1, (total or 0) // SHARD)
     hits = (
-        runs.join(recurring.select("gram", "crowded"), "gram")
-        .groupBy("id_key", "text_key")
-        .agg(F.collect_set(F.struct("gram", "crowded", "place", "windows")).alias("runs"))
-        .join(later_copies(docs).select("id_key", "text_key"), ["id_key", "text_key"], "left_anti")
+        runs.select("gram", "id_key", "spot")
+        .join(recurring.select("gram", "crowded"), "gram")
+        .groupBy("id_key")
+        .agg(F.collect_set(F.struct("gram", (F.col("spot") + F.col("crowded")).alias("spot"))).alias("hits"))
     )
-    stretches = docs.join(hits, ["id_key", "text_key"], "left").select("text", "id_key", "text_key", "runs").mapInArrow(batches(cut_stretches, STRETCHES), STRETCHES)
+    # the rows are dealt by id once, here and for the removal; ``row`` is carried so that both are one exchange
+    marked = rows.join(hits, "id_key", "left").join(copies, "id_key", "left").select("text", "id_key", "text_key", "hits", "copies", "row")
+    stretches = marked.mapInArrow(batches(cut_stretches, STRETCHES), STRETCHES)
     spans = stretches.where("not crowded").groupBy(F.pmod("gram", F.lit(shards)).alias("shard")).applyInArrow(match_shard, SPANS)
     if crowds:
         spans = spans.unionByName(crowded_spans(stretches.where("crowded")))
-    return spans.groupBy("id_key", "text_key").agg(F.collect_set(F.struct("place", "length")).alias("spans"))
+    return spans.groupBy("id_key").agg(F.collect_set(F.struct("text_key", "place", "length")).alias("spans"))
 
 
-def later_copies(docs: DataFrame) -> DataFrame:
-    """Keys of the rows whose whole text a document with a smaller id has."""
-    prints = docs.select("id_key", "text_key", F.xxhash64(F.lit(7), "text").alias("other_key"))
+def later_copies(rows: DataFrame) -> DataFrame:
+    """``id_key`` and the keys of its texts, ``copies``, that a document with a smaller id has as a whole."""
+    prints = rows.where(F.col("id_key") != NO_ID).select("id_key", "text_key", F.xxhash64(F.lit(7), "text").alias("other_key"))
     first = prints.groupBy("text_key", "other_key").agg(F.min("id_key").alias("first"), F.max("id_key").alias("last")).where("first < last").drop("last")
-    return prints.join(first, ["text_key", "other_key"]).where("first < id_key").select("id_key", "text_key").distinct().withColumn("copy", F.lit(True))
+    return prints.join(first, ["text_key", "other_key"]).where("first < id_key").groupBy("id_key").agg(F.collect_set("text_key").alias("copies"))
 
 
 def cut_words(batch: pa.RecordBatch) -> dict:
     out = {f: [] for f in ("n_words", "n_removed", "kept", "rest")}
-    for text, spans, copy in zip(texts(batch), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+    for text, text_key, spans, copies in zip(texts(batch), *(batch.column(i).to_pylist() for i in (2, 4, 5))):
         words = text.split()
         drop = np.zeros(len(words), bool)
-        if copy and len(words) >= WINDOW:
+        if text_key in (copies or ()) and len(words) >= WINDOW:
             drop[:] = True
         for span in spans or ():
-            drop[span["place"] : span["place"] + span["length"]] = True
+            if span["text_key"] == text_key:
+                drop[span["place"] : span["place"] + span["length"]] = True
         removed = int(drop.sum())
         out["n_words"].append(len(words))
         out["n_removed"].append(removed)
@@ -205,16 +206,12 @@ def without(text: bytes, words: list[bytes], drop: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``row`` (a struct of all columns but the text), ``kept`` (kept words, one space between), ``rest`` (the
     text as it was, without the removed words), ``n_words`` and ``n_removed``, for every row of ``docs``."""
-    marked = keyed_rows(docs)
-    found = marked.join(repeated_spans(docs), ["id_key", "text_key"], "left").join(later_copies(keyed(docs).where("doc_id is not null")), ["id_key", "text_key"], "left")
-    row = next(f for f in marked.schema.fields if f.name == "row").dataType.simpleString()
+    rows = keyed_rows(docs)
+    copies = saved(later_copies(rows))
+    found = rows.join(repeated_spans(rows, copies), "id_key", "left").join(copies, "id_key", "left")
+    row = next(f for f in rows.schema.fields if f.name == "row").dataType.simpleString()
     schema = f"row {row}, kept string, rest string, n_words long, n_removed long"
-    return found.select("text", "spans", "copy", "row").mapInArrow(batches(cut_words, schema), schema)
-
-
-def keyed_rows(docs: DataFrame) -> DataFrame:
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])
-    return docs.select("text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id_key"), F.xxhash64("text").alias("text_key"), row.alias("row"))
+    return found.select("text", "id_key", "text_key", "row", "spans", "copies").mapInArrow(batches(cut_words, schema), schema)
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
