@@ -61,3 +61,16 @@ def quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _fingerprint_sql() -> str:
+    from newsloom.llm.fingerprint import fingerprint_sql
+
+    return fingerprint_sql("documents")
+
+
+@query("op1_fingerprints", sql=_fingerprint_sql())
+def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.fingerprint import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
