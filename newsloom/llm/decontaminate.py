@@ -23,10 +23,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import batches, texts
+from newsloom.llm.columns import batches, filtered, texts
 
 Q, EDITS, SHORTEST = 10, 0.08, 20
 PART = 2_000_000
@@ -189,16 +189,9 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     for part in parts(items):
         benchmark = Benchmark(part)
 
-        def clean(found, benchmark: Benchmark = benchmark):
-            for batch in found:
-                hit = {n for n, _, _, _ in benchmark.search(texts(batch))}
-                yield batch.filter(pa.array([n not in hit for n in range(batch.num_rows)])).select([1])
+        def choose(batch: pa.RecordBatch, benchmark: Benchmark = benchmark) -> pa.Array:
+            hit = {n for n, _, _, _ in benchmark.search(texts(batch))}
+            return pa.array([n not in hit for n in range(batch.num_rows)], pa.bool_())
 
-        row: Column = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        kept = docs.select("text", row).mapInArrow(clean, f"row {row_type(docs)}")
-        docs = kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+        docs = filtered(docs, choose)
     return docs
-
-
-def row_type(docs: DataFrame) -> str:
-    return docs.schema.simpleString()

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from newsloom.llm.neighbours import BREAK, with_visitors
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS, MOST_TERMS = 0.002, 0.1, 2, 100_000
-RATES = [2] * 4 + [8] * 4 + [32] * 4 + [128] * 4
+RATES = [2] * 2 + [8] * 4 + [32] * 8 + [128] * 8 + [512] * 8
 BETWEEN = r"[\x20\x09-\x0D.,;:!?]+"
 
 
@@ -69,7 +69,7 @@ def fingerprint(text: Column, table: Column, slots: int) -> Column:
 def components(entries: Column, text: Column) -> Column:
     def part(k: Column) -> Column:
         kept = F.transform(F.filter(entries, lambda e: e["b"].bitwiseAND(k) != 0), lambda e: e["t"])
-        return F.when(F.size(kept) > 0, F.substring(F.md5(F.array_join(kept, " ").cast("binary")), 1, 12)).otherwise("")
+        return F.when(F.size(kept) > 0, F.substring(F.md5(F.array_join(kept, " ").cast("binary")), 1, 8)).otherwise("")
 
     parts = F.transform(F.array(*[F.lit(1 << k) for k in range(len(RATES))]), part)
     return F.when(F.size(entries) > 0, F.array_join(parts, "-")).otherwise(F.concat(F.lit("#"), F.md5(text.cast("binary"))))
@@ -123,7 +123,7 @@ t as (select n, kind, unnest({cut}) term from x),
 k as (select n, kind, list(struct_pack(t := t.term, b := bits) order by t.term) entries from t join lexicon l on t.term = l.term group by n, kind),
 f as (select x.n, x.kind, case when entries is null then '#' || md5(x.text) else
         array_to_string(list_transform(range({len(RATES)}), lambda k: case when len(list_filter(entries, lambda e: e.b & (1 << k) <> 0)) = 0 then ''
-          else substr(md5(array_to_string(list_transform(list_filter(entries, lambda e: e.b & (1 << k) <> 0), lambda e: e.t), ' ')), 1, 12) end), '-') end fp
+          else substr(md5(array_to_string(list_transform(list_filter(entries, lambda e: e.b & (1 << k) <> 0), lambda e: e.t), ' ')), 1, 8) end), '-') end fp
       from x left join k on x.n = k.n and x.kind = k.kind),
 p as (select e.doc_id, e.n_chars, sha256(e.edited) edited_sha256, a.fp fingerprint, b.fp edited_fingerprint, c.fp next_fingerprint
       from e join f a on a.n = e.n and a.kind = 0 join f b on b.n = e.n and b.kind = 1 join f c on c.n = e.next_n and c.kind = 0)

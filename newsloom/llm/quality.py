@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import batches, texts
+from newsloom.llm.columns import batches, filtered, texts
 from newsloom.llm.labelled import held_out, label_sample
 
 TRAIN_ROWS = 10_000
@@ -159,11 +159,7 @@ def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, with all their columns."""
     model = train(docs, labels)
 
-    def keep(found):
-        for batch in found:
-            score = model.score(np.array([statistics(t) for t in texts(batch)]).reshape(-1, len(NAMES)))
-            yield batch.filter(pa.array(score >= CUT)).select([1])
+    def choose(batch: pa.RecordBatch) -> pa.Array:
+        return pa.array(model.score(np.array([statistics(t) for t in texts(batch)]).reshape(-1, len(NAMES))) >= CUT)
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select("text", row).mapInArrow(keep, f"row {docs.schema.simpleString()}")
-    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return filtered(docs, choose)

@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: Distinct words that a worker remembers before it starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
