@@ -10,6 +10,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from newsloom.session import require_checkpoint_dir
 
@@ -62,12 +64,9 @@ def pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         begin = end
 
 
-def batches(fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def batches(fn: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function from one that turns a slice of a batch into named columns."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def column(values, kind: pa.DataType) -> pa.Array:
         return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
@@ -96,5 +95,5 @@ def keeping(choose: Callable[[pa.RecordBatch], pa.Array]) -> Callable[[Iterator[
 def filtered(docs: DataFrame, choose: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose texts ``choose`` keeps."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    kept = docs.select("text", row).mapInArrow(keeping(choose), f"row {docs.schema.simpleString()}")
+    kept = docs.select("text", row).mapInArrow(keeping(choose), StructType([StructField("row", docs.schema)]))
     return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from newsloom.llm.columns import batches, saved, texts
 from newsloom.llm.wordhash import hashes, inside, rolling, sliding_min
@@ -209,8 +210,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = keyed_rows(docs)
     copies = saved(later_copies(rows))
     found = rows.join(repeated_spans(rows, copies), "id_key", "left").join(copies, "id_key", "left")
-    row = next(f for f in rows.schema.fields if f.name == "row").dataType.simpleString()
-    schema = f"row {row}, kept string, rest string, n_words long, n_removed long"
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("kept string, rest string, n_words long, n_removed long")])
     return found.select("text", "id_key", "text_key", "row", "spans", "copies").mapInArrow(batches(cut_words, schema), schema)
 
 

@@ -74,3 +74,10 @@ def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.fingerprint import fingerprints
 
     return fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op2_near_copies")
+def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.near_copies import near_copies
+
+    return near_copies(table(spark, sf_dir, "documents"))
