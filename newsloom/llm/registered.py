@@ -81,3 +81,10 @@ def near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.near_copies import near_copies
 
     return near_copies(table(spark, sf_dir, "documents"))
+
+
+@query("op8_language_model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
