@@ -22,6 +22,8 @@ under ``WINDOW`` words keep everything. An empty table gives an empty one. Extra
 
 from __future__ import annotations
 
+from itertools import chain
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsloom.llm.columns import batches, saved, texts
-from newsloom.llm.wordhash import hashes, inside, rolling, sliding_min
+from newsloom.llm.wordhash import hashes, inside, mixed, rolling, sliding_min
 
 WINDOW, GRAM = 13, 5
-CROWD = 30_000
+CROWD = 100_000
 #: Stretches in a shard, on average.
 SHARD = 20_000
 #: Rows without an id.
@@ -90,32 +92,41 @@ def cut_stretches(batch: pa.RecordBatch) -> dict | None:
     return out
 
 
+def recurring_windows(ids: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window that several ids have, by hash: one place where it begins, and the least id."""
+    at, stretch = inside(starts, WINDOW)
+    if not len(at):
+        return at, at
+    window, doc = rolling(words, WINDOW)[at], ids[stretch]
+    order = np.argsort(window, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]]))
+    first, last = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
+    return at[order[heads[first < last]]], first[first < last]
+
+
 def match_shard(shard: pa.Table) -> pa.Table:
-    """Confirm the shard's windows, compile them, and stream its stretches through the automaton."""
-    ids = shard.column("id_key").to_pylist()
+    """Confirm the shard's windows, compile them, and stream its stretches through the automaton.
+
+    Hashes only choose what is compiled; the automaton compares the words themselves.
+    """
+    ids = shard.column("id_key").to_numpy()
     numbers: dict[bytes, int] = {}
-    streams = [tuple(numbers.setdefault(w, len(numbers)) for w in x.split(b" ")) for x in shard.column("words").to_pylist()]
-    first: dict[tuple, int] = {}
-    shared = set()
-    for doc, stream in zip(ids, streams):
-        for i in range(len(stream) - WINDOW + 1):
-            window = stream[i : i + WINDOW]
-            known = first.setdefault(window, doc)
-            if known != doc:
-                shared.add(window)
-                first[window] = min(known, doc)
+    streams = [tuple([numbers.setdefault(w, len(numbers)) for w in x.split(b" ")]) for x in shard.column("words").to_pylist()]
+    starts = np.cumsum([0] + [len(s) for s in streams])
+    words = np.fromiter(chain.from_iterable(streams), np.uint64, starts[-1])
+    places, first = recurring_windows(ids, mixed(words + np.uint64(1)), starts)
     found = {f: [] for f in ("id_key", "text_key", "place", "length")}
-    if shared:
+    if len(places):
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        number = {doc: i for i, doc in enumerate({first[w] for w in shared})}
-        owners = list(number)
-        for window in shared:
-            automaton.add_word(window, number[first[window]])
+        owners, owner = np.unique(first, return_inverse=True)
+        for window, n in zip(words[places[:, None] + np.arange(WINDOW)].tolist(), owner.tolist()):
+            automaton.add_word(tuple(window), n)
         automaton.make_automaton()
-        for doc, key, place, stream in zip(ids, shard.column("text_key").to_pylist(), shard.column("place").to_pylist(), streams):
+        owners = owners.tolist()
+        for doc, key, place, stream in zip(ids.tolist(), shard.column("text_key").to_pylist(), shard.column("place").to_pylist(), streams):
             begin = end = -1
-            for last, owner in automaton.iter(stream):
-                if owners[owner] >= doc:
+            for last, n in automaton.iter(stream):
+                if owners[n] >= doc:
                     continue
                 if last - WINDOW + 1 > end:
                     if end > 0:
