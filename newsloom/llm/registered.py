@@ -88,3 +88,10 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.lm import scores
 
     return scores(table(spark, sf_dir, "documents"))
+
+
+@query("op6_toxicity")
+def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
