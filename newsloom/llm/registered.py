@@ -95,3 +95,10 @@ def toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.toxicity import toxicity_scores
 
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op5_main_texts")
+def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.pages import main_texts
+
+    return main_texts(table(spark, sf_dir, "pages"))
