@@ -59,9 +59,10 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST) -
         F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
     )
     capped = sources.withColumn("level", level).withColumn("cap", most * F.col("source_size"))
-    # the first source whose cap is above its share at this level, and all behind it, are not capped
+    # the first source whose cap is above its share at its level is not capped, nor are those behind it; its level is theirs,
+    # the greatest from there on
     free = F.col("weight") * F.col("level") <= F.col("cap")
-    final = F.min(F.when(free, F.col("level"))).over(whole)
+    final = F.max(F.when(free, F.col("level"))).over(whole)
     return capped.select("source", "source_size", F.least("cap", F.coalesce(F.col("weight") * final, F.col("cap"))).cast("double").alias("target"))
 
 
@@ -139,7 +140,7 @@ with recursive d as (
     / (sum(weight) over () - coalesce(sum(weight) over (order by source_size / weight, source nulls last rows between unbounded preceding and 1 preceding), 0)) as level
   from s
 ), t as (
-  select source, source_size, least(cap, coalesce(weight * min(case when weight * level <= cap then level end) over (), cap)) target from l
+  select source, source_size, least(cap, coalesce(weight * max(case when weight * level <= cap then level end) over (), cap)) target from l
 ), n as (
   select *, case when source_size > 0 then floor(target / source_size + 1e-12) else 0 end times from t
 ), h as (

@@ -1,6 +1,6 @@
 """Near copies: MinHash bands, sequential Bayesian pruning, exact verification, components.
 
-A document's set holds its distinct groups of ``SHINGLE`` words (A-Z lower-cased), as 64-bit hashes; a shorter text
+A document's set holds its distinct groups of ``shingle`` words (A-Z lower-cased), as 64-bit hashes; a shorter text
 has its whole sequence as one. Documents whose sets have a Jaccard similarity of at least 80 % are linked.
 
 1. Every text gets 128 MinHash values of 16 bits; four in a row are a band and fit one long. Equal sets are
@@ -24,6 +24,7 @@ and are kept. Rows that repeat an id are one node. An empty table gives an empty
 
 from __future__ import annotations
 
+from functools import partial
 from math import comb
 
 import numpy as np
@@ -66,17 +67,17 @@ def least_equal() -> np.ndarray:
 NEEDED = least_equal()
 
 
-def shingle_sets(found: list[bytes]) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of every text."""
+def shingle_sets(found: list[bytes], shingle: int) -> list[np.ndarray]:
+    """Sorted distinct hashes of every ``shingle`` words in a row, for every text."""
     docs = [t.lower().split() for t in found]
     words, starts = hashes(docs)
-    at, _ = inside(starts, SHINGLE)
-    rolled = rolling(words, SHINGLE)[at] if len(at) else np.empty(0, np.uint64)
-    ends = np.cumsum(np.maximum(np.diff(starts) - SHINGLE + 1, 0))
+    at, _ = inside(starts, shingle)
+    rolled = rolling(words, shingle)[at] if len(at) else np.empty(0, np.uint64)
+    ends = np.cumsum(np.maximum(np.diff(starts) - shingle + 1, 0))
     out = []
     for i, doc in enumerate(docs):
-        if len(doc) >= SHINGLE:
-            out.append(np.unique(rolled[ends[i] - (len(doc) - SHINGLE + 1) : ends[i]]))
+        if len(doc) >= shingle:
+            out.append(np.unique(rolled[ends[i] - (len(doc) - shingle + 1) : ends[i]]))
         else:
             out.append(np.array([xxhash.xxh3_64_intdigest(b" ".join(doc))] if doc else [], np.uint64))
     return out
@@ -89,8 +90,8 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (least >> np.uint64(48)).astype(np.uint16)
 
 
-def sign(batch: pa.RecordBatch) -> dict:
-    sets = shingle_sets(texts(batch))
+def sign(batch: pa.RecordBatch, shingle: int) -> dict:
+    sets = shingle_sets(texts(batch), shingle)
     return {
         "doc_id": batch.column(1),
         "n_shingles": [len(s) for s in sets],
@@ -152,12 +153,12 @@ def verify(batch: pa.RecordBatch) -> dict:
     return {"a": batch.column(0).take(kept), "b": batch.column(1).take(kept)}
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
     """The pairs whose full sets are similar enough; only the documents in pairs are read again as sets."""
     needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
     def rebuild(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(texts(batch))
+        sets = shingle_sets(texts(batch), shingle)
         return {"doc_id": batch.column(1), "shingles": [s.tobytes() for s in sets]}
 
     schema = "doc_id long, shingles binary"
@@ -182,10 +183,10 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = saved(docs.select("text", "doc_id").mapInArrow(batches(sign, SIGNED), SIGNED))
+    signed = saved(docs.select("text", "doc_id").mapInArrow(batches(partial(sign, shingle=shingle), SIGNED), SIGNED))
     whole = signed.where("doc_id is not null and set_key is not null")
     groups = whole.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
     copies = saved(whole.join(groups.where("rep < last"), "set_key").where("doc_id <> rep").select("doc_id", "rep", "set_key").distinct())
@@ -198,7 +199,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     bands_of = lambda side: reps.select(F.col("doc_id").alias(side), F.col("bands").alias(f"of_{side}"))
     pairs = members.where("doc_id <> hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     likely = pairs.join(bands_of("b"), "b").join(bands_of("a"), "a").select("a", "b", "of_a", "of_b").mapInArrow(batches(prune, PAIR), PAIR).distinct()
-    links = saved(verified(saved(likely), docs))
+    links = saved(verified(saved(likely), docs, shingle))
     state = components(links)
 
     # band values that still hold several components
@@ -215,7 +216,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     )
     more = saved(dealt.groupBy("band", "value", "i", "j").applyInArrow(search_blocks, PAIR).distinct().join(likely_done(links, pairs), ["a", "b"], "left_anti"))
     if more.limit(1).count():
-        state = components(links.unionByName(verified(more, docs)))
+        state = components(links.unionByName(verified(more, docs, shingle)))
 
     rep_of = copies.groupBy("doc_id", "set_key").agg(F.min("rep").alias("rep"))
     rows = signed.join(rep_of, ["doc_id", "set_key"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
@@ -229,7 +230,7 @@ def likely_done(links: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b").unionByName(links.select("a", "b")).distinct()
 
 
-def without_near_copies(docs: DataFrame) -> DataFrame:
+def without_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
-    gone = near_copies(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_copies(docs, shingle).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -27,6 +27,7 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -198,7 +199,8 @@ def cut_words(batch: pa.RecordBatch) -> dict:
         kept = [w for w, d in zip(words, drop.tolist()) if not d] if removed else words
         out["kept"].append(b" ".join(kept))
         out["rest"].append(without(text, words, drop) if removed else text)
-    return {"row": batch.column(3), "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()), "rest": pa.array(out["rest"], pa.binary()).cast(pa.string())} | {f: out[f] for f in ("n_words", "n_removed")}
+    had = pc.is_valid(batch.column(0))
+    return {"row": batch.column(3), "had_text": had, "kept": pa.array(out["kept"], pa.binary()).cast(pa.string()), "rest": pa.array(out["rest"], pa.binary()).cast(pa.string())} | {f: out[f] for f in ("n_words", "n_removed")}
 
 
 def without(text: bytes, words: list[bytes], drop: np.ndarray) -> bytes:
@@ -221,10 +223,26 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     rows = keyed_rows(docs)
     copies = saved(later_copies(rows))
     found = rows.join(repeated_spans(rows, copies), "id_key", "left").join(copies, "id_key", "left")
-    schema = StructType([rows.schema["row"], *StructType.fromDDL("kept string, rest string, n_words long, n_removed long")])
+    schema = StructType([rows.schema["row"], *StructType.fromDDL("had_text boolean, kept string, rest string, n_words long, n_removed long")])
     return found.select("text", "id_key", "text_key", "row", "spans", "copies").mapInArrow(batches(cut_words, schema), schema)
 
 
 def repeat_digest(docs: DataFrame) -> DataFrame:
     """Per document: words, removed words, and the SHA-256 of what is kept."""
     return remove_repeats(docs.select("doc_id", "text")).select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """The documents without the words that an earlier document has, with all their columns.
+
+    ``n_chars``, if there is one, follows a text that changed. Documents of which nothing is left go; white space
+    around kept words stays as it was.
+    """
+    cut = remove_repeats(docs).where("n_removed < n_words or n_words = 0")
+    changed = F.col("n_removed") > 0
+    columns = {c: F.col("row").getField(c) for c in docs.columns if c != "text"}
+    # an untouched null stays null
+    columns["text"] = F.when(changed | (F.length("rest") > 0) | F.col("had_text"), F.col("rest"))
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(changed, F.length("rest").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return cut.select(*[columns[c].alias(c) for c in docs.columns])
