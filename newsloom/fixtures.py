@@ -140,14 +140,18 @@ from orders
 """
 
 GAZETTEER = """
-select lower(split_part(text, ' ', 1)) as term, min(item_id % 6) as label_no
-from benchmark where length(split_part(text, ' ', 1)) >= 4 group by 1
+select term, min(item_id % 6) as label_no
+from (select item_id, {each_word} as term from (select item_id, lower(text) as text from benchmark)) where term <> '' group by 1
 """
 
 RAW_ENTITIES = """
-select id as article_id, 1 as pos, split_part(title, ' ', 1) as text, 'person' as label from articles
-union all select id, 2, lower(split_part(title, ' ', 1)), 'person' from articles
-union all select id, 3, split_part(title, ' ', 3), 'location' from articles
+select id as article_id, cast(row_number() over (partition by id order by text, label) as int) as pos, text, label
+from (select id, word as text, case when length(word) % 2 = 0 then 'person' else 'location' end as label
+      from (select id, {each_word} as word from (select id, title as text from articles))
+      union all
+      select id, lower(word), case when length(word) % 2 = 0 then 'person' else 'location' end
+      from (select id, {each_word} as word from (select id, title as text from articles)))
+where text <> ''
 """
 
 # one outcome per event, one run per day and event type
@@ -199,7 +203,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str, parallel: bool = False)
             scan.createOrReplaceTempView(table)
     for needed in DEPENDS.get(name, []):
         derived(spark, sf_dir, needed, parallel).createOrReplaceTempView(needed)
-    df = spark.sql(DERIVED[name])
+    df = spark.sql(DERIVED[name].replace("{each_word}", "explode(split(text, '[^\\\\p{L}\\\\p{N}_]+'))"))
     for field in df.schema.fields:
         if field.dataType.simpleString() == "timestamp_ntz":
             df = df.withColumn(field.name, F.col(field.name).cast("timestamp"))
@@ -243,4 +247,5 @@ def ctes(*names: str) -> str:
         for needed in [*DEPENDS.get(name, []), name]:
             if needed not in ordered:
                 ordered.append(needed)
-    return "with " + ",\n".join(f"{name} as ({DERIVED[name]})" for name in ordered) + "\n"
+    words = r"unnest(string_split_regex(text, '[^\p{L}\p{N}_]+'))"
+    return "with " + ",\n".join(f"{name} as ({DERIVED[name].replace('{each_word}', words)})" for name in ordered) + "\n"

@@ -29,6 +29,8 @@ _RFC = (
     r"(\d{1,2}):(\d{2})(?::(\d{2}))?\s*([A-Za-z]+|[+-]\d{4})?\b"
 )
 _ISO = r"^\s*\d{4}-\d{2}-\d{2}(?:$|[T ]\d{2})"
+_ISO_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_ISO_LOCAL = r"^\d{4}-\d{2}-\d{2}[T ][0-9:.]+$"
 _ISO_BASIC = r"^\s*\d{8}T\d{6}\s*$"
 
 
@@ -61,28 +63,42 @@ def _rfc_timestamp(text: Column) -> Column:
         full_year,
         F.concat_ws(":", part(4), part(5), F.coalesce(F.nullif(part(6), F.lit("")), F.lit("00"))),
     )
-    local = F.try_to_timestamp(plain, F.lit("d MMM yyyy H:mm:ss"))
+    local = _utc(plain, "d MMM yyyy H:mm:ss")
     return F.when(text.rlike(_RFC), local - F.make_dt_interval(mins=_zone_minutes(part(7))))
 
 
+def _utc(text: Column, pattern: str) -> Column:
+    """A text without zone as an instant in UTC, whatever the session's zone is."""
+    return F.try_to_timestamp(F.concat(text, F.lit(" +0000")), F.lit(f"{pattern} xx"))
+
+
 def _iso_timestamp(text: Column) -> Column:
+    plain = F.trim(text)
+    zoned = (
+        F.when(plain.rlike(_ISO_DAY), F.concat(plain, F.lit("T00:00:00Z")))
+        .when(plain.rlike(_ISO_LOCAL), F.concat(plain, F.lit("Z")))
+        .otherwise(plain)
+    )
     return F.coalesce(
-        F.when(text.rlike(_ISO), F.trim(text).try_cast("timestamp")),
-        F.when(text.rlike(_ISO_BASIC), F.try_to_timestamp(F.trim(text), F.lit("yyyyMMdd'T'HHmmss"))),
+        F.when(text.rlike(_ISO), zoned.try_cast("timestamp")),
+        F.when(text.rlike(_ISO_BASIC), _utc(plain, "yyyyMMdd'T'HHmmss")),
     )
 
 
 def parse_feed_date(c: Column) -> Column:
-    """RFC 2822, else ISO 8601; a date without zone counts as UTC (the session's zone)."""
+    """RFC 2822, else ISO 8601; a date without zone counts as UTC."""
     return F.coalesce(_rfc_timestamp(c), _iso_timestamp(c))
 
 
 def parse_compact_date(c: Column) -> Column:
     """``yyyyMMddTHHmmss`` with or without trailing ``Z``, in UTC."""
     text = F.regexp_replace(c, "Z+$", "")
-    return F.when(
-        text.rlike(r"^\d{8}T\d{6}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd'T'HHmmss"))
-    )
+    return F.when(text.rlike(r"^\d{8}T\d{6}$"), _utc(text, "yyyyMMdd'T'HHmmss"))
+
+
+def utc_day(instant: Column) -> Column:
+    """The UTC day of an instant, whatever the session's zone is."""
+    return F.to_date(F.to_utc_timestamp(instant, F.current_timezone()))
 
 
 def hours_before(as_of: Column, hours: float) -> Column:
@@ -92,4 +108,4 @@ def hours_before(as_of: Column, hours: float) -> Column:
 def since(as_of: Column, hours: float, day_granular: bool = False) -> Column:
     """Start of a "last N hours" window; ``day_granular`` rounds it down to the UTC day."""
     start = hours_before(as_of, hours)
-    return F.date_trunc("day", start) if day_granular else start
+    return F.timestamp_seconds(F.unix_date(utc_day(start)) * 86400) if day_granular else start

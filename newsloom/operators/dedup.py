@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.merge import without_known
 from newsloom.operators.near_hash import near_pairs
 from newsloom.session import cut_lineage
 
@@ -21,15 +22,18 @@ FINISH_HASHES = 20_000
 
 
 def dedup_url(batch: DataFrame, existing: DataFrame) -> DataFrame:
-    """Rows with an unknown URL, the first of each URL within the batch. ``ord`` is unique.
+    """Rows with an unknown URL, one of each URL within the batch: the first, and of rows in one place the one
+    with the least hash of all its values.
 
-    The choice is made on URL and place alone, so article texts are not grouped or
+    The choice is made on URL, place and hash alone, so article texts are not grouped or
     sorted, and a URL shared by very many rows is reduced before the shuffle.
     """
-    first = batch.groupBy("source_url").agg(F.min(F.struct("ord", "id")).alias("first"))
-    fresh = first.join(existing.select("source_url"), "source_url", "left_anti")
-    chosen = fresh.select("source_url", "first.ord", "first.id")
-    return batch.join(chosen, ["source_url", "ord", "id"], "left_semi").select(*batch.columns)
+    marked = batch.withColumn("_row", F.xxhash64(*[F.col(f"`{c}`") for c in batch.columns]))
+    first = marked.groupBy("source_url").agg(F.min(F.struct("ord", "id", "_row")).alias("first"))
+    fresh = without_known(first, existing, "source_url")
+    chosen = fresh.select("source_url", "first.ord", "first.id", "first._row")
+    kept = marked.join(chosen, ["source_url", "ord", "id", "_row"], "left_semi").select(*batch.columns)
+    return kept.dropDuplicates(["source_url"])  # only equal rows are left to choose from
 
 
 def first_per_hash(batch: DataFrame) -> DataFrame:
@@ -93,7 +97,7 @@ def dedup_simhash(
     batch: DataFrame, recent: DataFrame | None = None, t: int = 3, finish_hashes: int = FINISH_HASHES
 ) -> DataFrame:
     """The rows a pass in arrival order keeps: no stored hash and no hash of an earlier
-    kept row is within ``t`` bits. ``batch`` has id, simhash and ord.
+    kept row is within ``t`` bits. ``batch`` has id, simhash and ord; of an id only its first row counts.
 
     Computed in rounds instead of row by row (Blelloch, Fineman, Shun 2012). In a
     round an undecided hash is dropped if an earlier one near it was kept last
@@ -101,7 +105,9 @@ def dedup_simhash(
     waiting hashes enter the next round; once at most ``finish_hashes`` are left,
     one task completes the pass.
     """
-    batch = batch.select("id", "simhash", "ord")
+    # one row per id: its first
+    first = batch.groupBy("id").agg(F.min(F.struct("ord", "simhash")).alias("f"))
+    batch = first.select("id", "f.simhash", "f.ord")
     undecided = cut_lineage(first_per_hash(batch))
     if recent is not None:
         undecided = cut_lineage(_without_near(undecided, recent, t))

@@ -58,6 +58,6 @@ def embed_articles(
     max_chars: int = 1500,
     idf: IDFModel | None = None,
 ) -> DataFrame:
-    """Articles with the embedding of title and summary, cut to ``max_chars``."""
-    cut = articles.withColumn("_text", article_text(articles, max_chars))
+    """Articles with the embedding of title and summary, of which a model reads at most ``max_chars`` characters."""
+    cut = articles.withColumn("_text", article_text(articles, max_chars if fn else None))
     return embed_text(cut, "_text", fn, dim, idf).drop("_text")

@@ -37,8 +37,8 @@ def distinct_entities(raw: DataFrame) -> DataFrame:
 
 
 def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int = 1) -> DataFrame:
-    """article_id, pos, text, label: word runs of up to ``max_words`` found in the gazetteer
-    ``(term, label)``, terms in lower case. ``texts``: article_id, text."""
+    """article_id, pos, text, label: the first place in each article of every term of the gazetteer
+    ``(term, label)`` of up to ``max_words`` words, terms in lower case. ``texts``: article_id, text."""
     words = F.filter(F.split("text", f"[^{WORD[1:-1]}]+"), lambda w: w != "")
     listed = texts.select("article_id", words.alias("words"))
 
@@ -54,11 +54,12 @@ def gazetteer_mentions(texts: DataFrame, gazetteer: DataFrame, max_words: int =
 
     runs = listed.select("article_id", F.inline(F.concat(*[spans(n) for n in range(1, max_words + 1)])))
     runs = runs.withColumn("term", F.lower("text"))
+    place = F.min(F.struct("pos", "text")).alias("first")
     if gazetteer.limit(MAX_SENT_TERMS + 1).count() <= MAX_SENT_TERMS:
-        return runs.join(F.broadcast(gazetteer), "term").select("article_id", "pos", "text", "label")
-    # A frequent word counts once per article, at its first place, before anything moves.
-    first = runs.groupBy("article_id", "term").agg(F.min(F.struct("pos", "text")).alias("first"))
-    return first.join(gazetteer, "term").select("article_id", "first.pos", "first.text", "label")
+        found = runs.join(F.broadcast(gazetteer), "term").groupBy("article_id", "term", "label").agg(place)
+    else:  # a frequent word counts once per article before anything moves
+        found = runs.groupBy("article_id", "term").agg(place).join(gazetteer, "term").distinct()
+    return found.select("article_id", "first.pos", "first.text", "label")
 
 
 def extract_entities(
@@ -68,13 +69,13 @@ def extract_entities(
     max_chars: int = 2000,
     max_words: int = 1,
 ) -> DataFrame:
-    """id, article_id, text, label, pos: distinct entities in title and content, cut to ``max_chars``.
+    """id, article_id, text, label, pos: distinct entities in title and content.
 
-    ``fn`` maps a batch of texts to lists of ``{text, label, score}``; entities with
+    A model reads at most ``max_chars`` characters; gazetteer and names read the whole text. ``fn`` maps a batch of texts to lists of ``{text, label, score}``; entities with
     a known label and a score of at least 0.4 count.
     """
     texts = articles.select(
-        F.col("id").alias("article_id"), article_text(articles, max_chars, body="content").alias("text")
+        F.col("id").alias("article_id"), article_text(articles, max_chars if fn else None, body="content").alias("text")
     )
     if fn is not None:
         model = F.pandas_udf(fn, "array<struct<text:string,label:string,score:double>>")

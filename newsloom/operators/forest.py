@@ -113,6 +113,6 @@ def spanning_forest(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> tuple
     return forest, labels.join(names, "comp").select("node", "component")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, finish_edges: int = FINISH_EDGES) -> DataFrame:
     """``(node, component)`` of the edges ``(a, b)``."""
-    return spanning_forest(edges.select("a", "b", F.lit(1.0).alias("w")))[1]
+    return spanning_forest(edges.select("a", "b", F.lit(1.0).alias("w")), finish_edges)[1]

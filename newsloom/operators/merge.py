@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# Distinct keys of a batch that are sent to the stored ones.
+MAX_SENT_KEYS = 200_000
+
 def merge_feeds(feeds: DataFrame, config: DataFrame) -> DataFrame:
     """The feed table after the configuration took effect.
 
@@ -60,9 +63,22 @@ def first_per_key(df: DataFrame, key: str, order: list[Column | str]) -> DataFra
     return picked.select("_row.*")
 
 
+def without_known(rows: DataFrame, existing: DataFrame, key: str, sent: int = MAX_SENT_KEYS) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``existing``.
+
+    An anti-join could only send or move the history. The keys of a batch of at most ``sent`` go to the history
+    instead, which is read once in place; what it finds there is as small as the batch.
+    """
+    keys = rows.select(key).distinct()
+    if keys.limit(sent + 1).count() > sent:
+        return rows.join(existing.select(key), key, "left_anti")
+    known = existing.select(key).join(F.broadcast(keys), key, "left_semi").distinct()
+    return rows.join(F.broadcast(known), key, "left_anti")
+
+
 def new_urls(batch: DataFrame, existing: DataFrame) -> DataFrame:
     """Rows of the batch whose URL is not stored yet."""
-    return batch.join(existing.select("source_url"), "source_url", "left_anti").select(*batch.columns)
+    return without_known(batch, existing, "source_url").select(*batch.columns)
 
 
 def insertable_articles(existing: DataFrame, new: DataFrame, order: list[Column | str]) -> DataFrame:
@@ -77,7 +93,7 @@ def append_articles(existing: DataFrame, new: DataFrame, order: list[Column | st
 
 def insert_ignore(existing: DataFrame, new: DataFrame, key: str, order: list[Column | str]) -> DataFrame:
     """Union that keeps stored rows on a key clash and the first of equal new keys."""
-    added = first_per_key(new, key, order).join(existing.select(key), key, "left_anti")
+    added = without_known(first_per_key(new, key, order), existing, key)
     return existing.unionByName(added.select(*existing.columns))
 
 

@@ -29,6 +29,11 @@ def article_id(url: Column) -> Column:
     return F.sha2(url, 256)
 
 
+def carried(df: DataFrame) -> list[str]:
+    """The column that orders payloads, if there is one."""
+    return [c for c in ("payload",) if c in df.columns]
+
+
 def normalize_rss(entries: DataFrame, feeds: DataFrame, as_of: Column) -> DataFrame:
     """Articles of feed entries, plus ``feed_id`` and ``item_seq``.
 
@@ -45,6 +50,7 @@ def normalize_rss(entries: DataFrame, feeds: DataFrame, as_of: Column) -> DataFr
         clean_html(F.coalesce(first_content, F.lit(""))).alias("body"),
         F.coalesce("author", F.lit("")).alias("author"),
         parse_feed_date(non_empty(F.col("published"), F.col("updated"))).alias("published_at"),
+        *carried(entries),
     ).where((F.length("source_url") > 0) & (F.length("title") > 0))
     origin = feeds.select(
         F.col("id").alias("feed_id"), F.col("name").alias("source_feed"), "region", "category"
@@ -54,7 +60,7 @@ def normalize_rss(entries: DataFrame, feeds: DataFrame, as_of: Column) -> DataFr
         .withColumn("content", non_empty(F.col("body"), F.col("summary")))
         .withColumn("id", article_id(F.col("source_url")))
         .withColumn("ingested_at", as_of)
-        .select(*ARTICLE_COLUMNS, "feed_id", "item_seq")
+        .select(*ARTICLE_COLUMNS, "feed_id", "item_seq", *carried(entries))
     )
 
 
@@ -76,4 +82,5 @@ def normalize_gdelt(records: DataFrame, as_of: Column) -> DataFrame:
         parse_compact_date(F.col("seendate")).alias("published_at"),
         as_of.alias("ingested_at"),
         "item_seq",
+        *carried(records),
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.functions.dates import since
+from newsloom.functions.dates import since, utc_day
 
 def newest_first() -> list[Column]:
     return [F.desc_nulls_last("published_at"), F.asc("id")]
@@ -19,7 +19,7 @@ def within(
     start = since(as_of, hours, day_granular)
     recent = df.where(F.col(column) > start)
     if column == "ingested_at" and "ingest_date" in df.columns:
-        recent = recent.where(F.col("ingest_date") >= F.to_date(start))
+        recent = recent.where(F.col("ingest_date") >= utc_day(start))
     return recent
 
 

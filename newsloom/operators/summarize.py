@@ -18,13 +18,15 @@ HEADINGS = ["1. Key developments", "2. Notable entities involved", "3. Potential
 
 
 def _safe(fn: TextFn) -> TextFn:
-    """A model that fails leaves empty texts."""
+    """A model that fails leaves empty texts, only where it fails: a failed batch is tried row by row."""
 
     def run(batch: pd.Series) -> pd.Series:
         try:
             return fn(batch).fillna("").str.strip()
         except Exception:  # noqa: BLE001
-            return pd.Series([""] * len(batch))
+            if len(batch) <= 1:
+                return pd.Series([""] * len(batch), index=batch.index)
+            return pd.concat([run(batch.iloc[i : i + 1]) for i in range(len(batch))]).reset_index(drop=True)
 
     return run
 

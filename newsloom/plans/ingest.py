@@ -64,18 +64,19 @@ class Ingested:
 def arrivals(entries: DataFrame | None, records: DataFrame | None, feeds: DataFrame, as_of: Column) -> DataFrame:
     """Normalized articles of both sources with their place in the order of arrival.
 
-    Feeds come in the order of their ids, API records after all feeds.
+    Feeds come in the order of their ids, API records after all feeds; payloads of one feed in the order
+    of ``payload`` (landing time and file name) or ``payload_id``, if there is one.
     """
     parts = []
     if entries is not None:
-        rss = normalize_rss(entries, feeds.where("enabled"), as_of)
+        rss = normalize_rss(with_payload(entries), feeds.where("enabled"), as_of)
         parts.append(
-            rss.select(*ARTICLE_COLUMNS, F.lit(RSS).alias("source_seq"), "feed_id", "item_seq")
+            rss.select(*ARTICLE_COLUMNS, F.lit(RSS).alias("source_seq"), "feed_id", "payload", "item_seq")
         )
     if records is not None:
-        gdelt = normalize_gdelt(records, as_of)
+        gdelt = normalize_gdelt(with_payload(records), as_of)
         parts.append(
-            gdelt.select(*ARTICLE_COLUMNS, F.lit(GDELT).alias("source_seq"), F.lit("").alias("feed_id"), "item_seq")
+            gdelt.select(*ARTICLE_COLUMNS, F.lit(GDELT).alias("source_seq"), F.lit("").alias("feed_id"), "payload", "item_seq")
         )
     both = parts[0]
     for more in parts[1:]:
@@ -83,6 +84,11 @@ def arrivals(entries: DataFrame | None, records: DataFrame | None, feeds: DataFr
     return both
 
 
+def with_payload(df: DataFrame) -> DataFrame:
+    name = next((c for c in ("payload", "payload_id") if c in df.columns), None)
+    return df.withColumn("payload", F.coalesce(F.col(name).cast("string"), F.lit("")) if name else F.lit(""))
+
+
 def _batch_numbers(batch: DataFrame) -> DataFrame:
     """``batch_seq``: the feeds of the run numbered in order of source and feed id."""
     feeds = batch.select("source_seq", "feed_id").distinct()
@@ -110,7 +116,7 @@ def ingest_batch(
     last 48 hours and within the run; vectors with all stored ones and with earlier feeds.
     """
     batch = cut_lineage(_batch_numbers(batch))
-    placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "item_seq"))
+    placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "payload", "item_seq"))
     fresh = dedup_url(placed, tables.articles)
     hashes = fresh.select("id", "ord", simhash(article_text(fresh)).alias("simhash"))
     recent = recent_simhashes(tables.articles, as_of, settings.simhash_window_hours)

@@ -8,7 +8,7 @@ from newsloom import fixtures as fx
 from newsloom.functions.hashing import hamming, simhash
 from newsloom.functions.text import article_text
 from newsloom.operators import dedup
-from newsloom.registry import query
+from newsloom.registry import ORACLES, query
 from newsloom.registry.sqlparts import simhash_sql
 from newsloom.registry.storage import HISTORY
 
@@ -109,3 +109,9 @@ def deduped_against_stored(spark, sf):
     hashed = hashed_articles(spark, sf)
     kept = dedup.dedup_simhash(hashed.where(f"not {HISTORY}"), hashed.where(HISTORY))
     return kept.select("id")
+
+
+@query("dedup_simhash_rounds", ORACLES["dedup_simhash"])
+def deduped_in_rounds(spark, sf):
+    """The same pass with its rounds, down to the last few hashes."""
+    return dedup.dedup_simhash(hashed_articles(spark, sf), finish_hashes=20).select("id")

@@ -81,6 +81,42 @@ def rss_entries(spark, sf):
     )
 
 
+# One Atom document per page, RSS 1.0 for every other one.
+ATOM_BODY = """
+select concat('feed', cast(page_id as string)) as feed_id,
+       case when page_id % 2 = 0
+            then concat('<feed xmlns="http://www.w3.org/2005/Atom"><title>c</title><entry><title>One ', cast(page_id as string),
+                        '</title><link rel="self" href="x"/><link rel="alternate" href="', replace(url, '&', '&amp;'),
+                        '"/><summary>s ', cast(page_id as string), '</summary><updated>2024-01-01T00:00:00Z</updated>',
+                        '<author><name>A</name></author></entry><entry><title>Two</title><link href="https://example.com/',
+                        cast(page_id as string), '"/></entry></feed>')
+            else concat('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"><channel><title>c</title></channel>',
+                        '<item><title>One ', cast(page_id as string), '</title><link>', replace(url, '&', '&amp;'),
+                        '</link><description>s ', cast(page_id as string), '</description><dc:date>2024-01-01T00:00:00Z</dc:date>',
+                        '<dc:creator>A</dc:creator></item><item><title>Two</title><link>https://example.com/',
+                        cast(page_id as string), '</link></item></rdf:RDF>') end as body
+from pages
+"""
+
+
+@query(
+    "atom_entries",
+    """
+    select concat('feed', cast(page_id as string)) as feed_id, cast(i as bigint) as item_seq,
+           case i when 0 then concat('One ', cast(page_id as string)) else 'Two' end as title,
+           case i when 0 then trim(url) else concat('https://example.com/', cast(page_id as string)) end as link,
+           case i when 0 then concat('s ', cast(page_id as string)) end as about,
+           case i when 0 then '2024-01-01T00:00:00Z' end as dated, case i when 0 then 'A' end as author
+    from pages, (values (0), (1)) as t(i)
+    """,
+)
+def atom_entries(spark, sf):
+    fx.base(spark, sf, "pages").createOrReplaceTempView("pages")
+    entries = parse_feed_payloads(spark.sql(ATOM_BODY))
+    about, dated = F.coalesce("summary", "description").alias("about"), F.coalesce("published", "updated").alias("dated")
+    return entries.select("feed_id", "item_seq", "title", F.trim("link").alias("link"), about, dated, "author")
+
+
 @query(
     "fetch_outcome",
     fx.ctes("feeds", "fetches")

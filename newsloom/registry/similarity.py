@@ -8,7 +8,7 @@ from newsloom import fixtures as fx
 from newsloom.functions.vectors import cosine
 from newsloom.operators import vector_search as vs
 from newsloom.operators.cluster import neighbour_edges
-from newsloom.registry import query
+from newsloom.registry import ORACLES, query
 
 COS = "list_cosine_similarity(cast({} as double[]), cast({} as double[]))"
 
@@ -132,14 +132,42 @@ def search_filtered(spark, sf):
     return found.withColumn("score", F.round("score", 4))
 
 
+# The same with limits that the small tables pass, so that the ways for large ones run.
+BLOCKS = {"max_sent": 0, "block_rows": 50}
+
+
+@query("knn_blocks", ORACLES["knn_topk"])
+def knn_in_blocks(spark, sf):
+    found = vs.knn(fx.derived(spark, sf, "vectors"), fx.topic_vectors(spark, sf), **BLOCKS)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("cosine_blocks", ORACLES["cosine_pairs"])
+def cosine_pairs_in_blocks(spark, sf):
+    found = vs.best_matches(fx.incoming_vectors(spark, sf), fx.derived(spark, sf, "vectors"), 0.6, **BLOCKS)
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("dedup_vectors_rounds", ORACLES["dedup_vectors_in_order"])
+def deduped_in_rounds(spark, sf):
+    fed = fx.incoming_vectors(spark, sf).withColumn("batch_seq", F.col("kind"))
+    kept = vs.dedup_vectors_in_order(fed, fx.derived(spark, sf, "vectors").limit(0), 0.7, finish_rows=10)
+    return kept.select("article_id", "batch_seq")
+
+
+# unit vectors, pair scores and ranks are each computed once
 NEIGHBOURS = (
     fx.ctes("vectors")
-    + f""", near as (
-        select a.article_id, b.article_id as neighbour_id,
-               sqrt(greatest(2 - 2 * round({COS.format('a.embedding', 'b.embedding')}, 12), 0)) as distance,
-               row_number() over (partition by a.article_id
-                   order by round({COS.format('a.embedding', 'b.embedding')}, 12) desc, b.article_id) as rank
-        from vectors a join vectors b on a.article_id <> b.article_id),
+    + """, units as materialized (
+        select article_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) as u
+        from (select article_id, cast(embedding as double[]) as v from vectors)),
+    pairs as materialized (
+        select a.article_id, b.article_id as neighbour_id, round(list_inner_product(a.u, b.u), 12) as score
+        from units a join units b on a.article_id <> b.article_id),
+    near as materialized (
+        select article_id, neighbour_id, sqrt(greatest(2 - 2 * score, 0)) as distance,
+               row_number() over (partition by article_id order by score desc, neighbour_id) as rank
+        from pairs qualify rank <= 3),
     core as (select article_id, distance as core from near where rank = 3)
     """
 )

@@ -12,7 +12,7 @@ from newsloom.operators.embed import embed_articles
 from newsloom.operators.entities import LABELS, distinct_entities, extract_entities
 from newsloom.operators.forest import components
 from newsloom.operators.summarize import summarize_clusters
-from newsloom.registry import query
+from newsloom.registry import ORACLES, query
 from newsloom.registry.dedup import HASHES, hashed_articles
 from newsloom.registry.storage import article_clusters
 
@@ -40,7 +40,7 @@ def entity_distinct(spark, sf):
 @query(
     "extract_entities",
     fx.ctes("articles", "gazetteer")
-    + f""", texts as (select id, {WORDS_SQL.format("substring(title || ' ' || content, 1, 2000)")} as words from articles),
+    + f""", texts as (select id, {WORDS_SQL.format("title || ' ' || content")} as words from articles),
     tokens as (select id, unnest(words) as text, generate_subscripts(words, 1) as pos from texts)
     select t.id as article_id, min(t.pos) as pos, min_by(t.text, t.pos) as text,
            case g.label_no {' '.join(f"when {i} then '{label}'" for i, label in enumerate(LABELS))} end as label
@@ -94,6 +94,13 @@ def near_copy_groups(spark, sf):
     return components(pairs.select(F.col("id").alias("a"), F.col("match_id").alias("b")))
 
 
+@query("components_rounds", ORACLES["components"])
+def near_copy_groups_in_rounds(spark, sf):
+    """The same with the rounds, down to the last few edges."""
+    pairs = simhash_pairs(hashed_articles(spark, sf))
+    return components(pairs.select(F.col("id").alias("a"), F.col("match_id").alias("b")), finish_edges=5)
+
+
 @query("cluster_stories")
 def clustered_stories(spark, sf):
     """Stored and new vectors of the whole month, before any clustering."""

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from newsloom import fixtures as fx
+from newsloom.operators.dedup import dedup_url
 from newsloom.plans.ingest import arrivals, ingest_batch
 from newsloom.registry import query
 from newsloom.registry.ingest import PAYLOAD_BODY
@@ -46,6 +47,29 @@ def ingest_chain(spark, sf):
     )
 
 
+@query(
+    "ingest_same_url",
+    fx.ctes("gdelt_raw")
+    + """, urls as (
+        select trim(regexp_replace(url, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) as u from pages
+        union select concat('https://example.com/', cast(page_id as varchar)) from pages)
+    select cast(count(*) as bigint) as urls, cast(4 * (select count(*) from pages) as bigint) as arrived from urls where u <> ''""",
+)
+def ingest_same_url(spark, sf):
+    """Every page's payload landed twice in one run, the second time with changed texts: one row for each URL."""
+    fx.base(spark, sf, "pages").createOrReplaceTempView("pages")
+    once = spark.sql(PAYLOAD_BODY)
+    again = once.withColumn("body", F.replace(F.col("body"), F.lit("<title>"), F.lit("<title>Again: ")))
+    payloads = once.withColumn("payload", F.lit("1")).unionByName(again.withColumn("payload", F.lit("2")))
+    batch = cut_lineage(arrivals(parse_feed_payloads(payloads), None, page_feeds(spark, sf), fx.as_of()))
+    placed = batch.withColumn("ord", F.struct("source_seq", "feed_id", "payload", "item_seq"))
+    fresh = dedup_url(placed, NewsTables.empty(spark).articles)
+    arrived = batch.agg(F.count("*").alias("arrived"))
+    kept = fresh.agg(F.count("*").alias("urls"), F.countDistinct("source_url").alias("distinct_urls"), F.countDistinct("id").alias("ids"))
+    checked = kept.where("urls = distinct_urls and urls = ids").select("urls")
+    return checked.join(arrived, F.lit(True))
+
+
 def landed(spark, sf):
     """All payloads as rows, in the form the stream reads."""
     fx.base(spark, sf, "pages").createOrReplaceTempView("pages")

@@ -80,13 +80,19 @@ def validate_feeds(config: DataFrame) -> DataFrame:
     return by_row.unionByName(repeated_ids).unionByName(repeated_urls).unionByName(empty)
 
 
+# Broken rules that an error names; it says how many there are.
+SHOWN = 20
+
+
 class FeedConfigError(ValueError):
     """The feed configuration breaks at least one rule."""
 
 
 def load_feeds(config: DataFrame) -> DataFrame:
     """The configuration with defaults filled in; raises if any rule is broken."""
-    broken = validate_feeds(config).limit(20).collect()
+    found = validate_feeds(config)
+    broken = found.limit(SHOWN).collect()
     if broken:
-        raise FeedConfigError("; ".join(f"{r['rule']}: id={r['id']!r} url={r['url']!r}" for r in broken))
+        shown = "; ".join(f"{r['rule']}: id={r['id']!r} url={r['url']!r}" for r in broken)
+        raise FeedConfigError(f"{found.count()} broken rules, all in validate_feeds(config); some of them: {shown}")
     return with_defaults(config)

@@ -2,18 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-RAW_ITEM = (
-    "title string, link string, description string, summary string, `content:encoded` string, "
-    "pubDate string, updated string, author string, `dc:creator` string"
+_ITEM = (
+    "title:string,link:string,description:string,summary:string,`content:encoded`:string,"
+    "pubDate:string,`dc:date`:string,updated:string,author:string,`dc:creator`:string"
 )
-_CHANNEL = (
-    "struct<channel:struct<item:array<struct<title:string,link:string,description:string,"
-    "summary:string,`content:encoded`:string,pubDate:string,updated:string,author:string,"
-    "`dc:creator`:string>>>>"
+_ENTRY = (
+    "title:string,link:array<struct<_href:string,_rel:string>>,summary:string,content:string,"
+    "published:string,updated:string,author:array<struct<name:string>>"
 )
+# RSS 2.0 has its items in a channel, RSS 1.0 beside it, Atom has entries
+_FEED = f"struct<channel:struct<item:array<struct<{_ITEM}>>>,item:array<struct<{_ITEM}>>,entry:array<struct<{_ENTRY}>>>"
+
+
+def feed_of_file(name: Column | str) -> Column:
+    """``<feed id>.<anything>``: the id is what stands before the first dot."""
+    return F.regexp_extract(name, r"^([^.]*)", 1)
+
+
+def _of_atom(entry: Column) -> Column:
+    """An Atom entry in the fields of an item. The link is the alternate one, else the first."""
+    links = F.coalesce(entry["link"], F.array().cast("array<struct<_href:string,_rel:string>>"))
+    page = F.filter(links, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate")
+    link = F.coalesce(F.try_element_at(page, F.lit(1)), F.try_element_at(links, F.lit(1)))
+    none = F.lit(None).cast("string")
+    return F.struct(
+        entry["title"].alias("title"),
+        link["_href"].alias("link"),
+        none.alias("description"),
+        entry["summary"].alias("summary"),
+        entry["content"].alias("content:encoded"),
+        entry["published"].alias("pubDate"),
+        none.alias("dc:date"),
+        entry["updated"].alias("updated"),
+        F.try_element_at(entry["author"], F.lit(1))["name"].alias("author"),
+        none.alias("dc:creator"),
+    )
 
 
 def _entries(items: DataFrame) -> DataFrame:
@@ -21,48 +47,45 @@ def _entries(items: DataFrame) -> DataFrame:
     return items.select(
         "feed_id",
         "item_seq",
+        *[c for c in ("payload",) if c in items.columns],
         "link",
         "title",
         "summary",
         "description",
         F.when(encoded.isNotNull(), F.array(F.struct(encoded.alias("value")))).alias("content"),
-        F.col("pubDate").alias("published"),
+        F.coalesce("pubDate", "`dc:date`").alias("published"),
         "updated",
         F.coalesce("author", "`dc:creator`").alias("author"),
     )
 
 
 def read_feed_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of landed RSS files named ``<feed_id>.xml`` below ``path``.
+    """Entries of landed feed files named ``<feed id>.<anything>.xml`` below ``path``.
 
-    The XML source splits files into ``item`` rows. A file that is not XML gives
-    no rows and does not stop the others.
+    Each file is one document, so an entry's place in it does not depend on how files are split.
+    A file that is not XML gives no rows and does not stop the others.
     """
-    raw = (
-        spark.read.format("xml")
-        .option("rowTag", "item")
-        .option("mode", "DROPMALFORMED")
-        .schema(RAW_ITEM)
-        .load(path)
-    )
-    items = raw.withColumn(
-        "feed_id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)(?:\.[^.]*)?$", 1)
-    ).withColumn("item_seq", F.monotonically_increasing_id())
-    return _entries(items)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
+    name = F.col("_metadata.file_name")
+    return parse_feed_payloads(files.select(feed_of_file(name).alias("feed_id"), name.alias("payload"), F.col("value").alias("body"))).drop("payload")
 
 
 def parse_feed_payloads(payloads: DataFrame) -> DataFrame:
-    """Entries of payload rows ``(feed_id, body)``, in document order.
+    """Entries of payload rows ``(feed_id, body)`` in document order: RSS 2.0 and 1.0 items, Atom entries.
 
-    For payloads that arrive as text rows (a landed table or a stream) instead of files.
+    For payloads that arrive as text rows (a landed table or a stream). ``payload`` is kept if there.
     """
-    doc = F.from_xml(F.col("body"), _CHANNEL, {"mode": "PERMISSIVE"})
-    items = (
-        payloads.select("feed_id", doc.alias("doc"))
-        .select("feed_id", F.posexplode("doc.channel.item").alias("item_seq", "item"))
-        .select("feed_id", F.col("item_seq").cast("bigint").alias("item_seq"), "item.*")
-    )
-    return _entries(items)
+    doc = F.from_xml(F.col("body"), _FEED, {"mode": "PERMISSIVE"})
+    kept = [c for c in ("feed_id", "payload") if c in payloads.columns]
+    parsed = payloads.select(*kept, doc.alias("doc"))
+    none = F.array().cast(f"array<struct<{_ITEM}>>")
+    found = [
+        F.coalesce("doc.channel.item", none),
+        F.coalesce("doc.item", none),
+        F.coalesce(F.transform("doc.entry", _of_atom), none).cast(f"array<struct<{_ITEM}>>"),
+    ]
+    items = parsed.select(*kept, F.posexplode(F.concat(*found)).alias("item_seq", "item"))
+    return _entries(items.select(*kept, F.col("item_seq").cast("bigint").alias("item_seq"), "item.*"))
 
 
 def resolve_fetches(fetches: DataFrame, feeds: DataFrame) -> DataFrame:

@@ -7,22 +7,23 @@ payload per file. Both sources run in one stream, so that each sees what the oth
 from __future__ import annotations
 
 from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from newsloom.config import Settings
-from newsloom.functions.dates import since
+from newsloom.functions.dates import since, utc_day
 from newsloom.operators.merge import merge_feeds, upsert_clusters
-from newsloom.operators.retention import live_clusters
+from newsloom.operators.retention import audit_stores, live_clusters
 from newsloom.operators.summarize import TextFn
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.plans.jobs import new_stories
 from newsloom.sources.feeds import load_feeds
 from newsloom.sources.gdelt import read_gdelt_articles
-from newsloom.sources.rss import parse_feed_payloads, resolve_fetches
-from newsloom.tables import BY_DAY, read_table, read_tables, write_part
+from newsloom.sources.rss import feed_of_file, parse_feed_payloads, resolve_fetches
+from newsloom.tables import BY_DAY, last_version, read_table, read_tables, write_part, write_version
 
 
 def _payloads(spark: SparkSession, folder: str, source: str) -> DataFrame:
@@ -62,14 +63,15 @@ def process_payloads(
         name: getattr(tables, name).where((F.col("batch") != batch_id) | F.col("batch").isNull())
         for name in ("articles", "vectors", "entities", "ingestion_log")
     }
-    feed_of = F.regexp_extract("file_name", r"^([^.]*)", 1)
-    entries = parse_feed_payloads(payloads.where("source = 'rss'").select(feed_of.alias("feed_id"), "body"))
-    records = read_gdelt_articles(
-        payloads.where("source = 'gdelt'").select(F.col("file_name").alias("payload_id"), "body")
+    landed = F.concat_ws("|", F.lpad(F.unix_micros(F.col("landed_at").cast("timestamp")).cast("string"), 20, "0"), "file_name")
+    payloads = payloads.withColumn("payload", landed)
+    entries = parse_feed_payloads(
+        payloads.where("source = 'rss'").select(feed_of_file("file_name").alias("feed_id"), "payload", "body")
     )
+    records = read_gdelt_articles(payloads.where("source = 'gdelt'").select(F.col("payload").alias("payload_id"), "body"))
     batch = arrivals(entries, records, tables.feeds, as_of)
     added = ingest_batch(batch, tables.with_(**others), as_of, models, settings)
-    keys = {"ingest_date": F.to_date(as_of), "batch": F.lit(batch_id)}
+    keys = {"ingest_date": utc_day(as_of), "batch": F.lit(batch_id)}
     write_part(added.entities, root, "entities", **keys)
     write_part(added.vectors, root, "vectors", **keys)
     write_part(added.log, root, "ingestion_log", batch=F.lit(batch_id))
@@ -125,10 +127,11 @@ def cluster_stored(
     summarize: TextFn | None = None,
 ) -> None:
     """The clustering job on the store: a new version of the clusters, then the assignments."""
+    seen = last_version(spark, root, "clusters")
     tables, now = read_tables(spark, root), _instant(as_of)
     assigned, built = new_stories(tables, now, settings, summarize)
     clusters = upsert_clusters(tables.clusters, built, now)
-    write_part(clusters, root, "clusters", version=F.lit(_epoch(as_of)))
+    write_version(clusters, root, "clusters", seen)
     days = tables.articles.select(F.col("id").alias("article_id"), "ingest_date")
     write_part(assigned.join(days, "article_id"), root, "article_clusters", batch=F.lit(_epoch(as_of)))
 
@@ -137,9 +140,12 @@ def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Set
     """The retention job on the store: day directories before the cutoff day are removed, then
     clusters left without article. Returns the removed days."""
     tables = read_tables(spark, root)
-    cutoff = F.to_date(since(_instant(as_of), settings.retention_days * 24, day_granular=True))
-    before = tables.articles.where(F.col("ingest_date") < cutoff).select("ingest_date").distinct()
+    cutoff = utc_day(since(_instant(as_of), settings.retention_days * 24, day_granular=True))
+    # a run that was cut short may have left a day in some of the tables only
+    stored = [read_table(spark, root, name).select("ingest_date") for name in BY_DAY]
+    before = reduce(DataFrame.unionByName, stored).where(F.col("ingest_date") < cutoff).distinct()
     days = sorted(str(r["ingest_date"]) for r in before.collect())
+    seen = last_version(spark, root, "clusters")
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for name in reversed(BY_DAY):
         for day in days:
@@ -149,17 +155,38 @@ def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Set
         deleted = spark.range(1).select(F.col("id").cast("string").alias("id"))
         assigned = read_table(spark, root, "article_clusters")
         left = live_clusters(tables.clusters, assigned, deleted)
-        write_part(left, root, "clusters", version=F.lit(_epoch(as_of)))
+        write_version(left, root, "clusters", seen)
     return days
 
 
+def reconcile_stored(spark: SparkSession, root: str) -> str:
+    """Apply the audit of articles and vectors to the store; returns what was done.
+
+    If one side is empty, the other one and what hangs on it is removed.
+    """
+    action = audit_stores(read_table(spark, root, "articles"), read_table(spark, root, "vectors")).first()["action"]
+    names = {"reset_vectors": ["vectors"], "clear_articles": ["article_clusters", "entities", "articles"]}.get(action, [])
+    seen = last_version(spark, root, "clusters")
+    if action == "clear_articles":
+        write_version(read_table(spark, root, "clusters").limit(0), root, "clusters", seen)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for name in names:
+        days = [r["ingest_date"] for r in read_table(spark, root, name).select("ingest_date").distinct().collect()]
+        for day in days:
+            path = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/ingest_date={day}")
+            path.getFileSystem(conf).delete(path, True)
+    return action
+
+
 def sync_feeds_stored(spark: SparkSession, root: str, config: DataFrame, as_of: datetime) -> None:
     """Bring the stored feed list in line with a configuration; raises if that breaks a rule."""
+    seen = last_version(spark, root, "feeds")
     merged = merge_feeds(read_table(spark, root, "feeds"), load_feeds(config))
-    write_part(merged, root, "feeds", version=F.lit(_epoch(as_of)))
+    write_version(merged, root, "feeds", seen)
 
 
 def save_validators_stored(spark: SparkSession, root: str, fetches: DataFrame, as_of: datetime) -> None:
     """Keep what the latest fetch of each feed leaves behind, as a new version of the feed list."""
+    seen = last_version(spark, root, "feeds")
     resolved = resolve_fetches(fetches, read_table(spark, root, "feeds"))
-    write_part(resolved, root, "feeds", version=F.lit(_epoch(as_of)))
+    write_version(resolved, root, "feeds", seen)

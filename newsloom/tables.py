@@ -119,6 +119,40 @@ def write_part(df: DataFrame, root: str, name: str, **keys: Column) -> None:
     )
 
 
+#: Versions of a table that stay, the last one included; readers may still hold the one before.
+KEPT_VERSIONS = 3
+
+
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """The versions in a table's folder, from the names of its directories alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [s.getPath().getName() for s in found]
+    return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
+
+def last_version(spark: SparkSession, root: str, name: str) -> int:
+    return max(versions(spark, root, name), default=-1)
+
+
+class VersionMoved(RuntimeError):
+    """Another job wrote a version since this one read the table."""
+
+
+def write_version(df: DataFrame, root: str, name: str, seen: int) -> None:
+    """Add the version after ``seen``, the one that ``df`` was derived from. Clocks play no part.
+
+    Raises if it is no longer the last one. Older versions than ``KEPT_VERSIONS`` are removed.
+    """
+    spark = df.sparkSession
+    if last_version(spark, root, name) != seen:
+        raise VersionMoved(f"{name}: version {seen} was read, but there is a later one")
+    write_part(df, root, name, version=F.lit(seen + 1))
+    for old in versions(spark, root, name)[:-KEPT_VERSIONS]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/version={old}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def init_tables(spark: SparkSession, root: str, feeds: DataFrame) -> None:
     """An empty store with the given feed list."""
     for name, schema in SCHEMAS.items():
@@ -133,7 +167,7 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     schema = T.StructType([*SCHEMAS[name].fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
     df = spark.read.schema(schema).parquet(f"{root}/{name}")
     if "version" in df.columns:
-        return df.where(F.col("version") == df.agg(F.max("version").alias("v")).scalar()).drop("version")
+        return df.where(F.col("version") == last_version(spark, root, name)).drop("version")
     return df
 
 

@@ -28,7 +28,7 @@ def _cell(v):
     if isinstance(v, bool):
         return v
     if isinstance(v, int):
-        return f"{float(v):.6g}" if abs(v) < 2**20 else str(v)
+        return str(v)
     return str(v)
 
 
