@@ -10,8 +10,10 @@ has its whole sequence as one. Documents whose sets have a Jaccard similarity of
    similarity at least t with probability P(Bin(n + 1, t) <= m); a pair is dropped as soon as that is under
    ``MISS``. Pairs that come through are verified on the full sets.
 3. Band values whose members are not all in one component yet are searched in full: members meet in blocks of
-   at most ``BLOCK`` (so no crowd fills a task), pairs of different components are pruned the same way, and what
-   comes through is verified. So no link between components is lost to the choice of hubs.
+   about ``BLOCK`` (so no crowd fills a task), and pairs of different components are pruned the same way. Every
+   member outside its block's commonest component names its ``NAMED`` likeliest partners, which are verified and
+   linked; members still apart name ``GROWTH`` times as many in the next round, until none leaves any out. So no
+   link between components is lost to the choice of hubs, and a crowd is one component before its pairs are listed.
 4. Components take the least id by repeated hops over links.
 
 Copies and crowds: a group of equal texts is one representative; a crowd of near copies is linked through its
@@ -43,6 +45,10 @@ BATCH, MISS = 16, 1e-5
 BLOCK = 1_500
 #: Shingles hashed together.
 CHUNK = 4_096
+#: Bits of a sieve at most.
+SIEVE = 1 << 27
+#: Partners that a member of an open band value names in the first round, and how that grows.
+NAMED, GROWTH = 4, 8
 
 _random = np.random.default_rng(20240131)
 MULTIPLY = _random.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -124,48 +130,79 @@ def prune(batch: pa.RecordBatch) -> dict:
     return {"a": batch.column(0).take(alive), "b": batch.column(1).take(alive)}
 
 
-def search_blocks(group: pa.Table) -> pa.Table:
-    """Pairs of different components within a block, or between its two halves, that come through the test."""
+def search_blocks(group: pa.Table, limit: int) -> pa.Table:
+    """Pairs of different components within a block, or between its two halves, that come through the test.
+
+    Of every pair one side at least is outside the commonest component, so only rows outside it look for
+    partners; each names its ``limit`` likeliest ones, and ``more`` if it had to leave any out.
+    """
     ids, parts = group.column("doc_id").to_numpy(), group.column("comp").to_numpy()
     left = group.column("is_left").to_numpy(zero_copy_only=False)
-    values = np.array(group.column("bands").to_pylist(), np.int64).reshape(-1, BANDS).view(np.uint16)
+    values = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
     same = bool(group.column("same")[0].as_py())
-    found_a, found_b = [], []
-    others = np.arange(len(ids)) if same else np.flatnonzero(~left)
-    for i in np.arange(len(ids)) if same else np.flatnonzero(left):
-        rest = others[(others > i) & (parts[others] != parts[i])] if same else others[parts[others] != parts[i]]
-        if len(rest):
-            hit = rest[surviving(np.broadcast_to(values[i], (len(rest), VALUES)), values[rest])]
-            found_a.append(np.minimum(ids[hit], ids[i]))
-            found_b.append(np.maximum(ids[hit], ids[i]))
+    kinds, counts = np.unique(parts, return_counts=True)
+    commonest = kinds[counts.argmax()]
+    everyone = np.arange(len(ids))
+    sides = (everyone, everyone) if same else (np.flatnonzero(left), np.flatnonzero(~left))
+    found_a, found_b, more = [], [], []
+    for i in np.flatnonzero(parts != commonest):
+        others = sides[1] if same or left[i] else sides[0]
+        rest = others[parts[others] != parts[i]]
+        if not len(rest):
+            continue
+        hit = rest[surviving(np.broadcast_to(values[i], (len(rest), VALUES)), values[rest])]
+        cut = len(hit) > limit
+        if cut:
+            equal = (values[hit] == values[i]).sum(axis=1)
+            hit = hit[np.lexsort((ids[hit], -equal))[:limit]]
+        found_a.append(np.minimum(ids[hit], ids[i]))
+        found_b.append(np.maximum(ids[hit], ids[i]))
+        more.append(np.full(len(hit), cut))
     empty = np.empty(0, np.int64)
-    return pa.table({"a": np.concatenate([empty, *found_a]), "b": np.concatenate([empty, *found_b])})
+    return pa.table({"a": np.concatenate([empty, *found_a]), "b": np.concatenate([empty, *found_b]), "more": np.concatenate([np.empty(0, bool), *more])})
 
 
-def verify(batch: pa.RecordBatch) -> dict:
-    kept = []
-    for n, (a, b) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-        a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-        shared = len(np.intersect1d(a, b, assume_unique=True))
-        if 100 * shared >= PERCENT * (len(a) + len(b) - shared):
-            kept.append(n)
-    kept = pa.array(kept, pa.int64())
-    return {"a": batch.column(0).take(kept), "b": batch.column(1).take(kept)}
+def sieve(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """Bits that are set for all of ``ids`` (one column ``doc_id``) and few others: at most ``SIEVE`` bits, whatever the input."""
+    bits = 1 << 15
+    n = ids.count()
+    while bits < min(SIEVE, 16 * n):
+        bits *= 2
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    block = F.floor(spot / (1 << 15)).cast("int").alias("block")
+    rows = ids.groupBy(block).agg(F.bitmap_construct_agg(spot % (1 << 15)).alias("bits")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[r.block << 12 : (r.block + 1) << 12] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out, bits
 
 
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The pairs whose full sets are similar enough; only the documents in pairs are read again as sets."""
-    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-
-    def rebuild(batch: pa.RecordBatch) -> dict:
-        sets = shingle_sets(texts(batch), shingle)
-        return {"doc_id": batch.column(1), "shingles": [s.tobytes() for s in sets]}
+    """The pairs whose full sets are similar enough.
 
-    schema = "doc_id long, shingles binary"
-    sets = docs.join(needed, "doc_id", "left_semi").select("text", "doc_id").mapInArrow(batches(rebuild, schema), schema)
+    Only documents in pairs are read again as sets. A sieve of bounded size keeps most others from leaving their
+    task; the join settles the rest.
+    """
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    marks, bits = sieve(needed)
+
+    def rebuild(batch: pa.RecordBatch) -> dict | None:
+        spot = batch.column(2).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(marks[spot >> 3] >> (spot & 7).astype(np.uint8) & 1)
+        if not len(at):
+            return None
+        sets = shingle_sets(texts(batch.take(pa.array(at))), shingle)
+        ends = np.cumsum([0] + [len(s) for s in sets])
+        values = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+        return {"doc_id": batch.column(1).take(pa.array(at)), "shingles": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))}
+
+    schema = "doc_id long, shingles array<long>"
+    spot = F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("spot")
+    sets = saved(docs.where("doc_id is not null").select("text", "doc_id", spot).mapInArrow(batches(rebuild, schema), schema).join(needed, "doc_id", "left_semi"))
     both = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("of_b")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("of_a")), "a")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
     # a repeated id may have several sets; the pair holds if any of them match
-    return both.select("a", "b", "of_a", "of_b").mapInArrow(batches(verify, PAIR), PAIR).distinct()
+    return both.where(100 * shared >= PERCENT * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -183,6 +220,22 @@ def components(links: DataFrame) -> DataFrame:
             return state
 
 
+def searched(members: DataFrame, reps: DataFrame, state: DataFrame, limit: int) -> DataFrame:
+    """Likely pairs ``a``, ``b`` of band values that hold several components, and whether a member of the pair left others out."""
+    placed = members.select("band", "value", "n", "doc_id").join(state, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    open_values = placed.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "value")
+    left = placed.join(open_values, ["band", "value"]).join(reps, "doc_id")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = (
+        left.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("doc_id"), blocks).cast("int")})
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "comp", "bands", (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") == F.col("other")).alias("same"))
+    )
+    # a block alone holds no row of the others, so ``same`` is one value in a group
+    pairs = dealt.groupBy("band", "value", "i", "j").applyInArrow(lambda group: search_blocks(group, limit), f"{PAIR}, more boolean")
+    return pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
+
+
 def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -203,20 +256,18 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     state = components(links)
 
     # band values that still hold several components
-    placed = members.select("band", "value", "n", "doc_id").join(state, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    open_values = placed.groupBy("band", "value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("band", "value")
-    members_left = placed.join(open_values, ["band", "value"]).join(reps, "doc_id")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = (
-        members_left.withColumns({"blocks": blocks, "own": own})
-        .withColumn("other", other)
-        .select("band", "value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "doc_id", "comp", "bands", (F.col("own") <= F.col("other")).alias("is_left"), (F.col("own") == F.col("other")).alias("same"))
-    )
-    more = saved(dealt.groupBy("band", "value", "i", "j").applyInArrow(search_blocks, PAIR).distinct().join(likely_done(links, pairs), ["a", "b"], "left_anti"))
-    if more.limit(1).count():
-        state = components(links.unionByName(verified(more, docs, shingle)))
+    tested, limit = saved(pairs.unionByName(links).distinct()), NAMED
+    while True:
+        found = saved(searched(members, reps, state, limit))
+        more = saved(found.join(tested, ["a", "b"], "left_anti").select("a", "b"))
+        whole = not found.where("more").limit(1).count()
+        if more.limit(1).count():
+            links = saved(links.unionByName(verified(more, docs, shingle)))
+            state = components(links)
+            tested = tested.unionByName(more)
+        if whole:
+            break
+        limit *= GROWTH
 
     rep_of = copies.groupBy("doc_id", "set_key").agg(F.min("rep").alias("rep"))
     rows = signed.join(rep_of, ["doc_id", "set_key"], "left").withColumn("node", F.coalesce("rep", "doc_id"))
@@ -225,11 +276,6 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return final.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def likely_done(links: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Pairs with a hub, all of which are settled."""
-    return pairs.select("a", "b").unionByName(links.select("a", "b")).distinct()
-
-
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
     gone = near_copies(docs, shingle).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
