@@ -20,9 +20,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.llm.columns import saved
 from newsloom.llm.neighbours import BREAK, with_visitors
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS, MOST_TERMS = 0.002, 0.1, 2, 100_000
+SLOTS = 1 << 16
 RATES = [2] * 2 + [8] * 4 + [32] * 8 + [128] * 8 + [512] * 8
 BETWEEN = r"[\x20\x09-\x0D.,;:!?]+"
 
@@ -43,23 +45,33 @@ def lexicon(docs: DataFrame) -> DataFrame:
     return band.select("term", "docs", bits.alias("bits"))
 
 
-def hash_table(found: DataFrame) -> tuple[list[str], int]:
-    """Slots of the lexicon as strings ``" term<tab>bits term<tab>bits "``; at most ``MOST_TERMS`` terms."""
-    slots = 1 << 18
-    top = found.orderBy(F.desc("docs"), "term").limit(MOST_TERMS + 1).collect()
-    if len(top) > MOST_TERMS:  # a narrower band: no term is kept that is as rare as the first left out
-        top = [r for r in top if r.docs > top[-1].docs]
-    spark = found.sparkSession
-    rows = spark.createDataFrame([(r.term, r.bits) for r in top], "term string, bits int").select("term", "bits", F.pmod(F.xxhash64("term"), F.lit(slots)).alias("slot"))
-    table = [""] * slots
-    for r in rows.collect():
-        table[r.slot] += f" {r.term}\t{r.bits} "
-    return table, slots
+def bounded(found: DataFrame, most: int = MOST_TERMS) -> DataFrame:
+    """The lexicon, or a narrower band of it: then no term is kept that is as rare as the first one too many."""
+    if found.limit(most + 1).count() <= most:
+        return found
+    least = found.orderBy(F.desc("docs"), "term").limit(most + 1).agg(F.min("docs")).first()[0]
+    return found.where(F.col("docs") > least)
 
 
-def fingerprint(text: Column, table: Column, slots: int) -> Column:
+def hash_table(found: DataFrame) -> Column:
+    """The lexicon as an array of ``SLOTS`` strings ``" term<tab>bits term<tab>bits "``, sent as one constant string."""
+    entry = F.concat(F.lit(" "), "term", F.lit("\t"), F.col("bits").cast("string"), F.lit(" "))
+    filled = found.groupBy(slot_of(F.col("term")).alias("slot")).agg(F.array_join(F.collect_list(entry), "").alias("entries"))
+    slots = [""] * SLOTS
+    for r in filled.collect():  # at most MOST_TERMS terms
+        slots[r.slot] = r.entries
+    return F.split(F.lit(BREAK.join(slots)), BREAK)
+
+
+def slot_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS))
+
+
+def fingerprint(text: Column, table: Column) -> Column:
+    """The text's lexicon terms, sorted, each with the bits of its subsets."""
+
     def entry(term: Column) -> Column:
-        slot, mark = F.get(table, F.pmod(F.xxhash64(term), F.lit(slots)).cast("int")), F.concat(F.lit(" "), term, F.lit("\t"))
+        slot, mark = F.get(table, slot_of(term).cast("int")), F.concat(F.lit(" "), term, F.lit("\t"))
         bits = F.substring_index(F.call_function("substring_index", slot, mark, F.lit(-1)), " ", 1)
         return F.when(F.length(slot) > 0, F.when(F.instr(slot, mark) > 0, F.struct(term.alias("t"), bits.cast("int").alias("b"))))
 
@@ -86,10 +98,9 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, in which the second half is the next document's start."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    lookup, slots = hash_table(lexicon(rows))
-    table = F.split(F.lit(BREAK.join(lookup)), BREAK)
+    table = hash_table(saved(bounded(lexicon(rows))))
     order = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))  # descending, null last
-    own = rows.withColumn("_key", order).withColumn("_entries", fingerprint(F.col("text"), table, slots))
+    own = rows.withColumn("_key", order).withColumn("_entries", fingerprint(F.col("text"), table))
     own = own.select("doc_id", "text", "_key", components(F.col("_entries"), F.col("text")).alias("fingerprint"))
     dealt = with_visitors(own, rows.select(order.alias("k")), "_key", wrap=True)
     behind = Window.partitionBy("_group").orderBy("_side", "_key", F.col("doc_id").isNull(), "text")
@@ -97,7 +108,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("_next", F.lit(1), half))
     changed = paired.withColumn("n_chars", F.length("text").cast("long")).select("doc_id", "n_chars", "fingerprint", "_next_print", edited.alias("_edited"))
-    marked = changed.withColumn("_entries", fingerprint(F.col("_edited"), table, slots))
+    marked = changed.withColumn("_entries", fingerprint(F.col("_edited"), table))
     final = marked.select("doc_id", "n_chars", F.sha2("_edited", 256).alias("edited_sha256"), "fingerprint", components(F.col("_entries"), F.col("_edited")).alias("edited_fingerprint"), "_next_print")
     return final.select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
