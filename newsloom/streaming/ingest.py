@@ -70,13 +70,34 @@ def process_payloads(
     )
     records = read_gdelt_articles(payloads.where("source = 'gdelt'").select(F.col("payload").alias("payload_id"), "body"))
     batch = arrivals(entries, records, tables.feeds, as_of)
-    added = ingest_batch(batch, tables.with_(**others), as_of, models, settings)
     keys = {"ingest_date": utc_day(as_of), "batch": F.lit(batch_id)}
-    write_part(added.entities, root, "entities", **keys)
-    write_part(added.vectors, root, "vectors", **keys)
-    write_part(added.log, root, "ingestion_log", batch=F.lit(batch_id))
-    # last, so that a batch cut short leaves no article without its vector
-    write_part(added.articles, root, "articles", **keys)
+    # the sources that ran, two at most: each gets its row in the log, also without articles or with an error
+    ran = payloads.select("source").distinct().collect()
+    ran = spark.createDataFrame([(r["source"],) for r in ran], "source string")
+    try:
+        added = ingest_batch(batch, tables.with_(**others), as_of, models, settings)
+        write_part(added.entities, root, "entities", **keys)
+        write_part(added.vectors, root, "vectors", **keys)
+        write_part(_logged(ran.join(added.log, "source", "left"), as_of), root, "ingestion_log", batch=F.lit(batch_id))
+        # last, so that a batch cut short leaves no article without its vector
+        write_part(added.articles, root, "articles", **keys)
+    except Exception as error:
+        failed = ran.withColumns({c: F.lit(None) for c in ("started_at", "finished_at", "articles_fetched", "articles_stored")})
+        failed = failed.withColumn("error", F.lit(f"{type(error).__name__}: {error}"))
+        write_part(_logged(failed, as_of), root, "ingestion_log", batch=F.lit(batch_id))
+        raise
+
+
+def _logged(log: DataFrame, as_of: Column) -> DataFrame:
+    zero = F.lit(0).cast("bigint")
+    return log.select(
+        "source",
+        F.coalesce("started_at", as_of).alias("started_at"),
+        F.coalesce("finished_at", as_of).alias("finished_at"),
+        F.coalesce("articles_fetched", zero).alias("articles_fetched"),
+        F.coalesce("articles_stored", zero).alias("articles_stored"),
+        "error",
+    )
 
 
 def start_ingest(

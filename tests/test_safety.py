@@ -13,11 +13,11 @@ from newsloom.operators.dedup import dedup_simhash, dedup_url
 from newsloom.operators.entities import gazetteer_mentions
 from newsloom.operators.merge import without_known
 from newsloom.operators.summarize import summarize_clusters
-from newsloom.plans.ingest import arrivals, ingest_batch
+from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.sources.feeds import with_defaults
 from newsloom.sources.gdelt import read_gdelt_articles
 from newsloom.sources.rss import parse_feed_payloads, read_feed_entries
-from newsloom.streaming.ingest import expire_stored, reconcile_stored, sync_feeds_stored
+from newsloom.streaming.ingest import expire_stored, process_payloads, reconcile_stored, sync_feeds_stored
 from newsloom.tables import KEPT_VERSIONS, NewsTables, VersionMoved, init_tables, last_version, read_table, versions, write_part, write_version
 
 NOW = 1706659200  # 2024-01-31 00:00:00 UTC
@@ -156,6 +156,25 @@ def stored(spark, root, articles: int, vectors: int, day: str) -> None:
         fill("vectors", ids.limit(vectors).withColumnRenamed("id", "article_id"))
 
 
+def test_every_run_leaves_its_row(spark, tmp_path):
+    root = str(tmp_path / "store")
+    init_tables(spark, root, feeds(spark))
+    rows = [("rss", "f1.xml", rss("t", "u1", "words of the text")), ("gdelt", "a.json", "<html>")]
+    payloads = spark.createDataFrame(rows, "source string, file_name string, body string").withColumn("landed_at", now())
+
+    def broken(batch):
+        raise ValueError("no model today")
+
+    with pytest.raises(Exception):
+        process_payloads(payloads, 0, root, Models(embed=broken))
+    failed = read_table(spark, root, "ingestion_log").collect()
+    assert sorted(r.source for r in failed) == ["gdelt", "rss"] and all("no model today" in r.error for r in failed)
+    assert read_table(spark, root, "articles").isEmpty()
+    process_payloads(payloads, 0, root)
+    log = {r.source: (r.articles_fetched, r.articles_stored, r.error) for r in read_table(spark, root, "ingestion_log").collect()}
+    assert log == {"rss": (1, 1, None), "gdelt": (0, 0, None)}
+
+
 def test_audit_is_applied_to_the_store(spark, tmp_path):
     for n, (articles, vectors, action) in enumerate([(0, 3, "reset_vectors"), (3, 0, "clear_articles"), (2, 2, "none")]):
         root = str(tmp_path / f"store{n}")
