@@ -17,8 +17,4 @@ class Settings:
     min_cluster_size: int = 3
     cluster_window_hours: int = 24
     gdelt_enabled: bool = True
-    gdelt_max_records: int = 75
-    gdelt_span_minutes: int = 15
     rss_interval_seconds: int = 300
-    gdelt_interval_seconds: int = 600
-    clustering_interval_seconds: int = 900

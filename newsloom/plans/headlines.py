@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from newsloom.functions.text import iso_or_empty
 from newsloom.operators.reads import cluster_articles, recent_articles, top_clusters
 from newsloom.operators.rollup import article_card, cluster_rollup, nested_articles, top_per_cluster
+from newsloom.session import cut_lineage
 
 
 def _stories(
@@ -61,10 +62,12 @@ def latest_headlines(
     returned one by one. Members come from ``article_clusters``, or without it from the
     ``cluster_id`` of the articles.
     """
-    stories = _stories(articles, clusters, as_of, hours, limit, category, article_clusters)
-    none_left = stories.limit(1).agg((F.count("*") == 0).alias("none_left")).scalar()
+    # at most ``limit`` rows, computed once: for the answer and to see whether there are any
+    stories = cut_lineage(_stories(articles, clusters, as_of, hours, limit, category, article_clusters))
+    if not stories.isEmpty():
+        return stories.orderBy("_place").drop("_place")
     singles = (
-        recent_articles(articles.where(none_left), as_of, hours, limit, category=category)
+        recent_articles(articles, as_of, hours, limit, category=category)
         .select(
             F.lit(None).cast("string").alias("cluster_id"),
             F.col("title").alias("headline"),
@@ -79,7 +82,7 @@ def latest_headlines(
             ).alias("_place"),
         )
     )
-    return stories.unionByName(singles).orderBy("_place").drop("_place")
+    return singles.orderBy("_place").drop("_place")
 
 
 def headlines_json(headlines: DataFrame) -> DataFrame:
