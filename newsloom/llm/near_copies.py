@@ -279,4 +279,5 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 def without_near_copies(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """The documents that are the first of their component, with all their columns."""
     gone = near_copies(docs, shingle).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    # these ids grow with the documents, so they are not sent to all tasks even where they are still few
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
