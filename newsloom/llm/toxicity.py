@@ -13,8 +13,9 @@ weight for each of them, and scoring a string is a sum over its subsequences.
 Units are the words of a sentence (lower-cased, ASCII punctuation trimmed at the ends), and runs of single letters
 joined. Labels belong to documents: a document is as toxic as its most toxic unit. Training takes all units
 of at most ``TRAIN_DOCS`` labelled documents of each class, counted by Spark: negatives are units of documents without
-the label, and in further ``ROUNDS`` those of them that the machine takes for toxic; positives are the units
-that are in toxic documents far more often than accident explains (``EVIDENCE``, a bound on the logarithm). A logistic curve on documents turns the greatest unit into a score.
+the label, and in further ``ROUNDS`` those of them that the machine takes for toxic; positives are the
+strongest units of toxic documents, if they are in these far more often than accident explains (``EVIDENCE``, a bound
+on the logarithm). A logistic curve on documents turns the greatest unit into a score.
 
 Null and empty texts have no unit and get the score of the least margin. Without labels of both classes every
 score is the share of label 1, or 0.5 without labels. Repeated rows repeat their score, an empty table gives an empty
@@ -187,7 +188,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
     clean_part = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
     evidence = F.when(q > p, n * (q * F.log(q / p) + clean_part)).otherwise(0.0)
     telling = counted.where("t >= 2").withColumn("evidence", evidence).where(F.col("evidence") > EVIDENCE)
-    positive = [bytes(r.unit) for r in telling.orderBy(F.desc("evidence"), "unit").limit(UNITS // 4).collect()]
+    known = {bytes(r.unit): r.evidence for r in telling.orderBy(F.desc("evidence"), "unit").limit(UNITS // 4).collect()}
+
+    def witness(batch: pa.RecordBatch) -> dict:
+        best = [max((u for u in whole_units(t) if u in known), key=lambda u: (known[u], u), default=None) for t in texts(batch)]
+        return {"unit": [u for u in best if u is not None]}
+
+    # copies of a toxic document make all of its units look telling; the strongest one is enough to explain it
+    witnesses = taught.where("label = 1").mapInArrow(batches(witness, "unit binary"), "unit binary").groupBy("unit").count()
+    positive = [bytes(r.unit) for r in witnesses.orderBy(F.desc("count"), "unit").collect()]
     common = [bytes(r.unit) for r in counted.where("c > 0").orderBy(F.desc("c"), "unit").limit(UNITS // 4).collect()]
     others = [bytes(r.unit) for r in counted.where("c > 0").orderBy(F.xxhash64("unit")).limit(UNITS).collect()]
     negative = [u for u in dict.fromkeys(common + others) if u not in set(positive)]
