@@ -41,7 +41,7 @@ from newsloom.llm.wordhash import hashes, inside, rolling
 SHINGLE, PERCENT = 4, 80
 BANDS, ROWS = 32, 4
 VALUES = BANDS * ROWS
-BATCH, MISS = 16, 1e-5
+BATCH, MISS = 16, 1e-4
 BLOCK = 1_500
 #: Shingles hashed together.
 CHUNK = 4_096
@@ -138,7 +138,8 @@ def search_blocks(group: pa.Table, limit: int) -> pa.Table:
     """
     ids, parts = group.column("doc_id").to_numpy(), group.column("comp").to_numpy()
     left = group.column("is_left").to_numpy(zero_copy_only=False)
-    values = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS).view(np.uint16)
+    bands = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    values, band = bands.view(np.uint16), group.column("band")[0].as_py()
     same = bool(group.column("same")[0].as_py())
     kinds, counts = np.unique(parts, return_counts=True)
     commonest = kinds[counts.argmax()]
@@ -148,6 +149,8 @@ def search_blocks(group: pa.Table, limit: int) -> pa.Table:
     for i in np.flatnonzero(parts != commonest):
         others = sides[1] if same or left[i] else sides[0]
         rest = others[parts[others] != parts[i]]
+        # a pair is looked at once, under the first band value that it shares
+        rest = rest[(bands[rest] == bands[i]).argmax(axis=1) == band]
         if not len(rest):
             continue
         hit = rest[surviving(np.broadcast_to(values[i], (len(rest), VALUES)), values[rest])]
