@@ -228,8 +228,21 @@ def score_part(found: Iterator[pa.RecordBatch], lexicon: Lexicon, vector: np.nda
         yield out()
 
 
+def commonest(counts: DataFrame, most: int) -> list:
+    """At most ``most`` words, all those above a count, commonest first. Only they and a short histogram leave the tasks."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    left, least = most, None
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+        if r["count"] > left:
+            break
+        left, least = left - r["count"], r.level
+    if least is None:
+        return []
+    return sorted(counts.where(level >= least).collect(), key=lambda r: (-r.n, bytes(r.word)))
+
+
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
+    top = commonest(counts, KNOWN)
     head = frozenset(bytes(r.word) for r in top[:HEAD])
     classed = counts.mapInArrow(lambda found: class_words(found, head), "k int, n long, v long").groupBy("k").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
     n, v = np.zeros(TAIL), np.zeros(TAIL)
