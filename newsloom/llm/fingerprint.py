@@ -25,7 +25,7 @@ from newsloom.llm.neighbours import BREAK, with_visitors
 
 LEAST_SHARE, MOST_SHARE, LEAST_DOCS, MOST_TERMS = 0.002, 0.1, 2, 100_000
 SLOTS = 1 << 16
-RATES = [2] * 2 + [8] * 4 + [32] * 8 + [128] * 8 + [512] * 8
+RATES = [2] + [8] * 3 + [32] * 6 + [128] * 6 + [512] * 4
 BETWEEN = r"[\x20\x09-\x0D.,;:!?]+"
 
 
@@ -98,7 +98,7 @@ def likeness(a: Column, b: Column) -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited forms, in which the second half is the next document's start."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    table = hash_table(saved(bounded(lexicon(rows))))
+    table = hash_table(bounded(saved(lexicon(rows))))
     order = F.coalesce(F.bitwise_not("doc_id"), F.lit(2**63 - 1))  # descending, null last
     own = rows.withColumn("_key", order).withColumn("_entries", fingerprint(F.col("text"), table))
     own = own.select("doc_id", "text", "_key", components(F.col("_entries"), F.col("text")).alias("fingerprint"))

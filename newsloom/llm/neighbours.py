@@ -17,10 +17,13 @@ BREAK = "\x1f"
 
 def cut_points(keys: DataFrame) -> list:
     """Values between the groups; ``keys`` has one column ``k``."""
-    groups = min(GROUPS, keys.count() // ROWS)
+    rows = keys.count()
+    groups = min(GROUPS, rows // ROWS)
     if groups < 2:
         return []
-    sample = sorted({r.k for r in keys.orderBy(F.xxhash64("k")).limit(groups * SAMPLED).collect()})
+    # by hash, so that no task sends more than its share
+    share = F.pmod(F.xxhash64("k"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, groups * SAMPLED / rows))
+    sample = sorted({r.k for r in keys.where(share).collect()}) or [keys.first().k]
     return sorted({sample[len(sample) * i // groups] for i in range(1, groups)})
 
 
