@@ -117,26 +117,25 @@ class Gru:
     def train(self, x: np.ndarray, classes: np.ndarray, words: np.ndarray, fresh: np.ndarray) -> None:
         """One pass of truncated backpropagation over a sequence of documents; ``fresh`` marks first tokens."""
         streams = max(1, min(STREAMS, len(x) // (2 * STEPS)))
-        length = len(x) // streams
-        if not length:
-            return
-        cut = lambda v: v[: streams * length].reshape(streams, length).T
+        whole = len(x) // streams * streams
         inputs = np.concatenate([[self.start], x[:-1]])
         inputs[fresh] = self.start
-        inputs, classes, words, fresh = cut(inputs), cut(classes), cut(words), cut(fresh).copy()
-        fresh[0] = True
         m, v, n = np.zeros_like(self.vector), np.zeros_like(self.vector), 0
-        h = np.zeros((streams, HIDDEN), np.float32)
-        for t in range(0, length, STEPS):
-            part = slice(t, t + STEPS)
-            gradient, h = self.window(inputs[part], classes[part], words[part], fresh[part], h)
-            norm = float(np.sqrt((gradient * gradient).sum()))
-            if norm > CLIP:
-                gradient *= CLIP / norm
-            n += 1
-            m += (1 - BETA1) * (gradient - m)
-            v += (1 - BETA2) * (gradient * gradient - v)
-            self.vector -= RATE * (m / (1 - BETA1**n)) / (np.sqrt(v / (1 - BETA2**n)) + 1e-6)
+        # the tokens that the streams leave over, fewer than there are streams, are one more
+        for a, b, streams in ((0, whole, streams), (whole, len(x), 1)):
+            cut = lambda v: v[a:b].reshape(streams, -1).T  # noqa: B023, E731
+            block = cut(inputs), cut(classes), cut(words), cut(fresh).copy()
+            block[3][:1] = True
+            h = np.zeros((streams, HIDDEN), np.float32)
+            for t in range(0, len(block[0]), STEPS):
+                gradient, h = self.window(*(part[t : t + STEPS] for part in block), h)
+                norm = float(np.sqrt((gradient * gradient).sum()))
+                if norm > CLIP:
+                    gradient *= CLIP / norm
+                n += 1
+                m += (1 - BETA1) * (gradient - m)
+                v += (1 - BETA2) * (gradient * gradient - v)
+                self.vector -= RATE * (m / (1 - BETA1**n)) / (np.sqrt(v / (1 - BETA2**n)) + 1e-6)
 
     def window(self, inputs, classes, words, fresh, h) -> tuple[np.ndarray, np.ndarray]:
         """The mean gradient over one window, and the state behind it."""

@@ -6,8 +6,8 @@
    commonest words' counts are sent to the tasks, a constant number.
 3. The recurrent weights are learned in ``ROUNDS``: in each, every task trains on its documents from the same
    parameters, and the results are averaged by tokens, first in Spark, then over at most the square root of the
-   tasks' number. A round takes one in ``SHARE`` of the training documents, another part each time; class sizes,
-   biases and the tail are counted over all of them.
+   tasks' number. A round takes one in ``ROUNDS`` of the training documents, another part each time, so that each
+   of them teaches once; class sizes, biases and the tail are counted over all of them, too.
 4. One pass scores every whole document. Words beyond the known ones leave as pairs with the document's row and are
    joined with the counts; all they need from the join is the sum of log10(c + 1).
 
@@ -34,7 +34,7 @@ from newsloom.llm.gru import Gru
 from newsloom.llm.labelled import held_out
 
 HEAD, HEAD_CLASSES, TAIL, KNOWN = 1_500, 32, 32, 200_000
-ROUNDS, SHARE = 3, 24
+ROUNDS = 3
 FOLDS, HELD = 7, 2
 #: The end of a text, which no word can be.
 END = b""
@@ -169,7 +169,7 @@ def average(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learned(rows: DataFrame, lexicon: Lexicon) -> np.ndarray:
-    """The model's parameters after all rounds; ``rows`` has ``text`` and ``draw`` of the training documents."""
+    """The model's parameters after all rounds; ``rows`` has ``text`` and ``draw``, the round, of the training documents."""
     model = lexicon.model()
     model.begin(lexicon.class_counts, lexicon.head_counts)
     vector = model.vector
@@ -258,7 +258,7 @@ def scores(docs: DataFrame) -> DataFrame:
     taught = rows.where("not held_out")
     counts = saved(taught.select("text").mapInArrow(count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
     lexicon = lexicon_of(counts)
-    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(SHARE)).alias("draw")
+    draw = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(ROUNDS)).alias("draw")
     vector = learned(taught.select("text", draw), lexicon)
     passed = saved(rows.mapInArrow(lambda found: score_part(found, lexicon, vector), SCORES))
     rare = passed.select("row", F.explode("unknown").alias("word")).join(counts, "word")

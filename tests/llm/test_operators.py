@@ -395,6 +395,37 @@ def test_language_model(docs, texts, monkeypatch, known):
     assert sum(r.score for r in rows if r.held_out) > sum(r.base_score for r in rows if r.held_out)
 
 
+def test_every_training_document_teaches(spark, monkeypatch):
+    rows = [(i, " ".join([f"only{i}"] * 3)) for i in range(150)]
+    fits, learned = [], lm.learned
+
+    def watched(taught, lexicon):
+        fits.append((lexicon, learned(taught, lexicon)))
+        return fits[0][1]
+
+    monkeypatch.setattr(lm, "learned", watched)
+    lm.scores(spark.createDataFrame(rows, "doc_id long, text string"))
+    lexicon, vector = fits[0]
+    before, after = lexicon.model(), lexicon.model()
+    before.begin(lexicon.class_counts, lexicon.head_counts)
+    after.set(vector)
+    moved = (before.p["x"] != after.p["x"]).any(axis=1)  # a word's input weights learn from its own documents only
+    taught = [i for i in range(150) if zlib.crc32(str(i).encode()) % 7 != 2]
+    assert len(taught) < 150 and all(moved[lexicon.entries[f"only{i}".encode()]] for i in taught)
+
+
+def test_leftover_tokens_teach():
+    n = gru.STREAMS * 2 * gru.STEPS + 5
+    model = gru.Gru([0, 2, 5], 4)
+    model.begin(np.ones(4), np.ones(5))
+    x = np.zeros(n, np.int64)
+    x[-3] = 4
+    fresh = np.arange(n) == 0
+    before = model.p["x"][4].copy()
+    model.train(x, np.ones(n, np.int64), np.full(n, 3), fresh)
+    assert (model.p["x"][4] != before).any()
+
+
 def test_language_model_of_odd_rows(odd, none):
     rows = lm.scores(odd).collect()
     assert len(rows) == 16 and all(math.isfinite(r.score) and r.score < 0 for r in rows)
