@@ -1,7 +1,7 @@
 """Quality of documents: histogram gradient-boosted trees over document statistics.
 
 Statistics are shares and means over the whole text (``NAMES``). Training takes at most ``TRAIN_ROWS`` labelled
-documents of each class; only their statistics come to the driver. Every tree is grown level by level from
+documents of each class, weighted to the number of labels of their class; only their statistics come to the driver. Every tree is grown level by level from
 histograms of gradients over at most ``BINS`` quantile bins. The trees are complete binary trees in three
 arrays (feature, threshold, value), so a batch walks down all of them with a few numpy operations a level.
 
@@ -76,8 +76,9 @@ class Trees:
         return 1 / (1 + np.exp(-np.clip(self.margin(x), -30, 30)))
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> Trees:
-    rate = y.mean() if len(y) else 0.5
+def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> Trees:
+    weight = np.ones(len(y)) if weight is None else weight
+    rate = np.average(y, weights=weight) if len(y) else 0.5
     if not len(y) or rate in (0.0, 1.0):
         model = Trees(float(np.log((rate + 1e-6) / (1 - rate + 1e-6))))
         return model
@@ -88,7 +89,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
     grown = []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-margin))
-        feature, threshold, value, leaf = grow(binned, edges, p - y, p * (1 - p))
+        feature, threshold, value, leaf = grow(binned, edges, weight * (p - y), weight * p * (1 - p))
         margin += value[leaf]
         grown.append((feature, threshold, value))
     model.feature, model.threshold, model.value = (np.stack(part) for part in zip(*grown))
@@ -131,16 +132,17 @@ def grow(binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarr
 
 def train(docs: DataFrame, labels: DataFrame) -> Trees:
     """The trees, from labelled documents outside the held-out fold."""
-    schema = "doc_id long, label int, statistics array<double>"
+    schema = "doc_id long, label int, weight double, statistics array<double>"
 
     def measure(batch: pa.RecordBatch) -> dict:
-        return {"doc_id": batch.column(1), "label": batch.column(2), "statistics": [statistics(t) for t in texts(batch)]}
+        return {"doc_id": batch.column(1), "label": batch.column(2), "weight": batch.column(3), "statistics": [statistics(t) for t in texts(batch)]}
 
-    # at most 2 * TRAIN_ROWS pairs of numbers
+    # at most 2 * TRAIN_ROWS triples of numbers
     sample = F.broadcast(label_sample(labels, "quality", FOLDS, HELD, TRAIN_ROWS))
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "doc_id", "label")
-    rows = sorted((r.doc_id, r.statistics, r.label) for r in taught.mapInArrow(batches(measure, schema), schema).collect())
-    return fit(np.array([r[1] for r in rows]).reshape(len(rows), len(NAMES)), np.array([r[2] for r in rows], float))
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "doc_id", "label", "weight")
+    rows = sorted((r.doc_id, r.statistics, r.label, r.weight) for r in taught.mapInArrow(batches(measure, schema), schema).collect())
+    y, weight = (np.array([r[i] for r in rows], float) for i in (2, 3))
+    return fit(np.array([r[1] for r in rows]).reshape(len(rows), len(NAMES)), y, weight)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ joined. Labels belong to documents: a document is as toxic as its most toxic uni
 of at most ``TRAIN_DOCS`` labelled documents of each class, counted by Spark: negatives are units of documents without
 the label, and in further ``ROUNDS`` those of them that the machine takes for toxic; positives are the
 strongest units of toxic documents, if they are in these far more often than accident explains (``EVIDENCE``, a bound
-on the logarithm). A logistic curve on documents turns the greatest unit into a score.
+on the logarithm, for the documents taken). A logistic curve on documents, each weighted to the number of labels of its
+class, turns the greatest unit into a score.
 
 Null and empty texts have no unit and get the score of the least margin. Without labels of both classes every
 score is the share of label 1, or 0.5 without labels. Repeated rows repeat their score, an empty table gives an empty
@@ -172,17 +173,19 @@ def count_units(batch: pa.RecordBatch) -> dict:
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
-    # at most 2 * TRAIN_DOCS pairs of numbers
+    # at most 2 * TRAIN_DOCS triples of numbers
     sample = F.broadcast(label_sample(labels, "toxic", FOLDS, HELD, TRAIN_DOCS))
-    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "label")
-    totals = {r.label: r["count"] for r in taught.groupBy("label").count().collect()}
-    n1, n0 = totals.get(1, 0), totals.get(0, 0)
+    taught = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(sample, "doc_id").select("text", "label", "weight")
+    totals = {r.label: (r.n, r.weight) for r in taught.groupBy("label").agg(F.count("*").alias("n"), F.max("weight").alias("weight")).collect()}
+    (n1, w1), (n0, w0) = totals.get(1, (0, 1.0)), totals.get(0, (0, 1.0))
+    taught = taught.drop("weight")
     if not n1 or not n0:
         share = (n1 + 0.5 * (n1 + n0 == 0)) / max(1, n1 + n0)
         return Machine(np.zeros(DIMENSIONS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
     schema = "unit binary, toxic long, clean long"
     counted = taught.mapInArrow(batches(count_units, schema), schema).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    # Chernoff's bound on the chance that so many of a unit's documents are toxic by accident
+    # Chernoff's bound on the chance that so many of a unit's documents are toxic by accident; as t and c count documents
+    # taken, p is their share: with the share of all labels any unit would be telling where both classes are capped
     n, p = F.col("t") + F.col("c"), n1 / (n1 + n0)
     q = F.col("t") / n
     clean_part = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
@@ -212,7 +215,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Machine:
         seen = set(strings)
         negative += [u for u in dict.fromkeys(u for u, m, label in top if not label and m > -0.5) if u not in seen][:UNITS]
     margins, y = np.array([m for _, m, _ in top]) if positive else np.zeros(0), np.array([label for *_, label in top]) if positive else np.zeros(0)
-    machine.slope, machine.shift = curve(margins, y)
+    machine.slope, machine.shift = curve(margins, y, np.where(y > 0, w1, w0))
     return machine
 
 
@@ -229,15 +232,15 @@ def strongest(taught: DataFrame, machine: Machine) -> list[tuple[bytes, float, i
     return sorted((bytes(r.unit), r.margin, r.label) for r in taught.mapInArrow(batches(find, schema), schema).collect())
 
 
-def curve(margins: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, by Newton steps with a weak prior."""
+def curve(margins: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and shift of a logistic curve on weighted rows, by Newton steps with a weak prior."""
     if not len(y):
         return 0.0, 0.0
     w, x = np.zeros(2), np.stack([margins, np.ones(len(margins))], axis=1)
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-3])
-        w -= np.linalg.solve(hessian, x.T @ (p - y) + np.array([0.05, 1e-3]) * w)
+        hessian = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([0.05, 1e-3])
+        w -= np.linalg.solve(hessian, x.T @ (weight * (p - y)) + np.array([0.05, 1e-3]) * w)
     return float(max(w[0], 0.0)), float(w[1])
 
 

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import columns, decontaminate, fingerprint, gru, lm, mixing, near_copies, pages, phrases, quality, registered, tokens, toxicity
+from newsloom.llm import columns, decontaminate, fingerprint, gru, labelled, lm, mixing, near_copies, pages, phrases, quality, registered, tokens, toxicity
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -321,6 +321,55 @@ def test_trees_are_walked_as_grown():
     assert np.mean((model.score(x) >= 0.5) == y) > 0.97
 
 
+@pytest.fixture
+def capped(spark):
+    """Labelled documents, one in five of class 1; more than 60 of each class are usable."""
+    rng = random.Random(6)
+    text = lambda bad: " ".join(rng.choice(["ab", "cd ef", "gh.", "ij"]) for _ in range(30)) + (" blockhead" if bad else "")
+    rows = [(i, text(i % 5 == 0), int(i % 5 == 0)) for i in range(1_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    return df.select("doc_id", "text"), df.select("doc_id", F.col("label").alias("quality"), F.col("label").alias("toxic"))
+
+
+def usable(folds: int, held: int) -> list:
+    """Labels of the rows of ``capped`` that may teach."""
+    return [int(i % 5 == 0) for i in range(1_000) if zlib.crc32(str(i).encode()) % folds != held]
+
+
+def test_capped_classes_keep_their_shares(capped, monkeypatch):
+    sample = labelled.label_sample(capped[1], "toxic", toxicity.FOLDS, toxicity.HELD, 60).collect()
+    left = usable(toxicity.FOLDS, toxicity.HELD)
+    assert Counter(r.label for r in sample) == {0: 60, 1: 60}
+    assert [sum(r.weight for r in sample if r.label == k) for k in (0, 1)] == pytest.approx([left.count(0), left.count(1)])
+    whole = labelled.label_sample(capped[1], "toxic", toxicity.FOLDS, toxicity.HELD, 1_000).collect()
+    assert len(whole) == len(left) and {r.weight for r in whole} == {1.0}
+
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 60)
+    share = np.mean(usable(quality.FOLDS, quality.HELD))
+    model = quality.train(*capped)
+    assert model.base == pytest.approx(math.log(share / (1 - share)))
+
+
+def test_capped_toxicity_has_the_scores_of_all_rows(capped, monkeypatch):
+    def mean() -> float:
+        return np.mean([r.score for r in toxicity.toxicity_scores(*capped).collect()])
+
+    whole = mean()
+    monkeypatch.setattr(toxicity, "TRAIN_DOCS", 60)
+    assert mean() == pytest.approx(whole, abs=0.05)
+    x = np.zeros(120)
+    slope, shift = toxicity.curve(x, np.arange(120) % 2.0, np.where(np.arange(120) % 2, 1.0, 4.0))
+    assert 1 / (1 + math.exp(-shift)) == pytest.approx(0.2, abs=0.01)
+
+
+def test_capped_trees_weigh_their_rows():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2_000, len(quality.NAMES)))
+    y = (np.arange(2_000) % 2).astype(float)
+    weighted = quality.fit(x, y, np.where(y > 0, 1.0, 9.0)).score(x)
+    assert np.average(weighted, weights=np.where(y > 0, 1.0, 9.0)) == pytest.approx(0.1, abs=0.01)
+
+
 # language model
 
 
