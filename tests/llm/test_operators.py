@@ -90,6 +90,11 @@ def test_edited_text(spark):
     assert got == {3: sha("abcxy"), 2: sha("xé"), 1: sha("éééab")}
 
 
+def test_subsets_of_a_fingerprint(docs):
+    assert Counter(fingerprint.RATES) == {2: 2, 8: 4, 32: 8, 128: 8, 512: 8}
+    assert {len(r.fingerprint.split("-")) for r in fingerprint.fingerprints(docs).collect() if not r.fingerprint.startswith("#")} == {30}
+
+
 # near copies
 
 
