@@ -261,6 +261,19 @@ def test_differences_between_neighbours(spark, none):
     assert pages.main_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_are_compared_as_one(spark):
+    page = "<main><ul><li>Read more</li></ul><p>{}</p><div>share this</div></main>"
+    text = lambda i: f"story {i} with text of its own {i * 7}"
+    rows = [(i, f"http://h.example/a/{i}", PAGE.format(page.format(text(i)))) for i in range(3)]
+    rows += [(10 + i, f"http://h.example/a/1?page={i}", rows[1][2]) for i in range(5)]
+    rows += [(20, "http://h.example/a/1?utm_source=x", PAGE.format(page.format(text(1) + "</p><div>of this copy only</div><p>"))), rows[2], rows[2], rows[2]]
+    found = pages.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == len(rows)
+    assert {r.text for r in found if r.page_id in (1, *range(10, 15))} == {text(1)}
+    assert {r.text for r in found if r.page_id == 2} == {text(2)}
+    assert [r.text for r in found if r.page_id == 20] == [text(1) + "\n\nof this copy only"]
+
+
 def test_longest_common_subsequence():
     rng = random.Random(2)
     for _ in range(500):
