@@ -102,3 +102,36 @@ def main_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from newsloom.llm.pages import main_texts
 
     return main_texts(table(spark, sf_dir, "pages"))
+
+
+@query("op11_ball_hashing")
+def ball_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.balls import near_fingerprints
+
+    return near_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _divergence_sql() -> str:
+    from newsloom.llm.divergence import divergence_sql
+
+    return divergence_sql("documents")
+
+
+@query("op12_source_divergence", sql=_divergence_sql())
+def source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.divergence import divergences
+
+    return divergences(table(spark, sf_dir, "documents"))
+
+
+def _resampling_sql() -> str:
+    from newsloom.llm.resampling import resampling_sql
+
+    return resampling_sql("documents", "benchmark")
+
+
+@query("op13_resampling", sql=_resampling_sql())
+def resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from newsloom.llm.resampling import ranked
+
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
