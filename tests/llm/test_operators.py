@@ -161,6 +161,30 @@ def test_near_copies_of_odd_rows(odd, none):
     assert left.columns == odd.columns and left.where("doc_id in (1, 2, 3, 10)").count() == 1
 
 
+def test_near_copies_of_all_documents(spark):
+    found = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    _, top = plain_components(found, 4)
+    got = {r.doc_id: r.component_id for r in registered.QUERIES["op2_near_copies"](spark, "/root/testdata/sf0.01").collect()}
+    assert got == top
+
+
+def test_near_copies_of_repeated_ids(spark):
+    """Rows that repeat an id with another text are documents of their own, and no text is lost."""
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    df = spark.createDataFrame([(1, a), (5, a), (5, b), (7, b), (5, "c"), (9, None)], "doc_id long, text string")
+    got = sorted(tuple(r) for r in near_copies.near_copies(df).select("doc_id", "component_id", "kept").collect())
+    assert got == [(1, 1, True), (5, 1, False), (5, 5, True), (5, 5, True), (7, 5, False), (9, 9, True)]
+    left = sorted(((r.doc_id, r.text) for r in near_copies.without_near_copies(df).collect()), key=repr)
+    assert left == sorted([(1, a), (5, b), (5, "c"), (9, None)], key=repr)
+
+
+def test_blocks_are_cut_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "MOST_SHINGLES", 500)
+    found = chained(40, 5)
+    df = spark.createDataFrame(list(found.items()), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_copies.near_copies(df).collect()} == plain_components(found, 4)[1]
+
+
 def test_pruning_keeps_what_it_should():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**16, (4_000, near_copies.VALUES)).astype(np.uint16)
