@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -28,10 +29,25 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+#: Spark removes the shuffle files of a query as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that a lost executor costs no replay of earlier rounds."""
-    require_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once to the shared folder and read back: a lost executor costs no replay of earlier rounds.
+
+    Unlike a checkpoint, a written table is computed once, columnar, compressed and read in pieces of a good size. What was
+    shuffled to make it is of no more use, so its files go at once.
+    """
+    spark = df.sparkSession
+    path = f"{require_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def collect_if_small(df: DataFrame, max_rows: int) -> list[Row] | None:
