@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.blocks import matrix, spanning_tree
 from newsloom.operators.forest import spanning_forest
+from newsloom.operators.reachability import CELL_ROWS, LISTED, tree_in_cells
 from newsloom.operators.similarity import top_matches, vectors_only
 from newsloom.session import cut_lineage
 
 EDGE_SCHEMA = "a string, b string, w double"
-# Rows of a block in the pairwise tree step: a task holds two blocks.
+# Rows whose tree one task makes at once.
 TREE_BLOCK_ROWS = 2048
 # Tree edges that one round of the hierarchy covers at most.
 SLICE_EDGES = 500_000
@@ -66,35 +67,22 @@ def neighbour_edges(vectors: DataFrame, k: int = 3, **tuning) -> DataFrame:
 def reachability_tree(vectors: DataFrame, k: int, block_rows: int = TREE_BLOCK_ROWS, **tuning) -> DataFrame:
     """Edges ``(a, b, w)`` of a minimum spanning tree under mutual reachability.
 
-    Rows are dealt to blocks. Every two blocks give a tree of their own, and the
-    trees together hold a tree of the whole: an edge left out of one is the largest
-    on a cycle. Borůvka rounds then pick it out of the candidates. Rows with fewer than
-    ``k`` neighbours cannot occur while there are more than ``k`` rows.
+    One block gives its tree at once; more rows are joined in rounds over cells (``reachability.py``). Rows with
+    fewer than ``k`` neighbours cannot occur while there are more than ``k`` rows.
     """
-    near = neighbours(vectors, k, **tuning)
+    alone = vectors.where("embedding is not null").limit(block_rows + 1).count() <= block_rows
+    near = cut_lineage(neighbours(vectors, k if alone else max(k, LISTED), **tuning))
     core = near.where(F.col("rank") == k).select(F.col("article_id").alias("id"), F.col("distance").alias("core"))
     rows = cut_lineage(vectors_only(vectors, "article_id").join(core, "id"))
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    if not alone:
+        return tree_in_cells(rows, near, min(CELL_ROWS, block_rows), block_rows)
 
     def tree(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id").to_pylist(), dtype=object)
         a, b, w = spanning_tree(matrix(table.column("embedding")), table.column("core").to_numpy())
         return pa.table({"a": pa.array(ids[a], pa.string()), "b": pa.array(ids[b], pa.string()), "w": w})
 
-    own = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    if blocks == 1:
-        return rows.groupBy(own.alias("block")).applyInArrow(tree, EDGE_SCHEMA)
-    # A row meets every other block once; with two blocks or more, its own block is met on the way.
-    paired = (
-        rows.withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        .where("own <> other")
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-        .drop("own", "other")
-    )
-    candidates = paired.groupBy("low", "high").applyInArrow(tree, EDGE_SCHEMA)
-    return spanning_forest(candidates)[0]
+    return rows.groupBy().applyInArrow(tree, EDGE_SCHEMA)
 
 
 class _Parts:
@@ -331,10 +319,10 @@ def cluster_stories(
 
     The cluster id is derived from the smallest member id, so that a repeated run names it alike.
     """
-    from newsloom.operators.reads import unclustered_ids, vectors_by_ids
+    from newsloom.operators.reads import in_window_days, unclustered_ids, vectors_by_ids
 
     ids = unclustered_ids(articles, article_clusters, as_of, hours)
-    stories = cluster_vectors(vectors_by_ids(vectors, ids), min_size, **tuning)
+    stories = cluster_vectors(vectors_by_ids(in_window_days(vectors, as_of, hours), ids), min_size, **tuning)
     named = stories.groupBy("story").agg(F.sha2(F.min("article_id"), 256).alias("cluster_id"))
     return stories.join(named, "story").select("article_id", "cluster_id")
 

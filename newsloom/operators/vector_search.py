@@ -13,6 +13,8 @@ from newsloom.operators.blocks import SCORE_DECIMALS, matrix
 from newsloom.operators.similarity import top_matches, vectors_only
 from newsloom.session import cut_lineage
 
+# Below every character that an id has.
+DAY_MARK = "\x00"
 # Rows that one task settles feed by feed.
 FINISH_ROWS = 4096
 
@@ -45,9 +47,16 @@ def knn(
     **tuning,
 ) -> DataFrame:
     """query_id, article_id, score, rank: the best ``k`` filtered vectors of each query
-    with a cosine of at least ``min_score``."""
-    stored = vectors_only(filter_vectors(vectors, region, source_feed, since), "article_id")
-    return top_matches(vectors_only(queries, "query_id"), stored, k, min_score, **tuning)
+    with a cosine of at least ``min_score``. Vectors laid out by day give their ``ingest_date`` too."""
+    stored = filter_vectors(vectors, region, source_feed, since)
+    by_day = "ingest_date" in stored.columns
+    if by_day:  # the day travels behind the id, where it changes no order among ids
+        stored = stored.withColumn("article_id", F.concat("article_id", F.lit(DAY_MARK), F.col("ingest_date").cast("string")))
+    found = top_matches(vectors_only(queries, "query_id"), vectors_only(stored, "article_id"), k, min_score, **tuning)
+    if by_day:
+        parts = F.split("article_id", DAY_MARK)
+        found = found.withColumns({"article_id": parts[0], "ingest_date": parts[1].cast("date")})
+    return found
 
 
 def best_matches(batch: DataFrame, vectors: DataFrame, t: float, **tuning) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.functions.text import sorted_set
+from newsloom.operators.reads import on_days_of
 from newsloom.operators.rollup import nested_articles
 from newsloom.operators.summarize import TextFn, briefing_text
 from newsloom.plans.search import found_articles
@@ -31,6 +32,8 @@ def topic_briefing(
     """
     found = found_articles(articles, vectors, topics, as_of, max_articles, MIN_SCORE, hours=hours)
     found = found.join(topics.select("query_id", "topic"), "query_id")
+    if entities is not None:
+        entities = on_days_of(entities, found)
     summary = found.groupBy("query_id").agg(
         F.count("*").alias("article_count"), sorted_set(F.col("source_feed")).alias("sources")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from newsloom.config import Settings
 from newsloom.operators.cluster import build_clusters, cluster_stories
 from newsloom.operators.merge import assign_clusters, upsert_clusters
+from newsloom.operators.reads import within
 from newsloom.operators.retention import apply_retention
 from newsloom.operators.summarize import TextFn, summarize_clusters
 from newsloom.session import cut_lineage
@@ -28,8 +29,10 @@ def new_stories(
             settings.min_cluster_size,
         )
     )
-    members = tables.articles.join(assigned.withColumnRenamed("article_id", "id"), "id")
-    built = build_clusters(assigned, tables.articles, summarize_clusters(members, summarize))
+    # all that was assigned is of the window
+    recent = within(tables.articles, as_of, settings.cluster_window_hours)
+    members = recent.join(assigned.withColumnRenamed("article_id", "id"), "id")
+    built = build_clusters(assigned, recent, summarize_clusters(members, summarize))
     return assigned, built
 
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.dates import hours_before
 from newsloom.functions.text import iso_or_empty
-from newsloom.operators.reads import with_cluster
+from newsloom.operators.reads import on_days_of, with_cluster
 from newsloom.operators.vector_search import knn
+from newsloom.session import cut_lineage
 
 
 def found_articles(
@@ -24,8 +25,12 @@ def found_articles(
     """The articles of the best vectors with query_id, score and rank. ``hours`` counts back
     from ``as_of`` by publication date."""
     start = None if hours is None else hours_before(as_of, hours)
-    hits = knn(vectors, queries, k, min_score, region=region, since=start)
-    return articles.join(hits.withColumnRenamed("article_id", "id"), "id")
+    hits = knn(vectors, queries, k, min_score, region=region, since=start).withColumnRenamed("article_id", "id")
+    if "ingest_date" not in articles.columns or "ingest_date" not in hits.columns:
+        return articles.join(hits.drop("ingest_date"), "id")
+    # a few rows a query, looked up in the directories of their days alone
+    hits = cut_lineage(hits)
+    return on_days_of(articles, hits).join(hits, ["id", "ingest_date"])
 
 
 def search_news(

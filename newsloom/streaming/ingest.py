@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from newsloom.config import Settings
 from newsloom.functions.dates import since, utc_day
 from newsloom.operators.merge import merge_feeds, upsert_clusters
+from newsloom.operators.reads import within
 from newsloom.operators.retention import audit_stores, live_clusters
 from newsloom.operators.summarize import TextFn
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
@@ -23,7 +24,7 @@ from newsloom.plans.jobs import new_stories
 from newsloom.sources.feeds import load_feeds
 from newsloom.sources.gdelt import read_gdelt_articles
 from newsloom.sources.rss import feed_of_file, parse_feed_payloads, resolve_fetches
-from newsloom.tables import BY_DAY, last_version, read_table, read_tables, write_part, write_version
+from newsloom.tables import BY_DAY, last_version, read_table, read_tables, read_version, write_part, write_version
 
 
 def _payloads(spark: SparkSession, folder: str, source: str) -> DataFrame:
@@ -140,6 +141,19 @@ def _instant(as_of: datetime) -> Column:
     return F.timestamp_seconds(F.lit(_epoch(as_of)))
 
 
+def finished_clusters(spark: SparkSession, root: str, seen: int) -> DataFrame:
+    """The clusters of version ``seen``, without those that it added and that have no article.
+
+    A run that was cut short between its two writes leaves such; the articles are still unassigned, so the
+    next run finds them again.
+    """
+    now = read_version(spark, root, "clusters", seen)
+    before = read_version(spark, root, "clusters", seen - 1).select("id")
+    mine = read_table(spark, root, "article_clusters").where(F.col("batch") == seen)
+    empty = now.select("id").join(before, "id", "left_anti").join(mine.select(F.col("cluster_id").alias("id")), "id", "left_anti")
+    return now.join(empty, "id", "left_anti")
+
+
 def cluster_stored(
     spark: SparkSession,
     root: str,
@@ -147,14 +161,18 @@ def cluster_stored(
     settings: Settings = Settings(),
     summarize: TextFn | None = None,
 ) -> None:
-    """The clustering job on the store: a new version of the clusters, then the assignments."""
+    """The clustering job on the store: a new version of the clusters, then the assignments.
+
+    The assignments have the number of the version, which belongs to one run alone; a run never
+    replaces those of another, whatever ``as_of`` says.
+    """
     seen = last_version(spark, root, "clusters")
     tables, now = read_tables(spark, root), _instant(as_of)
     assigned, built = new_stories(tables, now, settings, summarize)
-    clusters = upsert_clusters(tables.clusters, built, now)
+    clusters = upsert_clusters(finished_clusters(spark, root, seen), built, now)
     write_version(clusters, root, "clusters", seen)
-    days = tables.articles.select(F.col("id").alias("article_id"), "ingest_date")
-    write_part(assigned.join(days, "article_id"), root, "article_clusters", batch=F.lit(_epoch(as_of)))
+    days = within(tables.articles, now, settings.cluster_window_hours).select(F.col("id").alias("article_id"), "ingest_date")
+    write_part(assigned.join(days, "article_id"), root, "article_clusters", batch=F.lit(seen + 1))
 
 
 def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Settings = Settings()) -> list[str]:
@@ -199,14 +217,14 @@ def reconcile_stored(spark: SparkSession, root: str) -> str:
     return action
 
 
-def sync_feeds_stored(spark: SparkSession, root: str, config: DataFrame, as_of: datetime) -> None:
+def sync_feeds_stored(spark: SparkSession, root: str, config: DataFrame) -> None:
     """Bring the stored feed list in line with a configuration; raises if that breaks a rule."""
     seen = last_version(spark, root, "feeds")
     merged = merge_feeds(read_table(spark, root, "feeds"), load_feeds(config))
     write_version(merged, root, "feeds", seen)
 
 
-def save_validators_stored(spark: SparkSession, root: str, fetches: DataFrame, as_of: datetime) -> None:
+def save_validators_stored(spark: SparkSession, root: str, fetches: DataFrame) -> None:
     """Keep what the latest fetch of each feed leaves behind, as a new version of the feed list."""
     seen = last_version(spark, root, "feeds")
     resolved = resolve_fetches(fetches, read_table(spark, root, "feeds"))

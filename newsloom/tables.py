@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, fields, replace
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,20 +141,50 @@ class VersionMoved(RuntimeError):
     """Another job wrote a version since this one read the table."""
 
 
+def _move_if_new(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder, unless the target exists: of several jobs that try, one succeeds."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    source, target = fs.Path(source), fs.Path(target)
+    no_overwrite = spark.sparkContext._gateway.new_array(fs.Options.Rename, 1)
+    no_overwrite[0] = fs.Options.Rename.NONE
+    context = fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration())
+    try:
+        context.rename(source, target, no_overwrite)
+        return True
+    except Py4JJavaError as error:
+        if not context.util().exists(target):
+            raise
+        source.getFileSystem(spark._jsc.hadoopConfiguration()).delete(source, True)
+        if "FileAlreadyExists" not in str(error.java_exception) and "not empty" not in str(error.java_exception):
+            raise
+        return False
+
+
 def write_version(df: DataFrame, root: str, name: str, seen: int) -> None:
     """Add the version after ``seen``, the one that ``df`` was derived from. Clocks play no part.
 
-    Raises if it is no longer the last one. Older versions than ``KEPT_VERSIONS`` are removed.
+    It is written aside and then renamed, so readers see it whole, and of two jobs that saw the same version one
+    raises. Older versions than ``KEPT_VERSIONS`` are removed.
     """
     spark = df.sparkSession
+    moved = VersionMoved(f"{name}: version {seen} was read, but there is a later one")
     if last_version(spark, root, name) != seen:
-        raise VersionMoved(f"{name}: version {seen} was read, but there is a later one")
-    write_part(df, root, name, version=F.lit(seen + 1))
+        raise moved
+    aside = f"{root}/{name}/_aside-{uuid.uuid4().hex}"
+    conform(df, SCHEMAS[name]).write.parquet(aside)
+    if not _move_if_new(spark, aside, f"{root}/{name}/version={seen + 1}"):
+        raise moved
     for old in versions(spark, root, name)[:-KEPT_VERSIONS]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/version={old}")
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def read_version(spark: SparkSession, root: str, name: str, version: int) -> DataFrame:
+    """One version of a table; none of its rows if it is not there any more."""
+    schema = T.StructType([*SCHEMAS[name].fields, *[T.StructField(k, t) for k, t in LAYOUT[name]]])
+    return spark.read.schema(schema).parquet(f"{root}/{name}").where(F.col("version") == version).drop("version")
+
+
 def init_tables(spark: SparkSession, root: str, feeds: DataFrame) -> None:
     """An empty store with the given feed list."""
     for name, schema in SCHEMAS.items():

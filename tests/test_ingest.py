@@ -239,13 +239,13 @@ def test_stored_feed_list(spark, tmp_path):
     init_tables(spark, root, feeds(spark))
     day = datetime(2024, 1, 1, tzinfo=timezone.utc)
     fetch = "feed_id string, fetched_at int, fetch_seq int, status int, etag_header string, last_modified_header string"
-    save_validators_stored(spark, root, spark.createDataFrame([("f1", 1, 1, 200, "e1", None)], fetch), day)
+    save_validators_stored(spark, root, spark.createDataFrame([("f1", 1, 1, 200, "e1", None)], fetch))
     cfg = spark.createDataFrame([("f1", "Renamed", "https://1.org/"), ("f3", "Three", "https://3.org")], FEED)
-    sync_feeds_stored(spark, root, cfg, day + timedelta(hours=1))
+    sync_feeds_stored(spark, root, cfg)
     got = {r["id"]: (r["name"], r["etag"], r["enabled"]) for r in read_tables(spark, root).feeds.collect()}
     assert got == {"f1": ("Renamed", "e1", True), "f2": ("Two", "", False), "f3": ("Three", "", True)}
     with pytest.raises(FeedConfigError):
-        sync_feeds_stored(spark, root, cfg.limit(0), day)
+        sync_feeds_stored(spark, root, cfg.limit(0))
 
 
 def test_cluster_and_retention_jobs(spark):

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import vector_search as vs
+from newsloom.operators import cluster, reachability
 from newsloom.operators.cluster import cluster_vectors, neighbours, reachability_tree
 from newsloom.operators.forest import components, spanning_forest
 from newsloom.operators.similarity import top_matches
@@ -136,6 +137,48 @@ def test_reachability_tree_has_minimum_weight(spark, block_rows):
     assert np.allclose(sorted(r["w"] for r in tree), expected, atol=1e-7)
 
 
+def far_groups(rng) -> np.ndarray:
+    """Tight groups larger than a row's list, far apart, with copies and far points: rounds without a known edge."""
+    centres = rng.normal(size=(4, 6))
+    groups = [c + 0.01 * rng.normal(size=(30, 6)) for c in centres]
+    copies = np.tile(rng.normal(size=6), (35, 1))
+    return np.vstack([*groups, copies, rng.normal(size=(8, 6))]).astype(np.float32)
+
+
+@pytest.mark.parametrize("cell_rows, block_rows", [(4, 7), (40, 1000), (10**6, 1000)])
+def test_tree_in_cells(spark, monkeypatch, cell_rows, block_rows):
+    monkeypatch.setattr(cluster, "CELL_ROWS", cell_rows)
+    points = far_groups(np.random.default_rng(cell_rows))
+    tree = reachability_tree(frame(spark, points, "article_id"), 3, min(block_rows, 100)).collect()
+    top = list(range(len(points)))
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for r in tree:  # no cycle
+        a, b = find(int(r["a"][1:])), find(int(r["b"][1:]))
+        assert a != b
+        top[a] = b
+    expected = sorted(w for _, _, w in brute_mst_weights(points, 3))
+    assert np.allclose(sorted(r["w"] for r in tree), expected, atol=1e-7)
+
+
+def test_tree_visits_few_cells(spark, monkeypatch):
+    """Rows inside a component far from all others visit no cell: visits stay far below rows times cells."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(size=(12, 8))
+    points = np.vstack([c + 0.02 * rng.normal(size=(60, 8)) for c in centres]).astype(np.float32)
+    visits = []
+    route = reachability._route
+    monkeypatch.setattr(reachability, "_route", lambda looking, cells: (visits.append((route(looking, cells).count(), len(cells.ids))), route(looking, cells))[1])
+    monkeypatch.setattr(cluster, "CELL_ROWS", 10)
+    tree = reachability_tree(frame(spark, points, "article_id"), 3, 100)
+    assert tree.count() == len(points) - 1
+    assert visits and sum(v for v, _ in visits) < len(points) * visits[0][1] / 4
+
+
 def textbook_labels(edges, n, m):
     """HDBSCAN* as published, top down: dendrogram, condensed tree, excess of mass."""
     size, children = {i: 1 for i in range(n)}, {}
