@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
-from newsloom.session import require_checkpoint_dir
+from newsloom.session import cut_lineage
 
 #: A word; matches what ``bytes.split()`` yields on UTF-8.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -28,15 +27,8 @@ def ascii_lower(text: Column | str) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """``df`` written once to the shared folder and read back: a lost executor repeats none of it.
-
-    A written table, unlike a checkpoint, is columnar, compressed and read in pieces.
-    """
-    spark = df.sparkSession
-    path = f"{require_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: A table written to the shared folder and read back.
+saved = cut_lineage
 
 
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

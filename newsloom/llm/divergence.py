@@ -3,17 +3,18 @@
 Terms are runs of letters and non-ASCII characters, A-Z lower-cased; no term reaches over white space, so a document is
 known by how often it has each *chunk* between white space.
 
-1. Chunks are counted per document in the task that reads it, then added up per language, source and chunk: occurrences,
-   documents, and the first and the last document's row. A chunk in fewer than three documents is in these two only.
-2. Every globally distinct chunk is taken apart once, and its terms are joined back to the counts.
-3. A language keeps the terms in at least ``LEAST`` of its documents. A term with a chunk in that many is kept at once; for the
-   others, the documents of their (rare) chunks are made distinct and counted. That decides exactly, and
-   no document's chunks are shuffled.
+1. Chunks are counted per document in the task that reads it, then added up per group (language and source): occurrences and
+   documents, and by row number the documents of a chunk that is in one or two only.
+2. Every globally distinct chunk is taken apart once, its terms are joined back, and counts are added up per group and term.
+3. A language keeps the terms in at least ``LEAST`` = 3 of its documents: those with a chunk in three, and those whose other chunks name
+   three. For these, with the first and the last row named ``a`` and ``b``, the sum of ``(d - a)(d - b)`` over all
+   rows ``d`` is 0 if there is no third one and negative if there is. It comes from plain sums of ``1``, ``d`` and ``d²``, so
+   no document's chunks are shuffled and no sets are collected, and it decides exactly.
 4. Shares of terms in groups and languages are whole thousand-millionths, add-one smoothed. A pair of sources is summed over all
    kept terms without listing those that neither has: terms that both have are joined, and what a term adds that
    only one has depends on its share alone, so these are added up by distinct shares.
 
-All arithmetic is on whole numbers, with 38 decimal digits where longs would not do.
+All arithmetic is on whole numbers: decimals of 38 digits for products, and sums in two halves of 32 bits.
 
 Null text, language and source count as empty. Every row is a document of its own, whatever its id. Groups without terms
 have pairs, and no terms; a language with one source has no pairs. Ties go by the item's UTF-8 bytes. An empty table gives
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,65 +40,101 @@ LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 #: Groups whose sizes are sent to all tasks; more are joined.
 FEW_GROUPS = 20_000
 
-COUNTED = "lang string, source string, chunk string, n long, docs long, lo long, hi long"
+COUNTED = "chunk string, gid long, n long, docs long, lo long, hi long"
 
 
 def count_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of every chunk of each group in a piece of a batch; the chunk '' stands for the group itself."""
+    """Counts of every chunk of each group in a piece of a batch, and the rows of those in one or two documents."""
     for batch in found:
         for piece in pieces(batch):
-            groups = list(zip(piece.column(1).to_pylist(), piece.column(2).to_pylist()))
-            rows = piece.column(3).to_pylist()
+            rows = zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), texts(piece))
             n, docs, lo, hi = (defaultdict(kind) for kind in (Counter, Counter, dict, dict))
-            for group, row, text in zip(groups, rows, texts(piece)):
-                distinct = {b""}
+            sets = []
+            for gid, row, text in rows:
+                distinct: set[bytes] = set()
                 for words in word_chunks(text):
-                    n[group].update(words)
+                    n[gid].update(words)
                     distinct.update(words)
-                docs[group].update(distinct)
-                hi[group].update(dict.fromkeys(distinct, row))
-                lo[group].update(dict.fromkeys(distinct - lo[group].keys(), row))
-            for (lang, source), of in docs.items():
-                group = (lang, source)
-                chunks = list(of)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([lang] * len(chunks), pa.string()),
-                        pa.array([source] * len(chunks), pa.string()),
-                        pa.array(chunks, pa.binary()).cast(pa.string()),
-                        pa.array([n[group][c] for c in chunks], pa.int64()),
-                        pa.array(list(of.values()), pa.int64()),
-                        pa.array([lo[group][c] for c in chunks], pa.int64()),
-                        pa.array([hi[group][c] for c in chunks], pa.int64()),
-                    ],
-                    names=["lang", "source", "chunk", "n", "docs", "lo", "hi"],
-                )
-
-
-def chunk_counts(docs: DataFrame) -> DataFrame:
-    """``COUNTED`` for every language, source and chunk of the documents."""
-    empty = lambda name: F.coalesce(name, F.lit("")).alias(name)
-    rows = docs.select("text", empty("lang"), empty("source"), F.monotonically_increasing_id().alias("row"))
+                docs[gid].update(distinct)
+                hi[gid].update(dict.fromkeys(distinct, row))
+                sets.append((gid, row, distinct))
+            for gid, row, distinct in reversed(sets):
+                lo[gid].update(dict.fromkeys(distinct, row))
+            chunks = [c for of in docs.values() for c in of]
+            every = lambda table: np.fromiter((table[gid][c] for gid, of in docs.items() for c in of), np.int64, len(chunks))
+            in_docs = every(docs)
+            gids = np.repeat(np.fromiter(docs, np.int64, len(docs)), [len(of) for of in docs.values()])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(chunks, pa.binary()).cast(pa.string()),
+                    pa.array(gids),
+                    pa.array(every(n)),
+                    pa.array(in_docs),
+                    pa.array(every(lo), mask=in_docs > 2),
+                    pa.array(every(hi), mask=in_docs != 2),
+                ],
+                names=["chunk", "gid", "n", "docs", "lo", "hi"],
+            )
+
+
+def group_ids(docs: DataFrame) -> tuple[DataFrame, int]:
+    """``gid``, ``lid``, ``lang``, ``source`` of every group, and the seed under which no two share a number."""
+    names = docs.select(named("lang"), named("source")).distinct()
+    for seed in range(100):
+        groups = saved(names.select(gid(seed), F.xxhash64(F.lit(seed), "lang").alias("lid"), "lang", "source"))
+        n = groups.agg(F.count("*"), F.count_distinct("gid"), F.count_distinct("lang"), F.count_distinct("lid")).first()
+        if n[0] == n[1] and n[2] == n[3]:
+            return groups, seed
+    raise RuntimeError("no seed tells all groups apart")
+
+
+def named(name: str) -> Column:
+    return F.coalesce(name, F.lit("")).alias(name)
+
+
+def gid(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("gid")
+
+
+def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
+    """``COUNTED`` for every group and chunk of the documents; ``lo`` and ``hi`` mean nothing from three documents on."""
+    rows = docs.select("text", gid(seed), F.monotonically_increasing_id().alias("row"))
     counted = rows.mapInArrow(count_chunks, COUNTED)
-    return counted.groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return counted.groupBy("chunk", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"))
 
 
-def with_terms(chunks: DataFrame) -> DataFrame:
-    """The rows of ``chunks``, once for every term that their chunk has; each distinct chunk is taken apart once."""
+def term_counts(chunks: DataFrame) -> DataFrame:
+    """For every group and term its count ``c``, the ``most`` documents that one of its chunks has, and of the chunks in
+    one or two documents the first row ``a``, the last ``b``, and the sums ``s0``, ``s1``, ``s2``."""
     terms = F.regexp_extract_all(ascii_lower("chunk"), F.lit(TERM), F.lit(0))
     apart = chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
-    return chunks.join(apart, "chunk").select("lang", "source", "term", "n", "docs", "lo", "hi")
-
-
-def kept_terms(rows: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lang``, ``term`` of the terms in at least ``least`` documents of the language, from rows of ``with_terms``."""
+    rows = chunks.join(apart, "chunk")
+    rare = lambda value: F.when(F.col("docs") < 3, value)
+    two = F.col("lo") < F.col("hi")
+    lo, hi = F.col("lo").cast("decimal(19,0)"), F.when(two, F.col("hi")).otherwise(0).cast("decimal(19,0)")
+    return rows.groupBy("gid", "term").agg(
+        F.sum("n").alias("c"),
+        F.max("docs").alias("most"),
+        F.min(rare(F.col("lo"))).alias("a"),
+        F.max(rare(F.col("hi"))).alias("b"),
+        F.sum(rare(F.when(two, 2).otherwise(1))).alias("s0"),
+        F.sum(rare(lo + hi)).alias("s1"),
+        F.sum(rare(lo * lo + hi * hi)).alias("s2"),
+    )
+
+
+def kept_counts(terms: DataFrame, groups: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lid``, ``gid``, ``term``, ``c`` and the language's ``lang_c`` of the terms in at least ``least`` of its documents."""
     if least > 3:
         raise ValueError("of a chunk only two documents are known by name, so least must be 3 at most")
-    known = saved(rows.groupBy("lang", "term").agg(F.max("docs").alias("most"), F.sum("docs").alias("all")).where(F.col("all") >= least))
-    unsure = known.where(F.col("most") < least).select("lang", "term")
-    named = rows.where(F.col("docs") < least).join(unsure, ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.array("lo", "hi")).alias("doc")).distinct()
-    more = named.groupBy("lang", "term").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("lang", "term")
-    return known.where(F.col("most") >= least).select("lang", "term").unionByName(more)
+    whole = Window.partitionBy("lid", "term")
+    over = lambda of, name: of(name).over(whole)
+    a, b = (over(*x).cast("decimal(19,0)") for x in ((F.min, "a"), (F.max, "b")))
+    third = over(F.sum, "s2") - (a + b) * over(F.sum, "s1") + a * b * over(F.sum, "s0")
+    many = {1: F.lit(True), 2: a < b, 3: third < 0}[least]
+    kept = (over(F.max, "most") >= least) | F.coalesce(many, F.lit(False))
+    rows = terms.join(send_if_small(groups.select("gid", "lid"), FEW_GROUPS), "gid")
+    return rows.select("lid", "gid", "term", "c", over(F.sum, "c").alias("lang_c"), kept.alias("kept")).where("kept").drop("kept")
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -111,56 +149,58 @@ def apart(p: Column, q: Column) -> Column:
 
 def divergences(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang``, ``source``, ``part`` ('pair' or 'term'), ``item``, ``value`` and ``rank`` of every group."""
-    chunks = saved(chunk_counts(docs))
-    rows = saved(with_terms(chunks.where("chunk <> ''")))
-    kept = saved(kept_terms(rows, least))
-    counts = saved(rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("c")).join(kept, ["lang", "term"], "left_semi"))
+    groups, seed = group_ids(docs)
+    chunks = saved(chunk_counts(docs, seed))
+    counts = saved(kept_counts(saved(term_counts(chunks)), groups, least))
 
-    vocabulary = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    sizes = counts.groupBy("lang", "source").agg(F.sum("c").alias("n"), F.count("*").alias("own"))
+    sizes = counts.groupBy("lid", "gid").agg(F.sum("c").alias("n"), F.count("*").alias("own"))
+    vocabulary = counts.select("lid", "term").distinct().groupBy("lid").agg(F.count("*").alias("v"))
     zero = lambda name: F.coalesce(name, F.lit(0).cast("long")).alias(name)
-    groups = chunks.where("chunk = ''").select("lang", "source").join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left")
+    sized = groups.join(sizes, ["lid", "gid"], "left").join(vocabulary, "lid", "left").select("lid", "gid", "lang", "source", zero("n"), zero("own"), zero("v"))
+    languages = sized.groupBy("lid").agg(F.sum("n").alias("lang_n"))
     # none: the share of a term that the group does not have
-    groups = saved(groups.select("lang", "source", zero("n"), zero("own"), zero("v")).withColumn("none", share(F.lit(0), F.col("n"), F.col("v"))))
-    languages = groups.groupBy("lang").agg(F.sum("n").alias("lang_n"), F.max("v").alias("lang_v"))
-
-    shares = counts.join(send_if_small(groups.select("lang", "source", "n", "v", "none"), FEW_GROUPS), ["lang", "source"])
-    shares = saved(shares.select("lang", "source", "term", share(F.col("c"), F.col("n"), F.col("v")).alias("p"), "none"))
-
-    whole = counts.groupBy("lang", "term").agg(F.sum("c").alias("c")).join(send_if_small(languages, FEW_GROUPS), "lang")
-    whole = whole.select("lang", "term", share(F.col("c"), F.col("lang_n"), F.col("lang_v")).alias("q"))
-    found = shares.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
-    place = Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item")
+    groups = saved(sized.join(languages, "lid").withColumn("none", share(F.lit(0), F.col("n"), F.col("v"))))
+    few = send_if_small(groups.select("lid", "gid", "n", "v", "lang_n", "none"), FEW_GROUPS)
+    p = share(F.col("c"), F.col("n"), F.col("v")).alias("p")
+    q = share(F.col("lang_c"), F.col("lang_n"), F.col("v")).alias("q")
+    shares = saved(counts.join(few, ["lid", "gid"]).select("lid", "gid", "term", p, q, "none"))
+
+    names = groups.select("gid", "lang", "source")
+    found = shares.where("p > q").select("gid", F.lit("term").alias("part"), F.col("term").alias("item"), apart(F.col("p"), F.col("q")).alias("value"))
+    place = Window.partitionBy("gid").orderBy(F.desc("value"), "item")
     best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= top)
-
-    pairs = pair_sums(shares, groups)
-    return best.unionByName(pairs.withColumn("rank", F.row_number().over(place)))
+    summed = pair_sums(shares, groups)
+    items = groups.select(F.col("gid").alias("b"), F.col("source").alias("item"))
+    pairs = summed.join(items, "b").select(F.col("a").alias("gid"), F.lit("pair").alias("part"), "item", "value")
+    both = best.unionByName(pairs.withColumn("rank", F.row_number().over(place)))
+    return both.join(send_if_small(names, FEW_GROUPS), "gid").select("lang", "source", "part", "item", "value", "rank")
 
 
 def pair_sums(shares: DataFrame, groups: DataFrame) -> DataFrame:
-    """``lang``, ``source``, ``part``, ``item`` (another source) and ``value``, summed over all kept terms."""
-    side = lambda df, **names: df.select("lang", *[F.col(old).alias(new) for new, old in names.items()])
-    wide = F.col("value").cast("decimal(38,0)").alias("value")
-    of_a = side(groups, a="source", a_none="none", a_own="own", v="v")
-    of_b = side(groups, b="source", b_none="none", b_own="own")
-    both = of_a.join(of_b, "lang").where("a <> b")
+    """``a``, ``b`` (two groups of a language) and ``value``, summed over all kept terms."""
+    side = lambda df, **names: df.select("lid", *[F.col(old).alias(new) for new, old in names.items()])
+    of_a = side(groups, a="gid", a_none="none", a_own="own", v="v")
+    of_b = side(groups, b="gid", b_none="none", b_own="own")
     p, q, a_none, b_none = (F.col(c) for c in ("p", "q", "a_none", "b_none"))
+
+    def total(rows: DataFrame, value: Column, times: Column) -> DataFrame:
+        """Sums of ``value * times`` by pair, the upper and the lower 32 bits of the value apart."""
+        rows = rows.select("a", "b", value.alias("x"), times.alias("times"))
+        wide = lambda c: F.sum(c).cast("decimal(38,0)")
+        high, low = F.shiftright("x", 32) * F.col("times"), F.col("x").bitwiseAND(F.lit((1 << 32) - 1)) * F.col("times")
+        return rows.groupBy("a", "b").agg((wide(high) * F.lit(1 << 32).cast("decimal(10,0)") + wide(low)).cast("decimal(38,0)").alias("value"))
+
     # as if no term were in both groups
-    times = (F.col("v") - F.col("a_own") - F.col("b_own")).cast("decimal(20,0)")
-    neither = both.select("lang", "a", "b", (F.coalesce(apart(a_none, b_none), F.lit(0)).cast("decimal(18,0)") * times).alias("value"))
-    equal = shares.groupBy("lang", "source", "p").agg(F.count("*").alias("m"))
-    each = F.col("m").cast("decimal(20,0)")
-    only_a = side(equal, a="source", p="p", m="m").join(of_b, "lang").where("a <> b").select("lang", "a", "b", (apart(p, b_none).cast("decimal(18,0)") * each).alias("value"))
-    only_b = side(equal, b="source", q="p", m="m").join(of_a, "lang").where("a <> b").select("lang", "a", "b", (apart(a_none, q).cast("decimal(18,0)") * each).alias("value"))
+    both = of_a.join(of_b, "lid").where("a <> b")
+    neither = total(both, F.coalesce(apart(a_none, b_none), F.lit(0)), F.col("v") - F.col("a_own") - F.col("b_own"))
+    equal = shares.groupBy("lid", "gid", "p").agg(F.count("*").alias("m"))
+    only_a = total(side(equal, a="gid", p="p", m="m").join(of_b, "lid").where("a <> b"), apart(p, b_none), F.col("m"))
+    only_b = total(side(equal, b="gid", q="p", m="m").join(of_a, "lid").where("a <> b"), apart(a_none, q), F.col("m"))
     # what that is off by for terms in both
-    met = side(shares, a="source", term="term", p="p", a_none="none").join(side(shares, b="source", term="term", q="p", b_none="none"), ["lang", "term"]).where("a <> b")
-    off = apart(p, q) - apart(p, b_none) - apart(a_none, q) + apart(a_none, b_none)
-    total = None
-    for rows in (neither, only_a, only_b, met.select("lang", "a", "b", off.alias("value"))):
-        part = rows.select("lang", "a", "b", wide).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
-        total = part if total is None else total.unionByName(part)
-    summed = total.groupBy("lang", "a", "b").agg(F.sum("value").cast("long").alias("value"))
-    return summed.select("lang", F.col("a").alias("source"), F.lit("pair").alias("part"), F.col("b").alias("item"), "value")
+    met = side(shares, a="gid", term="term", p="p", a_none="none").join(side(shares, b="gid", term="term", q="p", b_none="none"), ["lid", "term"]).where("a <> b")
+    off = total(met, apart(p, q) - apart(p, b_none) - apart(a_none, q) + apart(a_none, b_none), F.lit(1))
+    every = neither.unionByName(only_a).unionByName(only_b).unionByName(off)
+    return every.groupBy("a", "b").agg(F.sum("value").cast("long").alias("value"))
 
 
 def divergence_sql(docs: str, least: int = LEAST, top: int = TOP) -> str:

@@ -72,14 +72,17 @@ def test_divergences(spark, seed):
     assert got(df, least=2, top=3) == plain(rows, 2, 3)
 
 
-def test_rare_chunks_decide_exactly(spark):
-    """'http' is in three documents but never in the same chunk; 'same' is in two, one of them twice."""
-    rows = [("http://a same:1 same:2", "en", "s"), ("http://b", "en", "s"), ("http://c same:3", "en", "t")]
-    df = spark.createDataFrame([(None, *r, "", 0) for r in rows], ROWS)
-    kept = divergence.kept_terms(divergence.with_terms(divergence.chunk_counts(df).where("chunk <> ''")))
-    assert [tuple(r) for r in kept.collect()] == [("en", "http")]
+@pytest.mark.parametrize("least, want", [(1, ["a", "b", "c", "http", "same", "twice"]), (2, ["http", "same", "twice"]), (3, ["http"])])
+def test_rare_chunks_decide_exactly(spark, least, want):
+    """'http' is in three documents but never in the same chunk; 'same' is in two, one of them twice; 'twice' in two, in many chunks."""
+    many = lambda row: " ".join(f"twice:{row}{i}" for i in range(9))
+    rows = [("http://a same:1 same:2 " + many(1), "en", "s"), ("http://b", "en", "s"), ("http://c same:3 " + many(2), "en", "t")]
+    df = spark.createDataFrame([(None, *r, "", 0) for r in rows], ROWS).repartition(3)
+    groups, seed = divergence.group_ids(df)
+    terms = divergence.term_counts(divergence.chunk_counts(df, seed))
+    assert sorted({r.term for r in divergence.kept_counts(terms, groups, least).collect()}) == want
     with pytest.raises(ValueError):
-        divergence.kept_terms(df, 4)
+        divergence.kept_counts(terms, groups, 4)
 
 
 def test_divergences_of_odd_rows(spark, odd, none):  # noqa: F811
