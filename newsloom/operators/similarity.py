@@ -5,7 +5,8 @@ the stored side. A larger one is joined with them block by block. The blocks are
 cells around pivot vectors, and a query visits only cells that can hold a match,
 by the triangle inequality and the hyperplane between two pivots (Lu, Shen, Chen,
 Ooi 2012). Cells larger than a block are cut into chunks, so a crowded cell is
-many tasks. Nothing is capped: the result equals a comparison with every vector.
+many tasks. Nothing is capped: the result equals a comparison with every vector, unless the caller
+asks for an approximate search (``lsh.py``).
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from newsloom.operators.blocks import NO_RANK, TopMatches, matrix, unit
+from newsloom.operators.lsh import Lsh, meeting
 from newsloom.session import collect_if_small
 
 MATCH_SCHEMA = "query_id string, article_id string, score double"
@@ -174,6 +176,11 @@ def _block_join(queries: DataFrame, stored: DataFrame, k: int, min_score, skip_s
 
     left = chunked(routed, "q_chunk", "q_cuts", "s_chunk", "s_cuts")
     right = chunked(in_cells.drop("reach"), "s_chunk", "s_cuts", "q_chunk", "q_cuts")
+    return _compare(left, right, keys, k, min_score, skip_self)
+
+
+def _compare(left: DataFrame, right: DataFrame, keys: list[str], k: int, min_score, skip_self: bool) -> DataFrame:
+    """The best ``k`` stored rows of each query within each block."""
 
     def compare(q: pa.Table, s: pa.Table) -> pa.Table:
         q_ids = _strings(q, "id")
@@ -191,6 +198,16 @@ def _block_join(queries: DataFrame, stored: DataFrame, k: int, min_score, skip_s
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, MATCH_SCHEMA)
 
 
+def _meeting_matches(queries: DataFrame, stored: DataFrame, k: int, min_score, skip_self: bool, block_rows: int, lsh: Lsh) -> DataFrame:
+    likely = lsh.likely if lsh.likely is not None else min_score
+    if likely is None:
+        raise ValueError("a search without a least score needs Lsh(likely=...)")
+    left, right, keys = meeting(queries, stored, stored.count(), likely, lsh.recall, block_rows)
+    found = _compare(left, right, keys, k, min_score, skip_self)
+    # a pair may meet in several tables
+    return found.groupBy("query_id", "article_id").agg(F.max("score").alias("score"))
+
+
 def top_matches(
     queries: DataFrame,
     stored: DataFrame,
@@ -199,17 +216,20 @@ def top_matches(
     skip_self: bool = False,
     max_sent: int = MAX_SENT_QUERIES,
     block_rows: int = BLOCK_ROWS,
+    lsh: Lsh | None = None,
 ) -> DataFrame:
     """The ``k`` stored vectors with the highest cosine per query, ties to the smaller id:
-    query_id, article_id, score, rank.
+    query_id, article_id, score, rank. With ``lsh`` only those that it lets meet.
 
     Both sides have ``id`` and ``embedding``. With a ``seq`` on both, only stored
     rows with a smaller one count; ``skip_self`` leaves out the row with the query's id.
     """
-    sent = collect_if_small(queries, max_sent)
+    sent = collect_if_small(queries, max_sent) if lsh is None else None
     if sent is not None and sent and len(sent) * len(sent[0]["embedding"]) * 4 > MAX_SENT_BYTES:
         sent = None
-    if sent is None:
+    if lsh is not None:
+        partial = _meeting_matches(queries, stored, k, min_score, skip_self, block_rows, lsh)
+    elif sent is None:
         if min_score is None:
             queries = _with_radius(queries, stored, k, skip_self, block_rows)
         partial = _block_join(queries, stored, k, min_score, skip_self, block_rows)

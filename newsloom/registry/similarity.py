@@ -8,6 +8,7 @@ from newsloom import fixtures as fx
 from newsloom.functions.vectors import cosine
 from newsloom.operators import vector_search as vs
 from newsloom.operators.cluster import neighbour_edges
+from newsloom.operators.lsh import Lsh
 from newsloom.registry import ORACLES, query
 
 COS = "list_cosine_similarity(cast({} as double[]), cast({} as double[]))"
@@ -148,6 +149,19 @@ def cosine_pairs_in_blocks(spark, sf):
     return found.withColumn("score", F.round("score", 4))
 
 
+# Approximate search: true matches only, nine in ten of them at least (tests/test_vectors.py measures it).
+@query("knn_lsh")
+def knn_approximate(spark, sf):
+    found = vs.knn(fx.derived(spark, sf, "vectors"), fx.topic_vectors(spark, sf), lsh=Lsh(likely=0.2))
+    return found.withColumn("score", F.round("score", 4))
+
+
+@query("cosine_lsh")
+def cosine_pairs_approximate(spark, sf):
+    found = vs.best_matches(fx.incoming_vectors(spark, sf), fx.derived(spark, sf, "vectors"), 0.6, lsh=Lsh())
+    return found.withColumn("score", F.round("score", 4))
+
+
 @query("dedup_vectors_rounds", ORACLES["dedup_vectors_in_order"])
 def deduped_in_rounds(spark, sf):
     fed = fx.incoming_vectors(spark, sf).withColumn("batch_seq", F.col("kind"))

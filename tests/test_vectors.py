@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from newsloom.operators import vector_search as vs
 from newsloom.operators import cluster, reachability
+from newsloom import registry as queries
+from newsloom.operators.lsh import Lsh, plan
+from newsloom.operators.vector_search import knn
 from newsloom.operators.cluster import cluster_vectors, neighbours, reachability_tree
 from newsloom.operators.forest import components, spanning_forest
 from newsloom.operators.similarity import top_matches
@@ -352,3 +355,37 @@ def test_forest_and_components(spark, finish_edges):
     assert math.isclose(sum(r["w"] for r in got), total)
     assert len(got) == len(nodes) - len(set(expected.values()))
     assert components(df).count() == len(nodes)
+
+
+def test_lsh_plan():
+    for n in (10, 10**4, 10**8):
+        for likely in (0.2, 0.6, 0.95):
+            bits, tables = plan(n, likely, 0.95)
+            same = 1 - math.acos(likely) / math.pi
+            assert 1 - (1 - same**bits) ** tables >= 0.95 and tables <= 256
+    assert plan(10**8, 0.95, 0.95)[0] > plan(10**4, 0.95, 0.95)[0]
+
+
+@pytest.mark.parametrize("name, exact", [("knn_lsh", "knn_topk"), ("cosine_lsh", "cosine_pairs")])
+def test_approximate_search_finds_true_matches_and_most_of_them(spark, name, exact):
+    sf = "/root/testdata/sf0.01"
+    queries.load_all()
+    got, want = (queries.QUERIES[q](spark, sf).toPandas() for q in (name, exact))
+    key = [c for c in ("query_id", "article_id", "match_id") if c in want.columns]
+    found, true = ({tuple(r[:-1]): r[-1] for r in df[[*key, "score"]].itertuples(index=False)} for df in (got, want))
+    # the best of those found stands in for a best one that was missed, with its true score
+    recall = len(found.keys() & true.keys()) / len(true)
+    assert recall >= 0.9, recall
+    assert all(abs(found[k] - true[k]) < 1e-9 for k in found.keys() & true.keys())
+
+
+@pytest.mark.parametrize("block_rows", [4096, 9])
+def test_crowded_keys_are_cut(spark, block_rows):
+    rng = np.random.default_rng(4)
+    stored = (rng.normal(size=(1, 8)) + 0.05 * rng.normal(size=(120, 8))).astype(np.float32)
+    df, asked = frame(spark, stored, "article_id"), frame(spark, stored[:30], "query_id")
+    exact = {(r.query_id, r.article_id): round(r.score, 9) for r in knn(df, asked, 5).collect()}
+    got = {(r.query_id, r.article_id): round(r.score, 9) for r in knn(df, asked, 5, lsh=Lsh(likely=0.9, recall=0.999), block_rows=block_rows).collect()}
+    assert len(exact.keys() & got.keys()) >= 0.95 * len(exact)
+    with pytest.raises(ValueError):
+        knn(df, asked, 5, min_score=None, lsh=Lsh())
