@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.ml.feature import HashingTF, IDF, IDFModel, Normalizer
+from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,13 +16,16 @@ from newsloom.functions.text import WORD, article_text
 EmbedFn = Callable[[pd.Series], pd.Series]
 
 
-def _words(df: DataFrame, text: str) -> DataFrame:
-    words = F.split(F.lower(text), f"[^{WORD[1:-1]}]+")
-    return df.withColumn("_words", F.filter(words, lambda w: w != ""))
+def bucket(word: Column, dim: int) -> Column:
+    """A word's dimension: the first 32 bits of its MD5, the same in every engine."""
+    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim
 
 
 def _counted(df: DataFrame, text: str, dim: int) -> DataFrame:
-    return HashingTF(numFeatures=dim, inputCol="_words", outputCol="_tf").transform(_words(df, text))
+    words = F.filter(F.split(F.lower(text), f"[^{WORD[1:-1]}]+"), lambda w: w != "")
+    named = df.withColumn("_words", F.transform(words, lambda w: bucket(w, dim).cast("string")))
+    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_words", outputCol="_tf")
+    return counts.transform(named)
 
 
 def fit_idf(df: DataFrame, text: str, dim: int = 768) -> IDFModel:

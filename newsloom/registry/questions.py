@@ -15,6 +15,7 @@ from newsloom.plans.trending import trending_topics
 from newsloom.registry import query
 from newsloom.registry.reads import ISO, WINDOW
 from newsloom.registry.similarity import KNN
+from newsloom.registry.sqlparts import counted_sql
 
 HOURS = 480
 DATE = f"coalesce({ISO.format('published_at')}, '')"
@@ -81,7 +82,25 @@ def headlines_fallback(spark, sf):
     return flat_lists(latest_headlines(articles, clusters, fx.as_of(), HOURS, category="technology"))
 
 
-@query("headlines_json")
+@query(
+    "headlines_json",
+    fx.ctes("clusters")
+    + f""", top as (
+        select * from clusters where updated_at > timestamp '2024-01-31 00:00:00' - interval 480 hour
+        order by article_count desc, id limit 20),
+    members as (
+        select a.*, row_number() over (partition by cluster_id order by published_at desc nulls last, id) as position
+        from articles a where cluster_id in (select id from top)),
+    rolled as (
+        select cluster_id, list(distinct source_feed order by source_feed) as sources, {LATEST} as latest_published
+        from members group by cluster_id),
+    cards as (
+        select cluster_id, list({{'title': title, 'url': source_url, 'source': source_feed, 'published_at': {DATE}}} order by position) as articles
+        from members where position <= 5 group by cluster_id)
+    select cast(to_json({{'cluster_id': t.id, 'headline': t.label, 'summary': t.summary, 'article_count': t.article_count,
+        'sources': r.sources, 'latest_published': r.latest_published, 'articles': c.articles}}) as varchar) as json
+    from top t join rolled r on r.cluster_id = t.id join cards c on c.cluster_id = t.id""",
+)
 def headlines_as_json(spark, sf):
     articles, clusters = fx.derived(spark, sf, "articles"), fx.derived(spark, sf, "clusters")
     return headlines_json(latest_headlines(articles, clusters, fx.as_of(), HOURS))
@@ -111,7 +130,26 @@ def searched_news(spark, sf):
     )
 
 
-@query("search_by_text")
+@query(
+    "search_by_text",
+    fx.ctes("articles")
+    + """, asked as (select 'q' || cast(item_id as varchar) as id, text as body from benchmark),
+    both_sides as (select 'a' || id as id, title || ' ' || summary as body from articles union all select * from asked)"""
+    + counted_sql("both_sides")
+    + f""", lengths as (select id, sqrt(sum(x * x)) as n from weighed group by id),
+    dots as (
+        select q.id as q, a.id as a, sum(q.x * a.x) as d from weighed q join weighed a using (bucket)
+        where q.id like 'q%' and a.id like 'a%' group by all),
+    scored as (
+        select q.id as q, a.id as article_id, coalesce(d / (x.n * y.n), 0) as score
+        from asked q cross join articles a left join dots on dots.q = q.id and dots.a = 'a' || a.id
+        left join lengths x on x.id = q.id left join lengths y on y.id = 'a' || a.id),
+    hits as (
+        select *, row_number() over (partition by q order by round(score, 12) desc, article_id) as rank from scored qualify rank <= 5)
+    select substr(q, 2) as query_id, rank, title, source_url as url, source_feed as source, region, category, {DATE} as published_at,
+           round(score, 4) as relevance_score, cluster_id
+    from hits join articles on id = article_id""",
+)
 def search_by_text(spark, sf):
     """Every benchmark text as a query, embedded like the articles."""
     articles = fx.derived(spark, sf, "articles")

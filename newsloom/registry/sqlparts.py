@@ -24,3 +24,16 @@ def simhash_sql(source: str, text: str, name: str = "hashes") -> str:
                              else v end as bigint) as simhash
         from (select id, {value} as v from votes))
     """
+
+
+WORDS_SQL = r"list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+
+
+def counted_sql(rows: str, dim: int = 768) -> str:
+    """CTEs ``counted`` (id, bucket, c) and ``weighed`` (id, bucket, x: the embedding's entries) of ``rows`` (id, body)."""
+    return f""", spelled as (select id, unnest({WORDS_SQL.format("lower(body)")}) as word from {rows}),
+    counted as materialized (
+        select id, cast('0x' || substr(md5(word), 1, 8) as bigint) % {dim} as bucket, count(*) as c from spelled group by all),
+    weighed as materialized (
+        select id, bucket, cast(cast(c / sqrt(sum(c * c) over (partition by id)) as float) as double) as x from counted)
+    """

@@ -14,17 +14,31 @@ from newsloom.operators.forest import components
 from newsloom.operators.summarize import summarize_clusters
 from newsloom.registry import ORACLES, query
 from newsloom.registry.dedup import HASHES, hashed_articles
+from newsloom.registry.sqlparts import WORDS_SQL, counted_sql
 from newsloom.registry.storage import article_clusters
 
-WORDS_SQL = r"list_filter(string_split_regex({}, '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
-
-
-@query("embed_articles")
+@query(
+    "embed_articles",
+    fx.ctes("articles")
+    + ", spoken as (select id, title || ' ' || summary as body from articles)"
+    + counted_sql("spoken")
+    + """, least as (select id, min(c) as least, count(*) as used from counted group by id),
+    listed as (
+        select id, string_agg(bucket || ':' || cast(round(c * 100.0 / least) as bigint), ',' order by bucket) as listed
+        from counted join least using (id) group by id)
+    select id, if(used is null, 0.0, 1.0) as length, coalesce(used, 0) as used, md5(coalesce(listed, '')) as digest
+    from articles left join least using (id) left join listed using (id)""",
+)
 def embedded_articles(spark, sf):
-    """Length and number of used dimensions of each article's default embedding."""
+    """Length, number of used dimensions and a digest of each article's default embedding: every used dimension
+    with its weight in hundredths of the least one."""
     embedded = embed_articles(fx.derived(spark, sf, "articles", parallel=True))
-    used = F.size(F.filter("embedding", lambda x: x != 0))
-    return embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), used.alias("used"))
+    used = F.filter("embedding", lambda x: x != 0)
+    weight = lambda x: F.round(x / F.col("least") * 100).cast("bigint").cast("string")
+    entry = lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), weight(x)))
+    embedded = embedded.withColumn("least", F.array_min(used))
+    digest = F.md5(F.array_join(F.array_compact(F.transform("embedding", entry)), ","))
+    return embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), F.size(used).alias("used"), digest.alias("digest"))
 
 
 @query(
