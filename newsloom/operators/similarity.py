@@ -93,7 +93,7 @@ def choose_pivots(stored: DataFrame, n: int, block_rows: int) -> np.ndarray:
     return unit(np.array([r["embedding"] for r in rows], dtype=np.float64))
 
 
-def _with_cell(stored: DataFrame, pivots: np.ndarray) -> DataFrame:
+def with_cell(stored: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``cell`` (nearest pivot) and ``reach`` (distance to it) of each stored vector."""
     sent = stored.sparkSession.sparkContext.broadcast(pivots)
     carried = [f for f in stored.schema.fields]
@@ -111,7 +111,7 @@ def _with_cell(stored: DataFrame, pivots: np.ndarray) -> DataFrame:
     return stored.mapInArrow(assign, schema + ", cell int, reach double")
 
 
-def _route(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, min_score) -> DataFrame:
+def route(queries: DataFrame, pivots: np.ndarray, reach: np.ndarray, min_score) -> DataFrame:
     """One row per query and cell that can hold a match: ``cell``.
 
     ``radius`` of a query, if present, bounds the distance of its matches; else ``min_score`` does.
@@ -155,12 +155,12 @@ def _block_join(queries: DataFrame, stored: DataFrame, k: int, min_score, skip_s
     if n == 0:
         return spark.createDataFrame([], MATCH_SCHEMA)
     pivots = choose_pivots(stored, n, block_rows)
-    in_cells = _with_cell(stored, pivots)
+    in_cells = with_cell(stored, pivots)
     stats = in_cells.groupBy("cell").agg(F.count("*").alias("n"), F.max("reach").alias("reach")).collect()
     reach = np.full(len(pivots), -1.0)
     for row in stats:
         reach[row["cell"]] = row["reach"]
-    routed = _route(queries, pivots, reach, min_score)
+    routed = route(queries, pivots, reach, min_score)
     visits = routed.groupBy("cell").agg(F.count("*").alias("n")).collect()
     s_cuts = _cuts(spark, {r["cell"]: r["n"] for r in stats}, "s_cuts", block_rows)
     q_cuts = _cuts(spark, {r["cell"]: r["n"] for r in visits}, "q_cuts", block_rows)

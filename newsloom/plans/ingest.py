@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.ml.feature import IDFModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from newsloom.config import Settings
@@ -16,6 +16,7 @@ from newsloom.operators.embed import EmbedFn, embed_articles
 from newsloom.operators.entities import EntityFn, extract_entities
 from newsloom.operators.normalize import ARTICLE_COLUMNS, normalize_gdelt, normalize_rss
 from newsloom.operators.reads import recent_simhashes
+from newsloom.operators.stored_cells import StoredCells
 from newsloom.operators.vector_search import dedup_vectors_in_order
 from newsloom.session import cut_lineage, send_if_small
 from newsloom.tables import ARTICLES, ENTITIES, INGESTION_LOG, VECTORS, NewsTables, conform
@@ -99,8 +100,11 @@ def _batch_numbers(batch: DataFrame) -> DataFrame:
     return batch.join(send_if_small(cut_lineage(ranked), MAX_SENT_FEEDS), ["source_seq", "feed_id"])
 
 
-def _per_source(df: DataFrame, stage: str) -> DataFrame:
-    return df.groupBy("source_seq").agg(F.count("*").alias("rows")).withColumn("stage", F.lit(stage))
+def _observed(df: DataFrame, stage: str) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """``df`` written once, and its rows per source, counted while they are written."""
+    seen = Observation()
+    out = cut_lineage(df.observe(seen, *[F.count_if(F.col("source_seq") == n).alias(name) for n, name in SOURCE_NAMES.items()]))
+    return out, [(name, stage, rows) for name, rows in seen.get.items() if rows]
 
 
 def ingest_batch(
@@ -109,19 +113,21 @@ def ingest_batch(
     as_of: Column,
     models: Models = Models(),
     settings: Settings = Settings(),
+    cells: StoredCells | None = None,
 ) -> Ingested:
-    """The rows a run stores, given ``arrivals`` and the tables so far.
+    """The rows a run stores, given ``arrivals`` and the tables so far. With ``cells`` only those of the
+    stored vectors are read that can hold a match.
 
     Later feeds see what earlier ones stored. SimHash compares with the stored hashes of the
     last 48 hours and within the run; vectors with all stored ones and with earlier feeds.
     """
-    batch = cut_lineage(_batch_numbers(batch))
+    batch, fetched = _observed(_batch_numbers(batch), "fetched")
     placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "payload", "item_seq"))
-    fresh = dedup_url(placed, tables.articles)
+    fresh, new_urls = _observed(dedup_url(placed, tables.articles), "new_url")
     hashes = fresh.select("id", "ord", simhash(article_text(fresh)).alias("simhash"))
     recent = recent_simhashes(tables.articles, as_of, settings.simhash_window_hours)
     unlike = dedup_simhash(hashes, recent, settings.simhash_threshold).select("id", "simhash")
-    unlike = cut_lineage(fresh.join(unlike, "id"))
+    unlike, new_hashes = _observed(fresh.join(unlike, "id"), "new_simhash")
     embedded = embed_articles(
         unlike.select("id", "title", "summary", "batch_seq"),
         models.embed,
@@ -130,20 +136,16 @@ def ingest_batch(
         models.idf,
     )
     vectors = embedded.select(F.col("id").alias("article_id"), "embedding", "batch_seq")
-    kept = dedup_vectors_in_order(vectors, tables.vectors, settings.vector_dedup_threshold)
+    known = tables.vectors
+    if cells is not None:
+        vectors = cut_lineage(vectors)
+        known = cells.visited(known, vectors, settings.vector_dedup_threshold)
+    kept = dedup_vectors_in_order(vectors, known, settings.vector_dedup_threshold)
     kept = kept.select(F.col("article_id").alias("id"), "embedding")
-    stored = cut_lineage(unlike.join(kept, "id"))
+    stored, added = _observed(unlike.join(kept, "id"), "stored")
     entities = extract_entities(stored, models.entities, models.gazetteer, settings.ner_max_chars)
-    counts = (
-        _per_source(batch, "fetched")
-        .unionByName(_per_source(fresh, "new_url"))
-        .unionByName(_per_source(unlike, "new_simhash"))
-        .unionByName(_per_source(stored, "stored"))
-    )
-    names = F.create_map(*[F.lit(x) for pair in SOURCE_NAMES.items() for x in pair])
-    counts = cut_lineage(
-        counts.select(F.element_at(names, F.col("source_seq")).alias("source"), "stage", "rows")
-    )
+    # two sources and four stages at most
+    counts = stored.sparkSession.createDataFrame([*fetched, *new_urls, *new_hashes, *added], "source string, stage string, rows bigint")
     log = counts.groupBy("source").agg(
         as_of.alias("started_at"),
         as_of.alias("finished_at"),

@@ -12,7 +12,7 @@ from newsloom.operators.normalize import normalize_gdelt, normalize_rss
 from newsloom.registry import query
 from newsloom.sources.feeds import select_feeds, validate_feeds
 from newsloom.sources.gdelt import read_gdelt_articles, select_recent_gdelt
-from newsloom.sources.rss import parse_feed_payloads, resolve_fetches
+from newsloom.sources.rss import parse_feed_payloads, resolve_fetches, run_errors
 
 WS = r"[\s\p{Z}\x1c-\x1f\x85]"
 
@@ -134,6 +134,29 @@ def fetch_outcome(spark, sf):
     return resolve_fetches(fx.derived(spark, sf, "fetches"), fx.derived(spark, sf, "feeds"))
 
 
+@query(
+    "run_log",
+    fx.ctes("fetches")
+    + """, latest as (
+        select fetched_at as run, feed_id, status from fetches qualify row_number() over (
+            partition by fetched_at, feed_id order by fetch_seq desc) = 1),
+    judged as (
+        select run, feed_id, not coalesce(status in (200, 304), false) as failed,
+               feed_id || ': ' || coalesce('status ' || cast(status as varchar), 'no answer') as said from latest),
+    counted as (select run, count(*) as feeds, count_if(failed) as failed from judged group by run),
+    listed as (
+        select run, string_agg(said, '; ' order by feed_id) as listed
+        from (select * from judged where failed qualify row_number() over (partition by run order by feed_id) <= 5) group by run)
+    select run, feeds, failed, case when failed > 0 then failed || ' of ' || feeds || ' feeds failed: ' || listed
+        || case when failed > 5 then '; and ' || (failed - 5) || ' more' else '' end end as error
+    from counted left join listed using (run)
+    """,
+)
+def logged_fetches(spark, sf):
+    """What each day's run logs of its fetches."""
+    return run_errors(fx.derived(spark, sf, "fetches").withColumn("run", F.col("fetched_at")), "run")
+
+
 GDELT_SQL = (
     fx.ctes("gdelt_raw")
     + """, docs as (select payload_id, try_cast(case when body like '{%' then body end as json) as j from gdelt_raw),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _ITEM = (
@@ -118,3 +118,38 @@ def resolve_fetches(fetches: DataFrame, feeds: DataFrame) -> DataFrame:
         feeds["enabled"],
         ok.alias("fetched_ok"),
     )
+
+
+_FETCH = "feed_id string, fetched_at timestamp, fetch_seq bigint, status int, etag_header string, last_modified_header string, error string"
+
+
+def read_fetches(payloads: DataFrame) -> DataFrame:
+    """Fetch outcomes from payload rows (``body``) with one JSON object a line. Lines that are none, and those without a
+    feed, give no rows."""
+    lines = payloads.select(F.explode(F.split("body", "\n")).alias("line"))
+    parsed = lines.select(F.from_json("line", _FETCH, {"mode": "PERMISSIVE", "timeZone": "UTC"}).alias("f")).select("f.*")
+    return parsed.where("feed_id is not null")
+
+
+#: Feeds that a run's message names.
+NAMED_FEEDS = 5
+
+
+def run_errors(fetches: DataFrame, *run: str) -> DataFrame:
+    """For every run (the columns named, or all rows): its ``feeds``, how many ``failed`` and the ``error`` to log, null if none did.
+
+    Of each feed the latest fetch of the run counts. It failed unless its status is 200 or 304; the message names the
+    first ``NAMED_FEEDS`` of them in the order of their ids, with the error or else the status.
+    """
+    of_fetch = [F.col("error")] if "error" in fetches.columns else [F.lit(None).cast("string").alias("error")]
+    latest = fetches.groupBy(*run, "feed_id").agg(F.max_by(F.struct("status", *of_fetch), F.struct("fetched_at", "fetch_seq")).alias("f"))
+    why = F.coalesce("f.error", F.concat(F.lit("status "), F.col("f.status").cast("string")), F.lit("no answer"))
+    failed = F.coalesce(F.col("f.error").isNotNull() | ~F.col("f.status").isin(200, 304), F.lit(True))
+    judged = latest.select(*run, "feed_id", failed.alias("failed"), F.concat("feed_id", F.lit(": "), why).alias("said"))
+    counted = judged.groupBy(*run).agg(F.count("*").alias("feeds"), F.count_if("failed").alias("failed"))
+    named = judged.where("failed").withColumn("place", F.row_number().over(Window.partitionBy(*run).orderBy("feed_id"))).where(F.col("place") <= NAMED_FEEDS)
+    listed = named.groupBy(*run).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "said"))), lambda x: x["said"]), "; ").alias("listed"))
+    both = counted.join(listed, list(run), "left") if run else counted.join(listed, F.lit(True), "left")
+    rest = F.when(F.col("failed") > NAMED_FEEDS, F.concat(F.lit("; and "), (F.col("failed") - NAMED_FEEDS).cast("string"), F.lit(" more"))).otherwise("")
+    error = F.when(F.col("failed") > 0, F.concat(F.col("failed").cast("string"), F.lit(" of "), F.col("feeds").cast("string"), F.lit(" feeds failed: "), "listed", rest))
+    return both.select(*run, "feeds", "failed", error.alias("error"))

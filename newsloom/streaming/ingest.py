@@ -1,7 +1,8 @@
 """Continuous ingestion from landed payload files, and the stored forms of the two jobs.
 
 A folder ``landing`` holds ``rss/<feed id>[.anything].xml`` and ``gdelt/<anything>.json``, one
-payload per file. Both sources run in one stream, so that each sees what the other stored.
+payload per file, and ``fetches/<anything>.json`` with the outcomes of fetches, one JSON object a line. All run in one
+stream, so that each sees what the others stored.
 """
 
 from __future__ import annotations
@@ -17,14 +18,15 @@ from newsloom.config import Settings
 from newsloom.functions.dates import since, utc_day
 from newsloom.operators.merge import merge_feeds, upsert_clusters
 from newsloom.operators.reads import within
+from newsloom.operators.stored_cells import stored_cells
 from newsloom.operators.retention import audit_stores, live_clusters
 from newsloom.operators.summarize import TextFn
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.plans.jobs import new_stories
 from newsloom.sources.feeds import load_feeds
 from newsloom.sources.gdelt import read_gdelt_articles
-from newsloom.sources.rss import feed_of_file, parse_feed_payloads, resolve_fetches
-from newsloom.tables import BY_DAY, last_version, read_table, read_tables, read_version, write_part, write_version
+from newsloom.sources.rss import feed_of_file, parse_feed_payloads, read_fetches, resolve_fetches, run_errors
+from newsloom.tables import BY_DAY, VersionMoved, last_version, read_table, read_tables, read_version, write_part, write_version
 
 
 def _payloads(spark: SparkSession, folder: str, source: str) -> DataFrame:
@@ -38,8 +40,11 @@ def _payloads(spark: SparkSession, folder: str, source: str) -> DataFrame:
 
 
 def landed_payloads(spark: SparkSession, landing: str, settings: Settings = Settings()) -> DataFrame:
-    """The stream of payloads of all switched-on sources."""
+    """The stream of payloads of all switched-on sources, and of fetch outcomes if their folder is there."""
     rss = _payloads(spark, f"{landing}/rss", "rss")
+    fetches = spark._jvm.org.apache.hadoop.fs.Path(f"{landing}/fetches")
+    if fetches.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fetches):
+        rss = rss.unionByName(_payloads(spark, f"{landing}/fetches", "fetch"))
     if not settings.gdelt_enabled:
         return rss
     return rss.unionByName(_payloads(spark, f"{landing}/gdelt", "gdelt"))
@@ -73,18 +78,24 @@ def process_payloads(
     batch = arrivals(entries, records, tables.feeds, as_of)
     keys = {"ingest_date": utc_day(as_of), "batch": F.lit(batch_id)}
     # the sources that ran, two at most: each gets its row in the log, also without articles or with an error
-    ran = payloads.select("source").distinct().collect()
-    ran = spark.createDataFrame([(r["source"],) for r in ran], "source string")
+    names = {r["source"] for r in payloads.select("source").distinct().collect()}
+    fetches = read_fetches(payloads.where("source = 'fetch'")) if "fetch" in names else None
+    failed_fetches = run_errors(fetches).first()["error"] if fetches is not None else None
+    # a fetch is part of the feeds' run
+    ran = sorted({"rss" if n == "fetch" else n for n in names})
+    ran = spark.createDataFrame([(n, failed_fetches if n == "rss" else None) for n in ran], "source string, of_fetches string")
     try:
-        added = ingest_batch(batch, tables.with_(**others), as_of, models, settings)
+        added = ingest_batch(batch, tables.with_(**others), as_of, models, settings, stored_cells(spark, root))
         write_part(added.entities, root, "entities", **keys)
         write_part(added.vectors, root, "vectors", **keys)
         write_part(_logged(ran.join(added.log, "source", "left"), as_of), root, "ingestion_log", batch=F.lit(batch_id))
         # last, so that a batch cut short leaves no article without its vector
         write_part(added.articles, root, "articles", **keys)
+        if fetches is not None:
+            keep_validators(spark, root, fetches)
     except Exception as error:
         failed = ran.withColumns({c: F.lit(None) for c in ("started_at", "finished_at", "articles_fetched", "articles_stored")})
-        failed = failed.withColumn("error", F.lit(f"{type(error).__name__}: {error}"))
+        failed = failed.withColumns({"error": F.lit(f"{type(error).__name__}: {error}"), "of_fetches": F.lit(None)})
         write_part(_logged(failed, as_of), root, "ingestion_log", batch=F.lit(batch_id))
         raise
 
@@ -97,10 +108,30 @@ def _logged(log: DataFrame, as_of: Column) -> DataFrame:
         F.coalesce("finished_at", as_of).alias("finished_at"),
         F.coalesce("articles_fetched", zero).alias("articles_fetched"),
         F.coalesce("articles_stored", zero).alias("articles_stored"),
-        "error",
+        F.coalesce("error", "of_fetches").alias("error"),
     )
 
 
+#: How often validators are derived anew when another job has written a version of the feed list meanwhile.
+ATTEMPTS = 5
+
+
+def keep_validators(spark: SparkSession, root: str, fetches: DataFrame) -> None:
+    """Bring the stored feed list up to date with fetch outcomes; a repeated batch writes nothing."""
+    columns = ["id", "etag", "last_modified"]
+    for left in reversed(range(ATTEMPTS)):
+        seen = last_version(spark, root, "feeds")
+        feeds = read_table(spark, root, "feeds")
+        resolved = resolve_fetches(fetches, feeds)
+        if resolved.select(columns).exceptAll(feeds.select(columns)).isEmpty():
+            return
+        try:
+            return write_version(resolved, root, "feeds", seen)
+        except VersionMoved:
+            if not left:
+                raise
+
+
 def start_ingest(
     payloads: DataFrame,
     root: str,
@@ -137,7 +168,7 @@ def _epoch(as_of: datetime) -> int:
     return int(as_of.replace(tzinfo=as_of.tzinfo or timezone.utc).timestamp())
 
 
-def _instant(as_of: datetime) -> Column:
+def instant(as_of: datetime) -> Column:
     return F.timestamp_seconds(F.lit(_epoch(as_of)))
 
 
@@ -167,7 +198,7 @@ def cluster_stored(
     replaces those of another, whatever ``as_of`` says.
     """
     seen = last_version(spark, root, "clusters")
-    tables, now = read_tables(spark, root), _instant(as_of)
+    tables, now = read_tables(spark, root), instant(as_of)
     assigned, built = new_stories(tables, now, settings, summarize)
     clusters = upsert_clusters(finished_clusters(spark, root, seen), built, now)
     write_version(clusters, root, "clusters", seen)
@@ -179,7 +210,7 @@ def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Set
     """The retention job on the store: day directories before the cutoff day are removed, then
     clusters left without article. Returns the removed days."""
     tables = read_tables(spark, root)
-    cutoff = utc_day(since(_instant(as_of), settings.retention_days * 24, day_granular=True))
+    cutoff = utc_day(since(instant(as_of), settings.retention_days * 24, day_granular=True))
     # a run that was cut short may have left a day in some of the tables only
     stored = [read_table(spark, root, name).select("ingest_date") for name in BY_DAY]
     before = reduce(DataFrame.unionByName, stored).where(F.col("ingest_date") < cutoff).distinct()
@@ -226,6 +257,4 @@ def sync_feeds_stored(spark: SparkSession, root: str, config: DataFrame) -> None
 
 def save_validators_stored(spark: SparkSession, root: str, fetches: DataFrame) -> None:
     """Keep what the latest fetch of each feed leaves behind, as a new version of the feed list."""
-    seen = last_version(spark, root, "feeds")
-    resolved = resolve_fetches(fetches, read_table(spark, root, "feeds"))
-    write_version(resolved, root, "feeds", seen)
+    keep_validators(spark, root, fetches)

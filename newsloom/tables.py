@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 _TYPES = {
     "string": T.StringType(),
     "bigint": T.LongType(),
+    "int": T.IntegerType(),
+    "double": T.DoubleType(),
     "boolean": T.BooleanType(),
     "timestamp": T.TimestampType(),
     "array<float>": T.ArrayType(T.FloatType()),
@@ -50,6 +52,8 @@ INGESTION_LOG = _struct(
     "articles_fetched bigint, articles_stored bigint, error string"
 )
 
+PIVOTS = _struct("cell int, embedding array<float>, reach double")
+
 SCHEMAS = {
     "feeds": FEEDS,
     "articles": ARTICLES,
@@ -105,13 +109,18 @@ LAYOUT = {
     "clusters": (("version", T.LongType()),),
     "ingestion_log": (("batch", T.LongType()),),
 }
+# vectors of closed days lie in cells besides (``streaming/compact.py``)
+LAYOUT["vectors"] += (("cell", T.IntegerType()),)
+# The batch that holds a closed day as a whole, and the cell of vectors that have none yet.
+WHOLE_DAY, NO_CELL = -1, -1
 
 
 def write_part(df: DataFrame, root: str, name: str, **keys: Column) -> None:
     """Add ``df`` to a stored table, replacing the directories named by its partition keys."""
     layout = [key for key, _ in LAYOUT[name]]
     data = [F.col(f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[name]]
-    extra = [keys.get(key, F.col(key)).cast(kind).alias(key) for key, kind in LAYOUT[name]]
+    keys = {"cell": F.lit(NO_CELL)} | keys
+    extra = [keys[key].cast(kind).alias(key) if key in keys else F.col(key).cast(kind).alias(key) for key, kind in LAYOUT[name]]
     out = df.select(*data, *extra)
     (
         out.write.mode("overwrite")
@@ -141,7 +150,7 @@ class VersionMoved(RuntimeError):
     """Another job wrote a version since this one read the table."""
 
 
-def _move_if_new(spark: SparkSession, source: str, target: str) -> bool:
+def move_if_new(spark: SparkSession, source: str, target: str) -> bool:
     """Rename a folder, unless the target exists: of several jobs that try, one succeeds."""
     fs = spark._jvm.org.apache.hadoop.fs
     source, target = fs.Path(source), fs.Path(target)
@@ -172,7 +181,7 @@ def write_version(df: DataFrame, root: str, name: str, seen: int) -> None:
         raise moved
     aside = f"{root}/{name}/_aside-{uuid.uuid4().hex}"
     conform(df, SCHEMAS[name]).write.parquet(aside)
-    if not _move_if_new(spark, aside, f"{root}/{name}/version={seen + 1}"):
+    if not move_if_new(spark, aside, f"{root}/{name}/version={seen + 1}"):
         raise moved
     for old in versions(spark, root, name)[:-KEPT_VERSIONS]:
         path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/version={old}")
@@ -200,8 +209,18 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     df = spark.read.schema(schema).parquet(f"{root}/{name}")
     if "version" in df.columns:
         return df.where(F.col("version") == last_version(spark, root, name)).drop("version")
+    if name in BY_DAY and (whole := whole_days(spark, root, name)):
+        # what a closed day was made from may still be there, and does not count
+        df = df.where((F.col("batch") == WHOLE_DAY) | ~F.col("ingest_date").isin(whole))
     return df
 
 
+def whole_days(spark: SparkSession, root: str, name: str) -> list[str]:
+    """The days of a table that lie in one piece, from the names of directories alone."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/ingest_date=*/batch={WHOLE_DAY}")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(s.getPath().getParent().getName().removeprefix("ingest_date=") for s in found)
+
+
 def read_tables(spark: SparkSession, root: str) -> NewsTables:
     return NewsTables(**{name: read_table(spark, root, name) for name in SCHEMAS})
