@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
+import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -270,8 +273,74 @@ PAGE = "<html><head><title>t</title><style>p{{}}</style></head><body class='has-
 
 def test_structure():
     page = PAGE.format("<div id='cookie-notice'>C</div><main><p class=lead>One &amp; two<ul><li>a<li>b</ul><div class='comments'><p>bad</div><p>end &lt;b&gt; <b>bo</b>ld<br>x</main>")
-    assert [t for _, t in pages.parse(page)] == ["One & two", "a", "b", "end <b> bold x"]
-    assert [t for _, t in pages.parse("<p>a<p>b<div class=ad>no</div>tail <script>x<y</script> <!-- c --> end<a hr")] == ["a", "b", "tail end"]
+    texts = lambda html: [t for kind, t in pages.parse(html) if kind != pages.FURNITURE]
+    assert texts(page) == ["One & two", "a", "b", "end <b> bold x"]
+    assert [kind for kind, t in pages.parse(page) if t in ("One & two", "a", "C", "bad", "f")] == [pages.FURNITURE, pages.AUTHOR, pages.PLAIN, pages.FURNITURE, pages.FURNITURE]
+    assert texts("<p>a<p>b<div class=ad>no</div>tail <script>x<y</script> <!-- c --> end<a hr") == ["a", "b", "tail end"]
+    assert texts("<main><p>Press <button>this</button> here</p></main>") == ["Press here"]
+
+
+def plain_pages(rows: list) -> dict:
+    """Texts of (page_id, url, html) from the whole table at once: groups, order, nearer neighbour that is no copy, deletion."""
+    found = []
+    for page_id, url, html in rows:
+        host, path = re.match(r"(?:[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*))?([^?#]*)", url or "").groups()
+        lines = pages.parse(html or "")
+        own = [t for kind, t in lines if kind == pages.AUTHOR]
+        found.append(((host or "").lower(), path, page_id, lines, bool(own), tuple(own or [t for kind, t in lines if kind == pages.PLAIN])))
+    heads: dict = {}
+    for row in sorted(found, key=lambda r: r[:3]):
+        heads.setdefault((row[0], row[4], row[5]), row)
+    order, partner = sorted(heads.values(), key=lambda r: r[:3]), {}
+    for n, head in enumerate(order):
+        near = [(-len(os.path.commonprefix([head[1], order[m][1]])), m > n, order[m][3]) for m in (n - 1, n + 1) if 0 <= m < len(order) and order[m][0] == head[0]]
+        kind, most = (pages.AUTHOR, 0.5) if head[4] else (pages.PLAIN, 0.9)
+        for _, _, other in sorted(near, key=lambda x: x[:2]):
+            shared = pages.shared_lines([t for _, t in head[3]], [t for _, t in other])
+            if sum(len(head[3][i][1]) for i in shared if head[3][i][0] == kind) <= most * sum(len(t) for k, t in head[3] if k == kind):
+                partner[head[0], head[4], head[5]] = other
+                break
+    out = {}
+    for host, _, page_id, lines, authored, own in found:
+        other = partner.get((host, authored, own))
+        shared = pages.shared_lines([t for _, t in lines], [t for _, t in other]) if other is not None else set()
+        out[page_id] = "\n\n".join(t for i, (kind, t) in enumerate(lines) if kind == pages.AUTHOR or (kind == pages.PLAIN and i not in shared))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_pages_against_a_plain_version(spark, seed):
+    rng = random.Random(seed)
+    line = lambda i: rng.choice(["<div>Read more</div>", "<li>Share this</li>", "<p>Notice of the house</p>", f"<p>story {i} {rng.randrange(99)}</p>", f"<div>list {rng.randrange(5)}</div>", "<nav>Home</nav>", "<table><tr><td>1<td>2</table>"])
+    rows = []
+    for i in range(120):
+        body = "".join(line(i) for _ in range(rng.randrange(1, 9)))
+        html = rng.choice(["{}", "<main>{}</main>", "<div>{}</div>", "<p>top</p><article>{}</article><div>end</div>"]).format(body)
+        rows.append((i, f"http://h{rng.randrange(3)}/{rng.choice('ab')}/{rng.randrange(30)}", rng.choice(rows)[2] if rows and rng.random() < 0.2 else html))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    assert {r.page_id: r.text for r in pages.main_texts(df).collect()} == plain_pages(rows)
+
+
+def test_pages_of_the_table(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "url", "html").collect()]
+    assert {r.page_id: r.text for r in registered.QUERIES["op5_main_texts"](spark, SF).collect()} == plain_pages(rows)
+    # most of what is not the main text is what neighbours have, too
+    gone = pages.removed_lines(pages.parsed_pages(spark.read.parquet(f"{SF}/pages.parquet"))).agg(F.sum("shared"), F.sum("listed")).first()
+    assert gone[0] > 0
+
+
+def test_odd_pages_take_little_time(spark):
+    began = time.time()
+    same = ["x"] * 20_000
+    assert len(pages.shared_lines(["a", *same, "b"], ["c", *same, "d"])) == 20_000
+    mixed = [str(i % 7) for i in range(5_000)]
+    assert len(pages.shared_lines(mixed, mixed[3:] + ["z"] + mixed[:3])) >= 4_997
+    pages.parse("".join(f"<b{i % 50}><i>x</u></q>" for i in range(40_000)))
+    pages.parse("<p><b>" * 20_000 + "<div>" * 20_000 + "text")
+    assert time.time() - began < 20
+    rows = [(None, "http://h/a", "<p>" + "word " * 200_000), (1, None, "<div>" * 3_000 + "deep"), (None, None, None)]
+    wide = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit(1) for c in ("row", "mark", "marks", "gone", "text", "lines", "plain", "_group")})
+    assert sorted(r.n_chars for r in pages.main_texts(wide).collect()) == [0, 4, 999_999]
 
 
 def test_differences_between_neighbours(spark, none):
