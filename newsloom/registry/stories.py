@@ -14,6 +14,8 @@ from newsloom.operators.forest import components
 from newsloom.operators.summarize import summarize_clusters
 from newsloom.registry import ORACLES, query
 from newsloom.registry.dedup import HASHES, hashed_articles
+from newsloom.registry.density_sql import DENSITY_SQL
+from newsloom.registry.similarity import INCOMING
 from newsloom.registry.sqlparts import WORDS_SQL, counted_sql
 from newsloom.registry.storage import article_clusters
 
@@ -115,8 +117,7 @@ def near_copy_groups_in_rounds(spark, sf):
     return components(pairs.select(F.col("id").alias("a"), F.col("match_id").alias("b")), finish_edges=5)
 
 
-@query("cluster_stories")
-def clustered_stories(spark, sf):
+def stories_of_the_month(spark, sf, **tuning):
     """Stored and new vectors of the whole month, before any clustering."""
     articles = fx.derived(spark, sf, "articles").select("id", "title", "published_at", "ingested_at", "cluster_id")
     stored = fx.derived(spark, sf, "vectors").select("article_id", "embedding")
@@ -125,7 +126,29 @@ def clustered_stories(spark, sf):
     arrived = fresh.select("article_id", origin.alias("id")).join(articles.drop("cluster_id"), "id")
     both = articles.drop("cluster_id").unionByName(arrived.drop("id").withColumnRenamed("article_id", "id"))
     none_yet = article_clusters(articles).limit(0)
-    return cluster_stories(both, stored.unionByName(fresh), none_yet, fx.as_of(), hours=744)
+    return cluster_stories(both, stored.unionByName(fresh), none_yet, fx.as_of(), hours=744, **tuning)
+
+
+STORIES_SQL = (
+    INCOMING.replace("with ", "with recursive ", 1)
+    + """, vecs as (
+        select article_id as id, cast(embedding as double[]) as v from vectors
+        union all select article_id, cast(embedding as double[]) from fresh where substr(article_id, 2) in (select id from articles)),"""
+    + DENSITY_SQL
+    + "select id as article_id, sha256(min(id) over (partition by story)) as cluster_id from stories"
+)
+
+
+@query("cluster_stories", STORIES_SQL)
+def clustered_stories(spark, sf):
+    return stories_of_the_month(spark, sf)
+
+
+@query("cluster_stories_cells", STORIES_SQL)
+def clustered_stories_in_cells(spark, sf):
+    """The same with limits that the small tables pass: the tree in rounds over cells, the hierarchy in slices
+    (tests/test_vectors.py compares both)."""
+    return stories_of_the_month(spark, sf, tree_block_rows=64, slice_edges=150)
 
 
 @query(

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +36,27 @@ def require_checkpoint_dir(spark: SparkSession) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Paths of the tables that the innermost ``passing_tables`` has to remove.
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Removes every table that ``cut_lineage`` writes inside, whether the work succeeds or not.
+
+    For jobs that store their results before they end: nothing made inside may be read afterwards.
+    """
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read back: a lost executor costs no replay of earlier rounds.
 
@@ -41,6 +65,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{require_checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+    if (paths := _written.get()) is not None:
+        paths.append(path)
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.config import Settings
 from newsloom.functions.dates import since, utc_day
 from newsloom.operators.stored_cells import CELL_VECTORS, StoredCells, stored_cells
-from newsloom.session import cut_lineage
+from newsloom.session import cut_lineage, passing_tables
 from newsloom.streaming.ingest import instant
 from newsloom.tables import BY_DAY, PIVOTS, SCHEMAS, WHOLE_DAY, conform, move_if_new, read_table, whole_days
 
@@ -60,7 +60,8 @@ def compact_stored(
                 continue
             if day not in whole:
                 rows = conform(read_table(spark, root, name).where(F.col("ingest_date") == day), SCHEMAS[name])
-                _write_day(spark, root, name, day, rows, cell_vectors)
+                with passing_tables(spark):
+                    _write_day(spark, root, name, day, rows, cell_vectors)
                 done.add(day)
             for run in runs:
                 _remove(spark, run)

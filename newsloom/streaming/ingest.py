@@ -23,6 +23,7 @@ from newsloom.operators.retention import audit_stores, live_clusters
 from newsloom.operators.summarize import TextFn
 from newsloom.plans.ingest import Models, arrivals, ingest_batch
 from newsloom.plans.jobs import new_stories
+from newsloom.session import passing_tables
 from newsloom.sources.feeds import load_feeds
 from newsloom.sources.gdelt import read_gdelt_articles
 from newsloom.sources.rss import feed_of_file, parse_feed_payloads, read_fetches, resolve_fetches, run_errors
@@ -53,16 +54,20 @@ def landed_payloads(spark: SparkSession, landing: str, settings: Settings = Sett
 def process_payloads(
     payloads: DataFrame, batch_id: int, root: str, models: Models = Models(), settings: Settings = Settings()
 ) -> None:
-    """Store one micro-batch.
+    """Store one micro-batch; tables that it writes on the way are removed.
 
     The clock is the landing time of the batch's newest file and ids come from URLs, so
     a repeated batch writes the same rows into the same directories. Rows an earlier attempt
     left there do not count as stored.
     """
+    with passing_tables(payloads.sparkSession):
+        newest = payloads.agg(F.max("landed_at")).first()[0]
+        if newest is not None:
+            _store_batch(payloads, batch_id, root, newest, models, settings)
+
+
+def _store_batch(payloads: DataFrame, batch_id: int, root: str, newest: datetime, models: Models, settings: Settings) -> None:
     spark = payloads.sparkSession
-    newest = payloads.agg(F.max("landed_at")).first()[0]
-    if newest is None:
-        return
     as_of = F.lit(newest).cast("timestamp")
     tables = read_tables(spark, root)
     others = {
@@ -199,11 +204,12 @@ def cluster_stored(
     """
     seen = last_version(spark, root, "clusters")
     tables, now = read_tables(spark, root), instant(as_of)
-    assigned, built = new_stories(tables, now, settings, summarize)
-    clusters = upsert_clusters(finished_clusters(spark, root, seen), built, now)
-    write_version(clusters, root, "clusters", seen)
-    days = within(tables.articles, now, settings.cluster_window_hours).select(F.col("id").alias("article_id"), "ingest_date")
-    write_part(assigned.join(days, "article_id"), root, "article_clusters", batch=F.lit(seen + 1))
+    with passing_tables(spark):
+        assigned, built = new_stories(tables, now, settings, summarize)
+        clusters = upsert_clusters(finished_clusters(spark, root, seen), built, now)
+        write_version(clusters, root, "clusters", seen)
+        days = within(tables.articles, now, settings.cluster_window_hours).select(F.col("id").alias("article_id"), "ingest_date")
+        write_part(assigned.join(days, "article_id"), root, "article_clusters", batch=F.lit(seen + 1))
 
 
 def expire_stored(spark: SparkSession, root: str, as_of: datetime, settings: Settings = Settings()) -> list[str]:

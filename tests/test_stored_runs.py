@@ -16,6 +16,7 @@ from newsloom.plans.briefing import topic_briefing
 from newsloom.plans.headlines import latest_headlines
 from newsloom.plans.search import found_articles, search_news
 from newsloom.plans.trending import trending_topics
+from newsloom.session import cut_lineage, passing_tables, require_checkpoint_dir
 from newsloom.streaming import compact, ingest
 from newsloom.tables import ARTICLES, FEEDS, VECTORS, VersionMoved, init_tables, last_version, read_table, read_tables, write_part, write_version
 
@@ -290,3 +291,23 @@ def test_search_lists_only_the_cells_it_visits(spark, tmp_path):
         probes = spark.createDataFrame([(str(i), [float(x) for x in rng.normal(size=6)]) for i in range(40)], some.schema)
         exact = sorted(r.article_id for r in dedup_vectors(probes, vectors, t).collect())
         assert sorted(r.article_id for r in dedup_vectors(probes, cells.visited(vectors, probes, t), t).collect()) == exact
+
+
+def test_jobs_leave_no_tables_behind(spark, tmp_path):
+    from pathlib import Path
+
+    root, folder = str(tmp_path), Path(require_checkpoint_dir(spark).removeprefix("file:"))
+    store(spark, root)
+    before = set(folder.iterdir())
+    add(spark, root, 0, {"a": (1, 0, 0), "b": (0, 1, 0)}, NOW - timedelta(days=9))
+    ingest.cluster_stored(spark, root, NOW - timedelta(days=9) + timedelta(hours=1), SMALL)
+    assert len(assigned(spark, root)) == 8
+    compact.compact_stored(spark, root, NOW)
+    assert set(folder.iterdir()) == before
+    with pytest.raises(ZeroDivisionError):
+        with passing_tables(spark):
+            cut_lineage(spark.range(3))
+            assert set(folder.iterdir()) != before
+            1 / 0
+    assert set(folder.iterdir()) == before
+    assert cut_lineage(spark.range(3)).count() == 3

@@ -389,3 +389,10 @@ def test_crowded_keys_are_cut(spark, block_rows):
     assert len(exact.keys() & got.keys()) >= 0.95 * len(exact)
     with pytest.raises(ValueError):
         knn(df, asked, 5, min_score=None, lsh=Lsh())
+
+
+def test_stories_are_the_same_in_cells(spark):
+    queries.load_all()
+    sf = "/root/testdata/sf0.001"
+    one, cells = (sorted(map(tuple, queries.QUERIES[q](spark, sf).collect())) for q in ("cluster_stories", "cluster_stories_cells"))
+    assert one and one == cells
