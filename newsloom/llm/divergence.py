@@ -3,9 +3,10 @@
 Terms are runs of letters and non-ASCII characters, A-Z lower-cased; no term reaches over white space, so a document is
 known by how often it has each *chunk* between white space.
 
-1. Chunks are counted per document in the task that reads it, then added up per group (language and source): occurrences and
-   documents, and by row number the documents of a chunk that is in one or two only.
-2. Every globally distinct chunk is taken apart once, its terms are joined back, and counts are added up per group and term.
+1. Chunks are counted per document in the task that reads it, then dealt by chunk and added up per group (language and source):
+   occurrences and documents, and by row number the documents of a chunk that is in one or two of a task's only.
+2. Every globally distinct chunk becomes one row and is taken apart once; its terms are joined back to the counts of its groups
+   that lie in the same row.
 3. A language keeps the terms in at least ``LEAST`` = 3 of its documents: those with a chunk in three, and those whose other chunks name
    three. For these, with the first and the last row named ``a`` and ``b``, the sum of ``(d - a)(d - b)`` over all
    rows ``d`` is 0 if there is no third one and negative if there is. It comes from plain sums of ``1``, ``d`` and ``d²``, so
@@ -23,7 +24,6 @@ an empty one; extra columns are ignored.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,40 +41,64 @@ LEAST, TOP, SCALE = 3, 200, 1_000_000_000
 FEW_GROUPS = 20_000
 
 COUNTED = "chunk string, gid long, n long, docs long, lo long, hi long"
+#: Words, and distinct words, that a task counts before it passes them on.
+WORDS, DISTINCT = 3_000_000, 500_000
+
+
+class Numbers(dict):
+    """Numbers chunks in the order in which they come."""
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = len(self)
+        return n
+
+
+def counted(numbers: Numbers, ids: list[np.ndarray], gids: list[int], rows: list[int]) -> pa.RecordBatch:
+    """``COUNTED`` of some documents: the numbers of their chunks, their groups and their rows."""
+    # documents in the order of group and row, so that sorted pairs of chunk and document are in that order, too
+    order = np.lexsort((rows, gids))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    gid, row = np.array(gids, np.int64)[order], np.array(rows, np.int64)[order]
+    pairs = np.concatenate([np.empty(0, np.int64), *ids]) * len(order) + np.repeat(place, [len(x) for x in ids])
+    pairs.sort()
+    heads = np.flatnonzero(np.diff(pairs, prepend=-1))
+    times = np.diff(heads, append=len(pairs))
+    chunk, doc = np.divmod(pairs[heads], max(1, len(order)))
+    first = np.flatnonzero((np.diff(chunk, prepend=-1) != 0) | (np.diff(gid[doc], prepend=0) != 0))
+    if len(chunk) and not (len(first) and first[0] == 0):
+        first = np.concatenate([[0], first])
+    docs = np.diff(first, append=len(chunk))
+    lo, hi = row[doc[first]], row[doc[first + docs - 1]]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(chunk[first])),
+            pa.array(gid[doc[first]]),
+            pa.array(np.add.reduceat(times, first) if len(first) else times),
+            pa.array(docs),
+            pa.array(lo, mask=docs > 2),
+            pa.array(hi, mask=docs != 2),
+        ],
+        names=["chunk", "gid", "n", "docs", "lo", "hi"],
+    )
 
 
 def count_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of every chunk of each group in a piece of a batch, and the rows of those in one or two documents."""
+    """Counts of every chunk of each group in some documents at a time, and the rows of those in one or two of these."""
+    numbers, ids, gids, rows, size = Numbers(), [], [], [], 0
     for batch in found:
         for piece in pieces(batch):
-            rows = zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), texts(piece))
-            n, docs, lo, hi = (defaultdict(kind) for kind in (Counter, Counter, dict, dict))
-            sets = []
-            for gid, row, text in rows:
-                distinct: set[bytes] = set()
-                for words in word_chunks(text):
-                    n[gid].update(words)
-                    distinct.update(words)
-                docs[gid].update(distinct)
-                hi[gid].update(dict.fromkeys(distinct, row))
-                sets.append((gid, row, distinct))
-            for gid, row, distinct in reversed(sets):
-                lo[gid].update(dict.fromkeys(distinct, row))
-            chunks = [c for of in docs.values() for c in of]
-            every = lambda table: np.fromiter((table[gid][c] for gid, of in docs.items() for c in of), np.int64, len(chunks))
-            in_docs = every(docs)
-            gids = np.repeat(np.fromiter(docs, np.int64, len(docs)), [len(of) for of in docs.values()])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(chunks, pa.binary()).cast(pa.string()),
-                    pa.array(gids),
-                    pa.array(every(n)),
-                    pa.array(in_docs),
-                    pa.array(every(lo), mask=in_docs > 2),
-                    pa.array(every(hi), mask=in_docs != 2),
-                ],
-                names=["chunk", "gid", "n", "docs", "lo", "hi"],
-            )
+            for gid, row, text in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), texts(piece)):
+                parts = [np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)) for words in word_chunks(text)]
+                ids.append(np.concatenate(parts))
+                gids.append(gid)
+                rows.append(row)
+                size += len(ids[-1])
+            if size > WORDS or len(numbers) > DISTINCT:
+                yield counted(numbers, ids, gids, rows)
+                numbers, ids, gids, rows, size = Numbers(), [], [], [], 0
+    if size:
+        yield counted(numbers, ids, gids, rows)
 
 
 def group_ids(docs: DataFrame) -> tuple[DataFrame, int]:
@@ -96,45 +120,52 @@ def gid(seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))).alias("gid")
 
 
-def chunk_counts(docs: DataFrame, seed: int) -> DataFrame:
-    """``COUNTED`` for every group and chunk of the documents; ``lo`` and ``hi`` mean nothing from three documents on."""
+def chunk_counts(docs: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
+    """A row for every distinct chunk that has ``terms``, with its ``langs``: its documents in each language and its counts in the
+    language's groups; ``lo`` and ``hi`` mean nothing from three documents on."""
     rows = docs.select("text", gid(seed), F.monotonically_increasing_id().alias("row"))
-    counted = rows.mapInArrow(count_chunks, COUNTED)
-    return counted.groupBy("chunk", "gid").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi"))
-
-
-def term_counts(chunks: DataFrame) -> DataFrame:
-    """For every group and term its count ``c``, the ``most`` documents that one of its chunks has, and of the chunks in
-    one or two documents the first row ``a``, the last ``b``, and the sums ``s0``, ``s1``, ``s2``."""
-    terms = F.regexp_extract_all(ascii_lower("chunk"), F.lit(TERM), F.lit(0))
-    apart = chunks.select("chunk").distinct().select("chunk", F.explode(terms).alias("term"))
-    rows = chunks.join(apart, "chunk")
+    # all that follows is by chunk and needs no other shuffle
+    dealt = rows.mapInArrow(count_chunks, COUNTED).repartition("chunk")
+    sums = [F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi")]
+    by_group = dealt.groupBy("chunk", "gid").agg(F.sum("n").alias("n"), *sums)
+    by_group = by_group.join(send_if_small(groups.select("gid", "lid"), FEW_GROUPS), "gid")
+    by_lang = by_group.groupBy("chunk", "lid").agg(*sums, F.collect_list(F.struct("gid", "n")).alias("groups"))
+    by_chunk = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lid", "docs", "lo", "hi", "groups")).alias("langs"))
+    terms = F.regexp_extract_all(ascii_lower("chunk"), F.lit(TERM), F.lit(0)).alias("terms")
+    return by_chunk.select(terms, "langs").where(F.size("terms") > 0)
+
+
+def kept_terms(chunks: DataFrame, least: int = LEAST) -> DataFrame:
+    """``lid``, ``term`` of the terms in at least ``least`` documents of the language.
+
+    Of the chunks in one or two documents come the first row ``a``, the last ``b`` and the sums ``s0``, ``s1``, ``s2``.
+    """
+    if least > 3:
+        raise ValueError("of a chunk only two documents are known by name, so least must be 3 at most")
+    rows = chunks.select(F.explode("langs").alias("of"), "terms").select("of.lid", "of.docs", "of.lo", "of.hi", F.explode(F.array_distinct("terms")).alias("term"))
     rare = lambda value: F.when(F.col("docs") < 3, value)
     two = F.col("lo") < F.col("hi")
     lo, hi = F.col("lo").cast("decimal(19,0)"), F.when(two, F.col("hi")).otherwise(0).cast("decimal(19,0)")
-    return rows.groupBy("gid", "term").agg(
-        F.sum("n").alias("c"),
+    summed = rows.groupBy("lid", "term").agg(
         F.max("docs").alias("most"),
-        F.min(rare(F.col("lo"))).alias("a"),
-        F.max(rare(F.col("hi"))).alias("b"),
+        F.min(rare(F.col("lo"))).cast("decimal(19,0)").alias("a"),
+        F.max(rare(F.col("hi"))).cast("decimal(19,0)").alias("b"),
         F.sum(rare(F.when(two, 2).otherwise(1))).alias("s0"),
         F.sum(rare(lo + hi)).alias("s1"),
         F.sum(rare(lo * lo + hi * hi)).alias("s2"),
     )
+    a, b = F.col("a"), F.col("b")
+    third = F.col("s2") - (a + b) * F.col("s1") + a * b * F.col("s0")
+    many = {1: F.lit(True), 2: a < b, 3: third < 0}[least]
+    return summed.where((F.col("most") >= least) | F.coalesce(many, F.lit(False))).select("lid", "term")
 
 
-def kept_counts(terms: DataFrame, groups: DataFrame, least: int = LEAST) -> DataFrame:
-    """``lid``, ``gid``, ``term``, ``c`` and the language's ``lang_c`` of the terms in at least ``least`` of its documents."""
-    if least > 3:
-        raise ValueError("of a chunk only two documents are known by name, so least must be 3 at most")
-    whole = Window.partitionBy("lid", "term")
-    over = lambda of, name: of(name).over(whole)
-    a, b = (over(*x).cast("decimal(19,0)") for x in ((F.min, "a"), (F.max, "b")))
-    third = over(F.sum, "s2") - (a + b) * over(F.sum, "s1") + a * b * over(F.sum, "s0")
-    many = {1: F.lit(True), 2: a < b, 3: third < 0}[least]
-    kept = (over(F.max, "most") >= least) | F.coalesce(many, F.lit(False))
-    rows = terms.join(send_if_small(groups.select("gid", "lid"), FEW_GROUPS), "gid")
-    return rows.select("lid", "gid", "term", "c", over(F.sum, "c").alias("lang_c"), kept.alias("kept")).where("kept").drop("kept")
+def kept_counts(chunks: DataFrame, kept: DataFrame) -> DataFrame:
+    """``lid``, ``gid``, ``term``, ``c`` and the language's ``lang_c`` of the kept terms."""
+    rows = chunks.select(F.explode("langs").alias("of"), "terms").select("of.lid", "of.groups", F.explode("terms").alias("term"))
+    rows = rows.select("lid", "term", F.explode("groups").alias("of")).select("lid", "term", "of.gid", "of.n")
+    counts = rows.groupBy("lid", "gid", "term").agg(F.sum("n").alias("c")).join(kept, ["lid", "term"], "left_semi")
+    return counts.select("lid", "gid", "term", "c", F.sum("c").over(Window.partitionBy("lid", "term")).alias("lang_c"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -150,8 +181,8 @@ def apart(p: Column, q: Column) -> Column:
 def divergences(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     """``lang``, ``source``, ``part`` ('pair' or 'term'), ``item``, ``value`` and ``rank`` of every group."""
     groups, seed = group_ids(docs)
-    chunks = saved(chunk_counts(docs, seed))
-    counts = saved(kept_counts(saved(term_counts(chunks)), groups, least))
+    chunks = saved(chunk_counts(docs, groups, seed))
+    counts = saved(kept_counts(chunks, saved(kept_terms(chunks, least))))
 
     sizes = counts.groupBy("lid", "gid").agg(F.sum("c").alias("n"), F.count("*").alias("own"))
     vocabulary = counts.select("lid", "term").distinct().groupBy("lid").agg(F.count("*").alias("v"))

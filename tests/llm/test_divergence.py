@@ -6,9 +6,11 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from newsloom.llm import divergence
+from newsloom.llm.longtext import word_chunks
 from tests.compare import differences
 from tests.llm.test_operators import none, odd  # noqa: F401
 
@@ -79,10 +81,34 @@ def test_rare_chunks_decide_exactly(spark, least, want):
     rows = [("http://a same:1 same:2 " + many(1), "en", "s"), ("http://b", "en", "s"), ("http://c same:3 " + many(2), "en", "t")]
     df = spark.createDataFrame([(None, *r, "", 0) for r in rows], ROWS).repartition(3)
     groups, seed = divergence.group_ids(df)
-    terms = divergence.term_counts(divergence.chunk_counts(df, seed))
-    assert sorted({r.term for r in divergence.kept_counts(terms, groups, least).collect()}) == want
+    chunks = divergence.chunk_counts(df, groups, seed)
+    assert sorted({r.term for r in divergence.kept_terms(chunks, least).collect()}) == want
     with pytest.raises(ValueError):
-        divergence.kept_counts(terms, groups, 4)
+        divergence.kept_terms(chunks, 4)
+
+
+def test_chunks_are_counted_in_parts(spark, monkeypatch):
+    rows = [*made(5), ("same other thing same more same", "en", "s1")]
+    monkeypatch.setattr(divergence, "pieces", lambda batch: (batch.slice(i, 7) for i in range(0, batch.num_rows, 7)))
+    monkeypatch.setattr(divergence, "WORDS", 20)
+    monkeypatch.setattr(divergence, "word_chunks", lambda text: word_chunks(text, 0, 3))
+    batches = [pa.RecordBatch.from_pydict({"text": [t for t, _, _ in rows], "gid": [len(s or "") for _, _, s in rows], "row": list(range(len(rows)))})]
+    found = Counter()
+    docs = Counter()
+    named = defaultdict(set)
+    for b in divergence.count_chunks(iter(batches)):
+        for r in b.to_pylist():
+            found[r["gid"], r["chunk"]] += r["n"]
+            docs[r["gid"], r["chunk"]] += r["docs"]
+            named[r["gid"], r["chunk"]] |= {x for x in (r["lo"], r["hi"]) if x is not None}
+            assert (r["lo"] is None) == (r["docs"] > 2) and (r["hi"] is None) == (r["docs"] != 2)
+    want, seen = Counter(), defaultdict(set)
+    for row, (t, _, s) in enumerate(rows):
+        for w in re.findall(r"[^\x20\x09-\x0D]+", t or ""):
+            want[len(s or ""), w] += 1
+            seen[len(s or ""), w].add(row)
+    assert found == want and docs == {k: len(v) for k, v in seen.items()}
+    assert all(named[k] == v for k, v in seen.items() if len(v) < 3)
 
 
 def test_divergences_of_odd_rows(spark, odd, none):  # noqa: F811
