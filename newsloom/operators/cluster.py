@@ -18,13 +18,13 @@ from pyspark.sql import functions as F
 
 from newsloom.operators.blocks import matrix, spanning_tree
 from newsloom.operators.forest import spanning_forest
-from newsloom.operators.reachability import CELL_ROWS, LISTED, tree_in_cells
+from newsloom.operators.reachability import BLOCK_ROWS, CELL_ROWS, LISTED, tree_in_cells
 from newsloom.operators.similarity import top_matches, vectors_only
 from newsloom.session import cut_lineage
 
 EDGE_SCHEMA = "a string, b string, w double"
 # Rows whose tree one task makes at once.
-TREE_BLOCK_ROWS = 2048
+TREE_BLOCK_ROWS = 8192
 # Tree edges that one round of the hierarchy covers at most.
 SLICE_EDGES = 500_000
 # Identical vectors have distance 0; their density stays finite.
@@ -75,7 +75,7 @@ def reachability_tree(vectors: DataFrame, k: int, block_rows: int = TREE_BLOCK_R
     core = near.where(F.col("rank") == k).select(F.col("article_id").alias("id"), F.col("distance").alias("core"))
     rows = cut_lineage(vectors_only(vectors, "article_id").join(core, "id"))
     if not alone:
-        return tree_in_cells(rows, near, min(CELL_ROWS, block_rows), block_rows)
+        return tree_in_cells(rows, near, min(CELL_ROWS, block_rows), min(BLOCK_ROWS, block_rows))
 
     def tree(table: pa.Table) -> pa.Table:
         ids = np.array(table.column("id").to_pylist(), dtype=object)
