@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.ml.feature import IDF, CountVectorizerModel, IDFModel, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import IDF, IDFModel, Normalizer
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,16 +18,21 @@ from newsloom.functions.text import WORD, article_text
 EmbedFn = Callable[[pd.Series], pd.Series]
 
 
-def bucket(word: Column, dim: int) -> Column:
+def buckets(words: set[str], dim: int) -> dict[str, int]:
     """A word's dimension: the first 32 bits of its MD5, the same in every engine."""
-    return F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("bigint") % dim
+    return {w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim for w in words}
 
 
 def _counted(df: DataFrame, text: str, dim: int) -> DataFrame:
     words = F.filter(F.split(F.lower(text), f"[^{WORD[1:-1]}]+"), lambda w: w != "")
-    named = df.withColumn("_words", F.transform(words, lambda w: bucket(w, dim).cast("string")))
-    counts = CountVectorizerModel.from_vocabulary([str(i) for i in range(dim)], inputCol="_words", outputCol="_tf")
-    return counts.transform(named)
+
+    def count(texts: pd.Series) -> pd.Series:
+        found = [() if t is None else t for t in texts]
+        # each distinct word of a batch is hashed once
+        of = buckets({w for t in found for w in t}, dim)
+        return pd.Series([np.bincount([of[w] for w in t] if len(t) else np.empty(0, int), minlength=dim).astype(np.float64) for t in found])
+
+    return df.withColumn("_tf", array_to_vector(F.pandas_udf(count, T.ArrayType(T.DoubleType()))(words)))
 
 
 def fit_idf(df: DataFrame, text: str, dim: int = 768) -> IDFModel:

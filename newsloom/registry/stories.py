@@ -25,22 +25,20 @@ from newsloom.registry.storage import article_clusters
     + ", spoken as (select id, title || ' ' || summary as body from articles)"
     + counted_sql("spoken")
     + """, least as (select id, min(c) as least, count(*) as used from counted group by id),
-    listed as (
-        select id, string_agg(bucket || ':' || cast(round(c * 100.0 / least) as bigint), ',' order by bucket) as listed
-        from counted join least using (id) group by id)
-    select id, if(used is null, 0.0, 1.0) as length, coalesce(used, 0) as used, md5(coalesce(listed, '')) as digest
-    from articles left join least using (id) left join listed using (id)""",
+    summed as (
+        select id, sum(cast(floor(c / least + 0.3137) as bigint) * (bucket + 1)) as moment from counted join least using (id) group by id)
+    select id, if(used is null, 0.0, 1.0) as length, coalesce(used, 0) as used, cast(coalesce(moment, 0) as bigint) as moment
+    from articles left join least using (id) left join summed using (id)""",
 )
 def embedded_articles(spark, sf):
-    """Length, number of used dimensions and a digest of each article's default embedding: every used dimension
-    with its weight in hundredths of the least one."""
+    """Length and number of used dimensions of each article's default embedding, and its weights, in whole multiples of the
+    least one, summed over the numbers of their dimensions."""
     embedded = embed_articles(fx.derived(spark, sf, "articles", parallel=True))
     used = F.filter("embedding", lambda x: x != 0)
-    weight = lambda x: F.round(x / F.col("least") * 100).cast("bigint").cast("string")
-    entry = lambda x, i: F.when(x != 0, F.concat_ws(":", i.cast("string"), weight(x)))
-    embedded = embedded.withColumn("least", F.array_min(used))
-    digest = F.md5(F.array_join(F.array_compact(F.transform("embedding", entry)), ","))
-    return embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), F.size(used).alias("used"), digest.alias("digest"))
+    embedded = embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), F.size(used).alias("used"), F.array_min(used).alias("least"), "embedding")
+    # no quotient of two counts lies near the edge between two whole numbers, so single precision is enough
+    weighted = F.transform("embedding", lambda x, i: F.floor(F.coalesce(x / F.col("least"), F.lit(0.0)) + 0.3137) * (i + 1))
+    return embedded.select("id", "length", "used", F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("moment"))
 
 
 @query(
