@@ -18,6 +18,7 @@ from newsloom.registry.density_sql import DENSITY_SQL
 from newsloom.registry.similarity import INCOMING
 from newsloom.registry.sqlparts import WORDS_SQL, counted_sql
 from newsloom.registry.storage import article_clusters
+from newsloom.session import cut_lineage
 
 @query(
     "embed_articles",
@@ -33,12 +34,14 @@ from newsloom.registry.storage import article_clusters
 def embedded_articles(spark, sf):
     """Length and number of used dimensions of each article's default embedding, and its weights, in whole multiples of the
     least one, summed over the numbers of their dimensions."""
-    embedded = embed_articles(fx.derived(spark, sf, "articles", parallel=True))
+    embedded = cut_lineage(embed_articles(fx.derived(spark, sf, "articles", parallel=True)).select("id", "embedding"))
     used = F.filter("embedding", lambda x: x != 0)
-    embedded = embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), F.size(used).alias("used"), F.array_min(used).alias("least"), "embedding")
     # no quotient of two counts lies near the edge between two whole numbers, so single precision is enough
-    weighted = F.transform("embedding", lambda x, i: F.floor(F.coalesce(x / F.col("least"), F.lit(0.0)) + 0.3137) * (i + 1))
-    return embedded.select("id", "length", "used", F.aggregate(weighted, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("moment"))
+    weight = lambda x, least: F.floor(F.coalesce(x / least, F.lit(0.0)) + 0.3137)
+    total = lambda least: F.aggregate(F.transform("embedding", lambda x, i: weight(x, least) * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    # the least weight as the element of an array, so that it is found once a row and not once a dimension
+    moment = F.get(F.transform(F.array(F.array_min(used)), total), 0)
+    return embedded.select("id", F.round(norm(F.col("embedding")), 4).alias("length"), F.size(used).alias("used"), moment.alias("moment"))
 
 
 @query(
