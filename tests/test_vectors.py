@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import vector_search as vs
-from newsloom.operators import cluster, reachability
+from newsloom.operators import cluster, reachability, similarity
 from newsloom import registry as queries
+from newsloom.operators.blocks import TopMatches
 from newsloom.operators.lsh import Lsh, plan
 from newsloom.operators.vector_search import knn
 from newsloom.operators.cluster import cluster_vectors, neighbours, reachability_tree
@@ -366,6 +367,35 @@ def test_lsh_plan():
     assert plan(10**8, 0.95, 0.95)[0] > plan(10**4, 0.95, 0.95)[0]
 
 
+def test_lsh_tables_do_not_grow_with_the_vectors():
+    """Every vector is shuffled once a table."""
+    assert max(plan(10**e, likely, 0.95)[1] for e in range(1, 10) for likely in (0.2, 0.6, 0.95)) <= 32
+
+
+def test_blocks_stay_few(spark):
+    """However small the blocks that are asked for, a query goes to a few of them, and each holds whole cells or one large cell."""
+    rng = np.random.default_rng(5)
+    pivots, counts = unit(rng.normal(size=(500, 8))), rng.integers(0, 40, 500)
+    counts[7] = 5000
+    size = similarity.block_size(int(counts.sum()), 2, 8)
+    block_of = similarity.packed(pivots, counts, size)
+    held = np.bincount(block_of, weights=counts)
+    assert len(held) <= 2 * similarity.MOST_BLOCKS + 2 and [b for b in range(len(held)) if held[b] > size] == [block_of[7]]
+    points = clustered_points(400, 6, 9)
+    rows = similarity.vectors_only(frame(spark, points), "id")
+    cells = np.full(len(pivots), 2.0)
+    routed = similarity.route(rows, pivots[:, :6] / np.linalg.norm(pivots[:, :6], axis=1)[:, None], cells, None, block_of)
+    assert routed.count() == routed.select("id", "block").distinct().count() <= len(points) * len(held)
+
+
+def test_scores_closer_than_single_precision_are_told_apart(spark):
+    angles = np.array([0.6, 0.6 + 2e-8, 0.6 + 4e-8, 0.9])
+    stored = np.stack([np.cos(angles), np.sin(angles)], axis=1)
+    top = TopMatches(np.array([[1.0, 0.0]]), 1, None)
+    top.add(stored, np.array(list("dcba"), object))
+    assert top.table(np.array(["q"], object)).to_pylist() == [{"query_id": "q", "article_id": "d", "score": round(math.cos(0.6), 12)}]
+
+
 @pytest.mark.parametrize("name, exact", [("knn_lsh", "knn_topk"), ("cosine_lsh", "cosine_pairs")])
 def test_approximate_search_finds_true_matches_and_most_of_them(spark, name, exact):
     sf = "/root/testdata/sf0.01"
