@@ -130,3 +130,13 @@ def test_dedup_url(spark):
     old = spark.createDataFrame([("o", 0, "u0")], columns)
     new = spark.createDataFrame([("a", 2, "u1"), ("b", 1, "u1"), ("c", 3, "u0"), ("d", 4, "u2")], columns)
     assert sorted(r["id"] for r in dedup_url(new, old).collect()) == ["b", "d"]
+
+
+def test_near_pairs_are_not_sorted(spark):
+    """The first match is kept in a hash table: pairs of a task are never sorted, however many there are; ties go to the smaller hash."""
+    rows = [("b", 2, 0), ("a", 1, 7), ("a", 1, 3), ("c", 3, 1 << 40), ("d", 4, 0)]
+    df = spark.createDataFrame(rows, "id string, ord long, simhash long")
+    got = simhash_pairs(df)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(match" not in plan and "min(place" in plan
+    assert sorted(map(tuple, got.collect())) == [("b", "a", 2), ("c", "a", 3), ("d", "a", 2)]
