@@ -7,6 +7,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import IDF, IDFModel, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +18,8 @@ from pyspark.sql import types as T
 from newsloom.functions.text import WORD, article_text
 
 EmbedFn = Callable[[pd.Series], pd.Series]
+#: Texts whose words are numbered and counted at once.
+SLICE_TEXTS = 2048
 
 
 def buckets(words: set[str], dim: int) -> dict[str, int]:
@@ -23,16 +27,30 @@ def buckets(words: set[str], dim: int) -> dict[str, int]:
     return {w: int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "big") % dim for w in words}
 
 
+def _counts(texts: pa.Array, dim: int, of: dict[str, int]) -> np.ndarray:
+    """How often the words of each text fall on each dimension, one text after the other; a null text has none.
+    ``of`` remembers the dimensions of words."""
+    lengths = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+    words = pc.list_flatten(texts).dictionary_encode()
+    names = words.dictionary.to_pylist()
+    of |= buckets({w for w in names if w not in of}, dim)
+    place = np.array([of[w] for w in names], np.int64)[words.indices.to_numpy()] if names else np.empty(0, np.int64)
+    place += np.repeat(np.arange(len(texts)) * dim, lengths)
+    return np.bincount(place, minlength=len(texts) * dim).astype(np.float64)
+
+
 def _counted(df: DataFrame, text: str, dim: int) -> DataFrame:
     words = F.filter(F.split(F.lower(text), f"[^{WORD[1:-1]}]+"), lambda w: w != "")
 
-    def count(texts: pd.Series) -> pd.Series:
-        found = [() if t is None else t for t in texts]
+    def count(texts: pa.Array) -> pa.Array:
         # each distinct word of a batch is hashed once
-        of = buckets({w for t in found for w in t}, dim)
-        return pd.Series([np.bincount([of[w] for w in t] if len(t) else np.empty(0, int), minlength=dim).astype(np.float64) for t in found])
+        flat, of = np.empty(len(texts) * dim), {}
+        for i in range(0, len(texts), SLICE_TEXTS):
+            some = texts.slice(i, SLICE_TEXTS)
+            flat[i * dim : (i + len(some)) * dim] = _counts(some, dim, of)
+        return pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, dim, dtype=np.int32), flat)
 
-    return df.withColumn("_tf", array_to_vector(F.pandas_udf(count, T.ArrayType(T.DoubleType()))(words)))
+    return df.withColumn("_tf", array_to_vector(F.arrow_udf(count, T.ArrayType(T.DoubleType()))(words)))
 
 
 def fit_idf(df: DataFrame, text: str, dim: int = 768) -> IDFModel:

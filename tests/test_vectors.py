@@ -6,11 +6,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import vector_search as vs
-from newsloom.operators import cluster, reachability, similarity
+from newsloom.operators import cluster, embed, reachability, similarity
 from newsloom import registry as queries
 from newsloom.operators.blocks import TopMatches
 from newsloom.operators.lsh import Lsh, plan
@@ -396,6 +397,21 @@ def test_scores_closer_than_single_precision_are_told_apart(spark):
     assert top.table(np.array(["q"], object)).to_pylist() == [{"query_id": "q", "article_id": "d", "score": round(math.cos(0.6), 12)}]
 
 
+def test_slices_of_the_hierarchy_stay_few():
+    assert [cluster.slice_count(n, 150) for n in (0, 150, 300, 1200, 10**5, 4 * 10**6)] == [1, 1, 2, 8, 8, 8]
+    assert cluster.slice_count(8 * 10**6, 150) == 16 and cluster.slice_count(8 * 10**6, 10**6) == 8
+
+
+def test_words_are_counted_in_slices():
+    """Counts are made from Arrow arrays a few texts at a time, whatever a batch holds; null and empty texts have none."""
+    texts = pa.array([["a", "b", "a"], None, [], ["c"], ["b", "b"]] * 100)
+    known = {}
+    got = embed._counts(texts.slice(5, 400), 16, known).reshape(400, 16)
+    of = embed.buckets(set("abc"), 16)
+    want = [np.bincount([of[w] for w in t or []], minlength=16) for t in texts.slice(5, 400).to_pylist()]
+    assert (got == np.array(want)).all() and known == of
+
+
 @pytest.mark.parametrize("name, exact", [("knn_lsh", "knn_topk"), ("cosine_lsh", "cosine_pairs")])
 def test_approximate_search_finds_true_matches_and_most_of_them(spark, name, exact):
     sf = "/root/testdata/sf0.01"
