@@ -204,3 +204,13 @@ def test_url_forms(spark):
     assert column(spark, normalize_url, ["http://X.org:80", "https://x.org?q=1", "https://x.org:8443/A", "x.org"]) == [
         "http://x.org/", "https://x.org/?q=1", "https://x.org:8443/A", None,
     ]
+
+
+def test_distinct_entities_sort_apart(spark):
+    """The sort by which the first spelling is found lies behind a shuffle of its own, away from the task that made the rows."""
+    from newsloom.operators.entities import distinct_entities
+
+    raw = spark.createDataFrame([("a", 2, "Rome", "location"), ("a", 1, "ROME", "location"), ("a", 3, "rome", "person")], "article_id string, pos int, text string, label string")
+    got = distinct_entities(raw)
+    assert sorted((r.text, r.pos) for r in got.collect()) == [("ROME", 1), ("rome", 3)]
+    assert "RepartitionByExpression" in got._jdf.queryExecution().optimizedPlan().toString()
