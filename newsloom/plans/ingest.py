@@ -135,10 +135,10 @@ def ingest_batch(
         settings.embed_max_chars,
         models.idf,
     )
-    vectors = embedded.select(F.col("id").alias("article_id"), "embedding", "batch_seq")
+    # read in every round of the comparison
+    vectors = cut_lineage(embedded.select(F.col("id").alias("article_id"), "embedding", "batch_seq"))
     known = tables.vectors
     if cells is not None:
-        vectors = cut_lineage(vectors)
         known = cells.visited(known, vectors, settings.vector_dedup_threshold)
     kept = dedup_vectors_in_order(vectors, known, settings.vector_dedup_threshold)
     kept = kept.select(F.col("article_id").alias("id"), "embedding")

@@ -38,7 +38,7 @@ def page_arrivals(spark, sf):
 @query("ingest_chain")
 def ingest_chain(spark, sf):
     """Both sources into empty tables, then the same run again, which stores nothing."""
-    batch = page_arrivals(spark, sf)
+    batch = cut_lineage(page_arrivals(spark, sf))
     empty = NewsTables.empty(spark).with_(feeds=page_feeds(spark, sf))
     first = ingest_batch(batch, empty, fx.as_of())
     second = ingest_batch(batch, first.added_to(empty), fx.as_of())

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from newsloom.operators import vector_search as vs
 from newsloom.operators import cluster, embed, reachability, similarity
 from newsloom import registry as queries
-from newsloom.operators.blocks import TopMatches
+from newsloom.operators.blocks import Sketch, TopMatches
 from newsloom.operators.lsh import Lsh, plan
 from newsloom.operators.vector_search import knn
 from newsloom.operators.cluster import cluster_vectors, neighbours, reachability_tree
@@ -397,6 +397,45 @@ def test_scores_closer_than_single_precision_are_told_apart(spark):
     assert top.table(np.array(["q"], object)).to_pylist() == [{"query_id": "q", "article_id": "d", "score": round(math.cos(0.6), 12)}]
 
 
+def test_sketches_rule_out_most_pairs_and_no_match():
+    """Long vectors are bounded first: the few pairs left hold all matches, also of zero vectors and of directions outside the sample."""
+    points = clustered_points(600, 300, 11, centres=80, spread=0.25)
+    points[3], points[4, 0] = 0, 50
+    rows = np.nan_to_num(unit(points))
+    sketch = Sketch(Sketch.directions_of(rows[5:60]))
+    (near, far), cos = sketch.of(rows), rows @ rows.T
+    bounds = near.astype(float) @ near.T
+    lower = bounds - np.outer(near[:, -1], near[:, -1]) + far.astype(float) @ far.T
+    assert (cos <= lower + 1e-5).all() and (lower <= bounds + 1e-5).all()
+    ids, some = np.array([f"v{i:04d}" for i in range(600)], object), np.arange(100)
+    plain, short = TopMatches(rows[:100], 3, 0.9), TopMatches(rows[:100], 3, 0.9, sketch)
+    seq = (np.arange(100) % 7, np.arange(600) % 7)
+    barred = (some, some)
+    left = short._bounded(some, sketch.of(rows), seq, barred)
+    assert len(left[0]) < 0.05 * left[2]
+    plain.add(rows, ids, seq, barred)
+    short.add(rows, ids, seq, barred, None, sketch.of(rows))
+    want = plain.table(ids[:100]).sort_by([("query_id", "ascending"), ("article_id", "ascending")]).to_pylist()
+    assert want and short.table(ids[:100]).sort_by([("query_id", "ascending"), ("article_id", "ascending")]).to_pylist() == want
+
+
+@pytest.mark.parametrize("skip_self", [True, False])
+def test_long_vectors_in_blocks(spark, skip_self):
+    """The join in blocks with sketches and in the order of ``seq`` equals brute force."""
+    points = clustered_points(260, 256, 6, centres=60)
+    ids = [f"v{i:04d}" for i in range(260)]
+    seq = [(i * 37) % 19 for i in range(260)]
+    df = frame(spark, points, seq=seq)
+    got = {(r.query_id, r.article_id, r["rank"]) for r in top_matches(df, df, 2, 0.95, skip_self, **BLOCKED).collect()}
+    assert got == brute_top(points, points, ids, ids, 2, 0.95, lambda i, j: seq[j] < seq[i])
+
+
+def test_blocks_of_long_vectors_are_few():
+    """A long vector is copied once for each block, which costs more than the comparison itself."""
+    assert [math.ceil(n / similarity.block_size(n, 4096, 768)) for n in (10**4, 5 * 10**4, 10**5)] == [3, 6, 6]
+    assert similarity.block_size(10**9, 4096, 768) * 768 * 4 <= similarity.BLOCK_BYTES
+
+
 def test_slices_of_the_hierarchy_stay_few():
     assert [cluster.slice_count(n, 150) for n in (0, 150, 300, 1200, 10**5, 4 * 10**6)] == [1, 1, 2, 8, 8, 8]
     assert cluster.slice_count(8 * 10**6, 150) == 16 and cluster.slice_count(8 * 10**6, 10**6) == 8
