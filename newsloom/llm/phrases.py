@@ -7,8 +7,8 @@ words in them, their anchor; a document has about one anchor per five windows. S
 2. The stretches of each document that hang on recurring anchors are cut out with their words and dealt out
    by anchor, so that all occurrences of a window meet in one shard.
 3. In a shard, windows of two or more documents are confirmed with the least ``doc_id`` that has them,
-   compiled into an Aho-Corasick automaton over word numbers, and all stretches stream through it. Each
-   match in a document after the first one marks its words.
+   compiled into an Aho-Corasick automaton over word numbers, and all stretches with a window of that hash in a document
+   after the first one stream through it. Each match in a document after the first one marks its words.
 4. The marked words are cut from the documents.
 
 Exact copies of a text are settled by its 128-bit fingerprint: all words of every copy but the first are
@@ -22,7 +22,8 @@ under ``WINDOW`` words keep everything. An empty table gives an empty one. Extra
 
 from __future__ import annotations
 
-from itertools import chain
+from collections import defaultdict
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from newsloom.llm.columns import batches, saved, texts
-from newsloom.llm.wordhash import hashes, inside, mixed, rolling, sliding_min
+from newsloom.llm.wordhash import byte_hashes, inside, rolling, sliding_min
 
 WINDOW, GRAM = 13, 5
 CROWD = 100_000
@@ -48,9 +49,9 @@ STRETCHES = "gram long, crowded boolean, id_key long, text_key long, place int,
 SPANS = "id_key long, text_key long, place int, length int"
 
 
-def anchor_runs(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchor_runs(docs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with the same anchor: its hash, document, first window in the document, windows."""
-    words, starts = hashes(docs)
+    words, starts = byte_hashes(docs)
     at, doc = inside(starts, WINDOW)
     if not len(at):
         return np.empty(0, np.uint64), doc, at, at
@@ -67,25 +68,28 @@ def keyed_rows(docs: DataFrame) -> DataFrame:
 
 
 def find_anchors(batch: pa.RecordBatch) -> dict:
-    gram, doc, place, windows = anchor_runs([t.split() for t in texts(batch)])
+    gram, doc, place, windows = anchor_runs(batch.column("text"))
     ids, keys = (batch.column(i).to_numpy(zero_copy_only=False)[doc] if len(doc) else [] for i in (1, 2))
     return {"gram": gram.view(np.int64), "id_key": ids, "text_key": keys, "spot": place << 31 | windows << 1}
 
 
 def cut_stretches(batch: pa.RecordBatch) -> dict | None:
     out = {f: [] for f in ("gram", "crowded", "id_key", "text_key", "place", "words")}
-    for text, id_key, text_key, hits, copies in zip(texts(batch), *(batch.column(i).to_pylist() for i in (1, 2, 3, 4))):
-        if not hits or text_key in (copies or ()):
+    hits = batch.column(3)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(hits), 0).to_numpy(zero_copy_only=False)).tolist()
+    grams, spots = (pc.struct_field(hits.flatten(), f).to_numpy(zero_copy_only=False) for f in ("gram", "spot"))
+    firsts, windows, crowds, grams = (v.tolist() for v in (spots >> 31, spots >> 1 & 0x3FFFFFFF, (spots & 1).astype(bool), grams))
+    for text, id_key, text_key, copies, begin, end in zip(texts(batch), *(batch.column(i).to_pylist() for i in (1, 2, 4)), [0, *ends], ends):
+        if begin == end or text_key in (copies or ()):
             continue
         words = text.split()
-        for hit in hits:
-            spot = hit["spot"]
-            place = spot >> 31
-            stretch = words[place : place + (spot >> 1 & 0x3FFFFFFF) + WINDOW - 1]
+        for i in range(begin, end):
+            place = firsts[i]
+            stretch = words[place : place + windows[i] + WINDOW - 1]
             if len(stretch) < WINDOW:  # from another text with this id
                 continue
-            out["gram"].append(hit["gram"])
-            out["crowded"].append(bool(spot & 1))
+            out["gram"].append(grams[i])
+            out["crowded"].append(crowds[i])
             out["id_key"].append(id_key)
             out["text_key"].append(text_key)
             out["place"].append(place)
@@ -93,38 +97,43 @@ def cut_stretches(batch: pa.RecordBatch) -> dict | None:
     return out
 
 
-def recurring_windows(ids: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of every window that several ids have, by hash: one place where it begins, and the least id."""
+def recurring_windows(ids: np.ndarray, words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every window that several ids have, by hash: one place where another than the least has it, and the least id;
+    and all stretches with such a place."""
     at, stretch = inside(starts, WINDOW)
     if not len(at):
-        return at, at
+        return at, at, at
     window, doc = rolling(words, WINDOW)[at], ids[stretch]
     order = np.argsort(window, kind="stable")
     heads = np.flatnonzero(np.concatenate([[True], window[order][1:] != window[order][:-1]]))
-    first, last = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-    return at[order[heads[first < last]]], first[first < last]
+    first = np.minimum.reduceat(doc[order], heads)
+    group = np.repeat(np.arange(len(heads)), np.diff(heads, append=len(order)))
+    later = np.flatnonzero(doc[order] > first[group])
+    one = later[np.diff(group[later], prepend=-1) > 0]
+    return at[order[one]], first[group[one]], np.unique(stretch[order[later]])
 
 
 def match_shard(shard: pa.Table) -> pa.Table:
-    """Confirm the shard's windows, compile them, and stream its stretches through the automaton.
+    """Confirm the shard's windows, compile them, and stream the stretches that may hold a later one through the automaton.
 
-    Hashes only choose what is compiled; the automaton compares the words themselves.
+    Hashes only choose what is compiled, and leave out stretches without a window that recurs; the automaton compares the words themselves.
     """
-    ids = shard.column("id_key").to_numpy()
-    numbers: dict[bytes, int] = {}
-    streams = [tuple([numbers.setdefault(w, len(numbers)) for w in x.split(b" ")]) for x in shard.column("words").to_pylist()]
-    starts = np.cumsum([0] + [len(s) for s in streams])
-    words = np.fromiter(chain.from_iterable(streams), np.uint64, starts[-1])
-    places, first = recurring_windows(ids, mixed(words + np.uint64(1)), starts)
+    ids, column = shard.column("id_key").to_numpy(), pa.concat_arrays(shard.column("words").chunks)
+    words, starts = byte_hashes(column)
+    places, first, later = recurring_windows(ids, words, starts)
     found = {f: [] for f in ("id_key", "text_key", "place", "length")}
     if len(places):
+        numbers: dict[bytes, int] = defaultdict(count().__next__)
+        streams = {n: tuple(map(numbers.__getitem__, x.split())) for n, x in zip(later.tolist(), column.take(pa.array(later)).to_pylist())}
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         owners, owner = np.unique(first, return_inverse=True)
-        for window, n in zip(words[places[:, None] + np.arange(WINDOW)].tolist(), owner.tolist()):
-            automaton.add_word(tuple(window), n)
+        holder = np.searchsorted(starts, places, "right") - 1
+        for stretch, place, n in zip(holder.tolist(), (places - starts[holder]).tolist(), owner.tolist()):
+            automaton.add_word(streams[stretch][place : place + WINDOW], n)
         automaton.make_automaton()
         owners = owners.tolist()
-        for doc, key, place, stream in zip(ids.tolist(), shard.column("text_key").to_pylist(), shard.column("place").to_pylist(), streams):
+        facts = (v[later].tolist() for v in (ids, shard.column("text_key").to_numpy(), shard.column("place").to_numpy()))
+        for doc, key, place, stream in zip(*facts, streams.values()):
             begin = end = -1
             for last, n in automaton.iter(stream):
                 if owners[n] >= doc:

@@ -5,11 +5,17 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Distinct words that a worker remembers before it starts anew.
 REMEMBERED = 300_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Which bytes ``bytes.split()`` splits at.
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
+#: Bytes of a word that are hashed eight at a time; longer words are hashed one by one.
+SHORT = 256
 
 
 class WordHashes(dict):
@@ -30,6 +36,40 @@ def hashes(docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(WORDS.__getitem__, chain.from_iterable(docs)), np.uint64, starts[-1]), starts
 
 
+def byte_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like ``hashes`` (with other hashes), from an array of strings or bytes, null as empty, without an object for each word."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if not len(texts):
+        return np.empty(0, np.uint64), np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    size, offsets = int(offsets[-1] - offsets[0]), offsets - offsets[0]
+    # eight more, so that every byte begins a number of eight bytes
+    raw = np.zeros(size + 8, np.uint8)
+    if size:
+        begin = int(np.frombuffer(texts.buffers()[1], np.int64)[texts.offset])
+        raw[:size] = np.frombuffer(texts.buffers()[2], np.uint8)[begin : begin + size]
+    # 1 in words; a word ends at white space and with its text
+    within = ~SPACE[raw[:size]]
+    cut = np.zeros(size + 1, bool)
+    cut[offsets] = True
+    cut[1:-1] |= ~within[:-1] | ~within[1:]
+    begins = np.flatnonzero(within & cut[:-1])
+    lengths = np.flatnonzero(within & cut[1:]) + 1 - begins
+    eights = np.ndarray(size + 1, "<u8", raw.data, strides=(1,))
+    out = lengths.astype(np.uint64) * MIX
+    live = np.flatnonzero(lengths <= SHORT)
+    for done in range(0, SHORT, 8):
+        live = live[lengths[live] > done]
+        if not len(live):
+            break
+        left = np.minimum(lengths[live] - done, 8).astype(np.uint64)
+        x = (out[live] ^ (eights[begins[live] + done] << (np.uint64(64) - left * np.uint64(8)))) * np.uint64(0xD6E8FEB86659FD93)
+        out[live] = x ^ (x >> np.uint64(32))
+    for i in np.flatnonzero(lengths > SHORT):
+        out[i] = xxhash.xxh3_64_intdigest(raw[begins[i] : begins[i] + lengths[i]].tobytes())
+    return out, np.searchsorted(begins, offsets)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)

@@ -12,11 +12,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from newsloom.llm import columns, decontaminate, fingerprint, gru, labelled, lm, mixing, near_copies, pages, phrases, quality, registered, tokens, toxicity
+from newsloom.llm import columns, decontaminate, fingerprint, gru, labelled, lm, mixing, near_copies, pages, phrases, quality, registered, tokens, toxicity, wordhash
 from tests.compare import connect, differences
 
 SF = "/root/testdata/sf0.001"
@@ -647,6 +648,28 @@ def test_repeated_phrases_of_odd_rows(odd, none):
     assert phrases.repeat_digest(none).count() == 0
 
 
+def test_words_are_hashed_like_split():
+    texts = ["a b", None, "", " a\tb\x0b\x0c", "é\x1c漢\x85字 é", "long" * 100, "x" * 8, "x" * 9 + "\n" + "x" * 8]
+    column = pa.array(["skipped", *texts]).slice(1)
+    found, starts = wordhash.byte_hashes(column)
+    words = [(t or "").encode().split() for t in texts]
+    assert np.diff(starts).tolist() == [len(w) for w in words]
+    flat = [w for part in words for w in part]
+    assert len(set(zip(flat, found.tolist()))) == len(set(flat)) == len(set(found.tolist()))
+    assert [len(x) for x in wordhash.byte_hashes(column[:0])] == [0, 1]
+
+
+def test_only_stretches_with_later_windows_are_compiled():
+    passage, other = (" ".join(f"{c}{i}" for i in range(15)) for c in "pq")
+    shard = {"id_key": [3, 1, 2, 3], "text_key": [30, 10, 20, 30], "place": [7, 0, 4, 90], "words": [passage.encode(), passage.encode(), other.encode(), other.encode() + b" z"]}
+    ids = np.array(shard["id_key"])
+    words, starts = wordhash.byte_hashes(pa.array(shard["words"]))
+    places, first, later = phrases.recurring_windows(ids, words, starts)
+    assert later.tolist() == [0, 3] and sorted(first.tolist()) == [1, 1, 1, 2, 2, 2]
+    found = phrases.match_shard(pa.table(shard)).to_pylist()
+    assert sorted((r["id_key"], r["text_key"], r["place"], r["length"]) for r in found) == [(3, 30, 7, 15), (3, 30, 90, 15)]
+
+
 # benchmark
 
 
