@@ -1,7 +1,8 @@
 """How far the sources of a language lie apart in their words: an audit by chunk factorization.
 
 Terms are runs of letters and non-ASCII characters, A-Z lower-cased; no term reaches over white space, so a document is
-known by how often it has each *chunk* between white space.
+known by how often it has each *chunk* between white space. Only the terms of a chunk matter: chunks with equal terms in equal
+order (``Word,`` and ``word``) are one chunk, written as its terms with spaces between, and those without terms are left out.
 
 1. Chunks are counted per document in the task that reads it, then dealt by chunk and added up per group (language and source):
    occurrences and documents, and by row number the documents of a chunk that is in one or two of a task's only.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.llm.columns import ascii_lower, pieces, saved, texts
+from newsloom.llm.columns import pieces, saved, texts
 from newsloom.llm.longtext import word_chunks
 from newsloom.session import send_if_small
 
@@ -52,6 +53,28 @@ class Numbers(dict):
         n = self[chunk] = len(self)
         return n
 
+    def names(self) -> list[bytes]:
+        return list(self)
+
+
+#: What a byte is in a term, and a space elsewhere. Bytes beyond ASCII belong to characters beyond ASCII.
+IN_TERMS = bytes(b if b > 0x7F else b | 0x20 if chr(b).isalpha() else 0x20 for b in range(256))
+
+
+class TermNumbers(Numbers):
+    """Numbers chunks by their terms in order, with one space between."""
+
+    def __init__(self):
+        super().__init__()
+        self.runs: dict[bytes, int] = {}
+
+    def __missing__(self, chunk: bytes) -> int:
+        n = self[chunk] = self.runs.setdefault(b" ".join(chunk.translate(IN_TERMS).split()), len(self.runs))
+        return n
+
+    def names(self) -> list[bytes]:
+        return list(self.runs)
+
 
 def counted(numbers: Numbers, ids: list[np.ndarray], gids: list[int], rows: list[int]) -> pa.RecordBatch:
     """``COUNTED`` of some documents: the numbers of their chunks, their groups and their rows."""
@@ -72,7 +95,7 @@ def counted(numbers: Numbers, ids: list[np.ndarray], gids: list[int], rows: list
     lo, hi = row[doc[first]], row[doc[first + docs - 1]]
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(list(numbers), pa.binary()).cast(pa.string()).take(pa.array(chunk[first])),
+            pa.array(numbers.names(), pa.binary()).cast(pa.string()).take(pa.array(chunk[first])),
             pa.array(gid[doc[first]]),
             pa.array(np.add.reduceat(times, first) if len(first) else times),
             pa.array(docs),
@@ -83,9 +106,10 @@ def counted(numbers: Numbers, ids: list[np.ndarray], gids: list[int], rows: list
     )
 
 
-def count_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of every chunk of each group in some documents at a time, and the rows of those in one or two of these."""
-    numbers, ids, gids, rows, size = Numbers(), [], [], [], 0
+def count_chunks(found: Iterator[pa.RecordBatch], kind: type[Numbers] = Numbers) -> Iterator[pa.RecordBatch]:
+    """Counts of every chunk of each group in some documents at a time, and the rows of those in one or two of these. ``kind``
+    decides which chunks are one."""
+    numbers, ids, gids, rows, size = kind(), [], [], [], 0
     for batch in found:
         for piece in pieces(batch):
             for gid, row, text in zip(piece.column(1).to_pylist(), piece.column(2).to_pylist(), texts(piece)):
@@ -96,7 +120,7 @@ def count_chunks(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 size += len(ids[-1])
             if size > WORDS or len(numbers) > DISTINCT:
                 yield counted(numbers, ids, gids, rows)
-                numbers, ids, gids, rows, size = Numbers(), [], [], [], 0
+                numbers, ids, gids, rows, size = kind(), [], [], [], 0
     if size:
         yield counted(numbers, ids, gids, rows)
 
@@ -125,14 +149,13 @@ def chunk_counts(docs: DataFrame, groups: DataFrame, seed: int) -> DataFrame:
     language's groups; ``lo`` and ``hi`` mean nothing from three documents on."""
     rows = docs.select("text", gid(seed), F.monotonically_increasing_id().alias("row"))
     # all that follows is by chunk and needs no other shuffle
-    dealt = rows.mapInArrow(count_chunks, COUNTED).repartition("chunk")
+    dealt = rows.mapInArrow(lambda found: count_chunks(found, TermNumbers), COUNTED).where("chunk <> ''").repartition("chunk")
     sums = [F.sum("docs").alias("docs"), F.min("lo").alias("lo"), F.max(F.coalesce("hi", "lo")).alias("hi")]
     by_group = dealt.groupBy("chunk", "gid").agg(F.sum("n").alias("n"), *sums)
     by_group = by_group.join(send_if_small(groups.select("gid", "lid"), FEW_GROUPS), "gid")
     by_lang = by_group.groupBy("chunk", "lid").agg(*sums, F.collect_list(F.struct("gid", "n")).alias("groups"))
     by_chunk = by_lang.groupBy("chunk").agg(F.collect_list(F.struct("lid", "docs", "lo", "hi", "groups")).alias("langs"))
-    terms = F.regexp_extract_all(ascii_lower("chunk"), F.lit(TERM), F.lit(0)).alias("terms")
-    return by_chunk.select(terms, "langs").where(F.size("terms") > 0)
+    return by_chunk.select(F.split("chunk", " ").alias("terms"), "langs")
 
 
 def kept_terms(chunks: DataFrame, least: int = LEAST) -> DataFrame:

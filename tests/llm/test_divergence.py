@@ -111,6 +111,16 @@ def test_chunks_are_counted_in_parts(spark, monkeypatch):
     assert all(named[k] == v for k, v in seen.items() if len(v) < 3)
 
 
+def test_chunks_with_equal_terms_are_one_row(spark):
+    rows = [("Word, word. (WORD) É-é 99 -- \x1f a.b'a", "en", "s"), ("word! a:B:a", "en", "t"), ("...", "en", "s")]
+    df = spark.createDataFrame([(None, *r, "", 0) for r in rows], ROWS).repartition(3)
+    groups, seed = divergence.group_ids(df)
+    found = {tuple(r.terms): r.langs for r in divergence.chunk_counts(df, groups, seed).collect()}
+    assert sorted(found) == [("a", "b", "a"), ("word",), ("É", "é")]
+    (lang,) = found["word",]
+    assert lang.docs == 2 and lang.lo != lang.hi and sorted(g.n for g in lang.groups) == [1, 3]
+
+
 def test_divergences_of_odd_rows(spark, odd, none):  # noqa: F811
     rows = [(r.text, r.lang, r.source) for r in odd.collect()]
     assert got(odd) == plain(rows)
