@@ -21,6 +21,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 from math import ceil, sqrt
 
 import numpy as np
@@ -117,7 +118,7 @@ class Lexicon:
 
 def numbered(lexicon: Lexicon, words: list[bytes]) -> tuple:
     """Input ids, classes, head words; sums of log10(c + 1) and of what the classes leave open; unknown words."""
-    known = np.fromiter((lexicon.entries.get(w, -1) for w in words), np.int64, len(words))
+    known = np.fromiter(map(lexicon.entries.get, words, repeat(-1)), np.int64, len(words))
     if len(lexicon.input):
         x, c, w, logs, rest = (v[known] for v in (lexicon.input, lexicon.cls, lexicon.word, lexicon.log_count, lexicon.rest))
     else:

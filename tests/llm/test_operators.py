@@ -522,6 +522,21 @@ def plain_log_prob(model, h, c, w):
     return out
 
 
+@pytest.mark.parametrize("weight, bounded", [(0.1, True), (300, False)])
+def test_scores_of_any_size(weight, bounded):
+    model = gru.Gru([0, 2, 5], 4)
+    model.begin(np.ones(4), np.ones(5))
+    model.p["c"][1], model.p["w"][3] = weight, -weight
+    assert model.bounded() == bounded
+    rng = np.random.default_rng(2)
+    states, c = rng.uniform(-1, 1, (50, gru.HIDDEN)).astype(np.float32), rng.integers(0, 4, 50)
+    w = np.where(c < 2, model.bounds[np.minimum(c, 1)], -1)
+    found = model.log_probs(states, c, w)
+    assert found == pytest.approx([plain_log_prob(model, *row) for row in zip(states, c, w)], rel=1e-3, abs=1e-5)
+    gradient, h = model.window(c[:48].reshape(16, 3), c[:48].reshape(16, 3), w[:48].reshape(16, 3), np.zeros((16, 3), bool), states[:3])
+    assert np.isfinite(gradient).all() and np.isfinite(h).all()
+
+
 def test_state_is_carried_over_windows():
     model = gru.Gru([0, 2, 5], 4)
     model.begin(np.ones(4), np.ones(5))
