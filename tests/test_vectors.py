@@ -481,3 +481,59 @@ def test_stories_are_the_same_in_cells(spark):
     sf = "/root/testdata/sf0.001"
     one, cells = (sorted(map(tuple, queries.QUERIES[q](spark, sf).collect())) for q in ("cluster_stories", "cluster_stories_cells"))
     assert one and one == cells
+
+
+def test_few_pairs_are_scored_in_double_precision(monkeypatch):
+    """With a bound on the distance of the k-th match, and without one after the first rows, few pairs are looked at closely; matches are the same."""
+    rng = np.random.default_rng(4)
+    rows = unit(rng.normal(size=(5003, 24)))
+    rows[40] = rows[7]
+    ids, k = np.array([f"v{i:05d}" for i in range(len(rows))], object), 5
+    queries, own = rows[:50], (np.arange(50), np.arange(50))
+    cos = np.round(queries @ rows.T, 12)
+    cos[own] = -np.inf
+    want = {(ids[i], ids[j], cos[i, j]) for i in range(50) for j in sorted(range(len(rows)), key=lambda j: (-cos[i, j], ids[j]))[:k]}
+    radius = np.sqrt(2 - 2 * np.sort(queries @ rows[50:1050].T, axis=1)[:, -k])
+    radius[3] = 2.0
+    scored, exact = [], TopMatches._exact
+    monkeypatch.setattr(TopMatches, "_exact", lambda self, at, q, *x: (scored.append(len(q)), exact(self, at, q, *x))[1])
+    for given in (radius, np.where(radius < 2, radius, 1.99), None):
+        scored.clear()
+        top = TopMatches(queries, k, None, None, given)
+        for at in range(0, len(rows), 1500):
+            some = own if at == 0 else (np.empty(0, int), np.empty(0, int))
+            top.add(rows[at : at + 1500], ids[at : at + 1500], None, some)
+        assert {(r["query_id"], r["article_id"], r["score"]) for r in top.table(ids[:50]).to_pylist()} == want
+        assert sum(scored) < 0.01 * cos.size
+
+
+@pytest.mark.parametrize("crowd", [0, 900])
+def test_nearest_outside_in_single_precision_first(crowd):
+    """The best edge of each row to another component, also where so many rows are near that all are looked at."""
+    rng = np.random.default_rng(crowd)
+    rows = unit(np.vstack([rng.normal(size=(2500, 16)), 5 + 0.001 * rng.normal(size=(crowd, 16))]))
+    n, core = len(rows), rng.uniform(0, 0.6, len(rows))
+    comp, bound, at = rng.integers(0, 6, n), rng.uniform(0.3, 1.2, n), np.arange(0, n, 9)
+    far = np.maximum(np.maximum(np.sqrt(np.maximum(2 - 2 * np.round(rows[at] @ rows.T, 12), 0)), core), core[at][:, None])
+    far[comp[at][:, None] == comp] = np.inf
+    want = np.where(far.min(axis=1) < bound[at], far.min(axis=1), bound[at])
+    nearest = reachability._Nearest(rows[at], core[at], comp[at], bound[at])
+    for low in range(0, n, 1100):
+        nearest.add(np.arange(len(at)), rows[low : low + 1100], core[low : low + 1100], comp[low : low + 1100], low)
+    assert np.allclose(nearest.w, want, rtol=0, atol=1e-12)
+    hit = nearest.found >= 0
+    assert (hit == (want < bound[at])).all() and hit.any()
+    assert np.allclose(far[np.flatnonzero(hit), nearest.found[hit]], want[hit], rtol=0, atol=1e-12)
+
+
+def test_searching_row_goes_once_to_a_block(spark):
+    """What a search of the tree shuffles does not grow with the number of cells."""
+    points = np.random.default_rng(8).normal(size=(400, 8)).astype(np.float32)
+    rows = frame(spark, points, "id").select("id", "embedding", F.lit(0.1).alias("core"))
+    cells = reachability.Cells(rows, 400, 4)
+    dealt = cells.dealt(rows)
+    cells.pack(10)
+    assert len(cells.ids) == 100 and cells.block_of.max() < 2 * similarity.STORED_BLOCKS + 2
+    looking = dealt.drop("cell").select("*", F.col("id").alias("comp"), F.lit(2.0).alias("bound"))
+    routed = reachability._route(looking, cells)
+    assert routed.count() == routed.select("id", "block").distinct().count() == 400 * len(set(cells.block_of.tolist()))
