@@ -38,13 +38,14 @@ class Models:
 
 @dataclass(frozen=True)
 class Ingested:
-    """What a run adds to the tables, and how many rows each stage left per source."""
+    """What a run adds to the tables, how many rows each stage left per source, and how many entities were found in these."""
 
     articles: DataFrame
     vectors: DataFrame
     entities: DataFrame
     log: DataFrame
     stage_counts: DataFrame
+    entity_counts: DataFrame
 
     def added_to(self, tables: NewsTables) -> NewsTables:
         return tables.with_(
@@ -107,6 +108,15 @@ def _observed(df: DataFrame, stage: str) -> tuple[DataFrame, list[tuple[str, str
     return out, [(name, stage, rows) for name, rows in seen.get.items() if rows]
 
 
+def _counted_entities(entities: DataFrame, stored: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    """``entities`` written once, and how many of them the articles of each source have."""
+    written = cut_lineage(entities.select("id", "article_id", "text", "label"))
+    source = stored.groupBy(F.col("id").alias("article_id")).agg(F.min("source_seq").alias("source_seq"))
+    per_article = written.groupBy("article_id").agg(F.count("*").alias("rows"))
+    found = per_article.join(source, "article_id").groupBy("source_seq").agg(F.sum("rows").alias("rows")).collect()
+    return written, [(SOURCE_NAMES[r["source_seq"]], "entities", r["rows"]) for r in found]
+
+
 def ingest_batch(
     batch: DataFrame,
     tables: NewsTables,
@@ -119,7 +129,8 @@ def ingest_batch(
     stored vectors are read that can hold a match.
 
     Later feeds see what earlier ones stored. SimHash compares with the stored hashes of the
-    last 48 hours and within the run; vectors with all stored ones and with earlier feeds.
+    last 48 hours and within the run; vectors with all stored ones and with earlier feeds. Entities are taken
+    from what is left, written and counted in the run itself, like the other stages.
     """
     batch, fetched = _observed(_batch_numbers(batch), "fetched")
     placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "payload", "item_seq"))
@@ -143,9 +154,12 @@ def ingest_batch(
     kept = dedup_vectors_in_order(vectors, known, settings.vector_dedup_threshold)
     kept = kept.select(F.col("article_id").alias("id"), "embedding")
     stored, added = _observed(unlike.join(kept, "id"), "stored")
-    entities = extract_entities(stored, models.entities, models.gazetteer, settings.ner_max_chars)
+    entities, named = _counted_entities(extract_entities(stored, models.entities, models.gazetteer, settings.ner_max_chars), stored)
     # two sources and four stages at most
-    counts = stored.sparkSession.createDataFrame([*fetched, *new_urls, *new_hashes, *added], "source string, stage string, rows bigint")
+    counts, entity_counts = (
+        stored.sparkSession.createDataFrame(rows, "source string, stage string, rows bigint")
+        for rows in ([*fetched, *new_urls, *new_hashes, *added], named)
+    )
     log = counts.groupBy("source").agg(
         as_of.alias("started_at"),
         as_of.alias("finished_at"),
@@ -158,7 +172,8 @@ def ingest_batch(
         vectors=stored.select(
             F.col("id").alias("article_id"), "embedding", "source_feed", "region", "published_at"
         ),
-        entities=entities.select("id", "article_id", "text", "label"),
+        entities=entities,
         log=log,
         stage_counts=counts,
+        entity_counts=entity_counts,
     )

@@ -157,6 +157,30 @@ def test_chain_removes_duplicates_in_three_layers(spark):
     assert again.articles.count() == 0 and again.vectors.count() == 0
 
 
+def test_entities_are_found_in_the_run(spark):
+    tables = NewsTables.empty(spark).with_(feeds=feeds(spark))
+    rows = [
+        ("f1", 0, "u1", "budget", "Anna Maria Lopez met John Smith in Paris; later John Smith left."),
+        ("f2", 0, "u2", "harbour", "old ships lie there, said Peter Brown about them."),
+        ("f2", 1, "u1", "known address", "Mary Jones is not asked."),
+    ]
+    lists = [("https://l/1", "a story of Jane Miller", None, None, None, None, "p", 0)]
+    records = spark.createDataFrame(lists, "url string, title string, seendate string, sourcecountry string, language string, domain string, payload_id string, item_seq long")
+    batch, small = arrivals(entries(spark, rows), records, tables.feeds, as_of()), Settings(embedding_dim=32)
+    run = ingest_batch(batch, tables, as_of(), settings=small)
+    assert {r["source"]: (r["stage"], r["rows"]) for r in run.entity_counts.collect()} == {"rss": ("entities", 3), "gdelt": ("entities", 1)}
+    assert sorted(r["text"] for r in run.entities.collect()) == ["Anna Maria Lopez", "Jane Miller", "John Smith", "Peter Brown"]
+    read = spark.sparkContext.accumulator(0)
+
+    def names(texts: pd.Series) -> pd.Series:
+        read.add(len(texts))
+        return texts.map(lambda t: [{"text": n, "label": "person", "score": 0.9} for n in ("John Smith", "Peter Brown", "Jane Miller") if n in t])
+
+    # whoever asks for counts alone has had all that is stored read for names
+    counts = ingest_batch(batch, tables, as_of(), Models(entities=names), small).entity_counts
+    assert {r["source"]: r["rows"] for r in counts.collect()} == {"rss": 2, "gdelt": 1} and read.value == 3
+
+
 def test_result_does_not_depend_on_partitions(spark):
     tables = NewsTables.empty(spark).with_(feeds=feeds(spark))
     rows = [("f1" if i % 2 else "f2", i, f"u{i % 17}", f"Story {i % 5}", f"{LONG} number {i % 7} " * 2) for i in range(40)]
