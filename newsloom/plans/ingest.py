@@ -18,7 +18,7 @@ from newsloom.operators.normalize import ARTICLE_COLUMNS, normalize_gdelt, norma
 from newsloom.operators.reads import recent_simhashes
 from newsloom.operators.stored_cells import StoredCells
 from newsloom.operators.vector_search import dedup_vectors_in_order
-from newsloom.session import cut_lineage, send_if_small
+from newsloom.session import cut_lineage, passing_tables, send_if_small
 from newsloom.tables import ARTICLES, ENTITIES, INGESTION_LOG, VECTORS, NewsTables, conform
 
 RSS, GDELT = 0, 1
@@ -101,13 +101,59 @@ def _batch_numbers(batch: DataFrame) -> DataFrame:
     return batch.join(send_if_small(cut_lineage(ranked), MAX_SENT_FEEDS), ["source_seq", "feed_id"])
 
 
-def _observed(df: DataFrame, stage: str) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+def _observed(df: DataFrame, stage: str, outlasting: bool = False) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """``df`` written once, and its rows per source, counted while they are written."""
     seen = Observation()
-    out = cut_lineage(df.observe(seen, *[F.count_if(F.col("source_seq") == n).alias(name) for n, name in SOURCE_NAMES.items()]))
+    counted = df.observe(seen, *[F.count_if(F.col("source_seq") == n).alias(name) for n, name in SOURCE_NAMES.items()])
+    out = cut_lineage(counted, outlasting)
     return out, [(name, stage, rows) for name, rows in seen.get.items() if rows]
 
 
+# Each stage removes the tables of the one before as soon as its own is written, so that the texts lie on disk twice at most.
+
+
+def _new_by_url(batch: DataFrame, tables: NewsTables) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    with passing_tables(batch.sparkSession):
+        batch, fetched = _observed(_batch_numbers(batch), "fetched")
+        placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "payload", "item_seq"))
+        fresh, new = _observed(dedup_url(placed, tables.articles), "new_url", outlasting=True)
+    return fresh, [*fetched, *new]
+
+
+def _new_by_simhash(batch: DataFrame, tables: NewsTables, as_of: Column, settings: Settings) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    with passing_tables(batch.sparkSession):
+        fresh, before = _new_by_url(batch, tables)
+        hashes = fresh.select("id", "ord", simhash(article_text(fresh)).alias("simhash"))
+        recent = recent_simhashes(tables.articles, as_of, settings.simhash_window_hours)
+        unlike = dedup_simhash(hashes, recent, settings.simhash_threshold).select("id", "simhash")
+        unlike, new = _observed(fresh.join(unlike, "id"), "new_simhash", outlasting=True)
+    return unlike, [*before, *new]
+
+
+def _new_by_vector(
+    batch: DataFrame, tables: NewsTables, as_of: Column, models: Models, settings: Settings, cells: StoredCells | None
+) -> tuple[DataFrame, list[tuple[str, str, int]]]:
+    with passing_tables(batch.sparkSession):
+        unlike, before = _new_by_simhash(batch, tables, as_of, settings)
+        with passing_tables(batch.sparkSession):
+            embedded = embed_articles(
+                unlike.select("id", "title", "summary", "batch_seq"),
+                models.embed,
+                settings.embedding_dim,
+                settings.embed_max_chars,
+                models.idf,
+            )
+            # read in every round of the comparison
+            vectors = cut_lineage(embedded.select(F.col("id").alias("article_id"), "embedding", "batch_seq"))
+            known = tables.vectors
+            if cells is not None:
+                known = cells.visited(known, vectors, settings.vector_dedup_threshold)
+            kept = dedup_vectors_in_order(vectors, known, settings.vector_dedup_threshold)
+            kept = cut_lineage(kept.select(F.col("article_id").alias("id"), "embedding"), outlasting=True)
+        stored, new = _observed(unlike.join(kept, "id"), "stored", outlasting=True)
+    return stored, [*before, *new]
+
+
 def _counted_entities(entities: DataFrame, stored: DataFrame) -> tuple[DataFrame, list[tuple[str, str, int]]]:
     """``entities`` written once, and how many of them the articles of each source have."""
     written = cut_lineage(entities.select("id", "article_id", "text", "label"))
@@ -132,33 +178,12 @@ def ingest_batch(
     last 48 hours and within the run; vectors with all stored ones and with earlier feeds. Entities are taken
     from what is left, written and counted in the run itself, like the other stages.
     """
-    batch, fetched = _observed(_batch_numbers(batch), "fetched")
-    placed = batch.withColumn("ord", F.struct("source_seq", "batch_seq", "payload", "item_seq"))
-    fresh, new_urls = _observed(dedup_url(placed, tables.articles), "new_url")
-    hashes = fresh.select("id", "ord", simhash(article_text(fresh)).alias("simhash"))
-    recent = recent_simhashes(tables.articles, as_of, settings.simhash_window_hours)
-    unlike = dedup_simhash(hashes, recent, settings.simhash_threshold).select("id", "simhash")
-    unlike, new_hashes = _observed(fresh.join(unlike, "id"), "new_simhash")
-    embedded = embed_articles(
-        unlike.select("id", "title", "summary", "batch_seq"),
-        models.embed,
-        settings.embedding_dim,
-        settings.embed_max_chars,
-        models.idf,
-    )
-    # read in every round of the comparison
-    vectors = cut_lineage(embedded.select(F.col("id").alias("article_id"), "embedding", "batch_seq"))
-    known = tables.vectors
-    if cells is not None:
-        known = cells.visited(known, vectors, settings.vector_dedup_threshold)
-    kept = dedup_vectors_in_order(vectors, known, settings.vector_dedup_threshold)
-    kept = kept.select(F.col("article_id").alias("id"), "embedding")
-    stored, added = _observed(unlike.join(kept, "id"), "stored")
+    stored, stage_rows = _new_by_vector(batch, tables, as_of, models, settings, cells)
     entities, named = _counted_entities(extract_entities(stored, models.entities, models.gazetteer, settings.ner_max_chars), stored)
     # two sources and four stages at most
     counts, entity_counts = (
         stored.sparkSession.createDataFrame(rows, "source string, stage string, rows bigint")
-        for rows in ([*fetched, *new_urls, *new_hashes, *added], named)
+        for rows in (stage_rows, named)
     )
     log = counts.groupBy("source").agg(
         as_of.alias("started_at"),

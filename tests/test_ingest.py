@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from datetime import datetime, timedelta, timezone
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from newsloom.plans.jobs import run_cluster_job, run_retention_job
 from newsloom.plans.region import news_by_region
 from newsloom.plans.search import search_news
 from newsloom.plans.trending import trending_topics
+from newsloom.session import require_checkpoint_dir
 from newsloom.sources.feeds import FeedConfigError, with_defaults
 from newsloom.streaming.ingest import (
     cluster_stored,
@@ -181,6 +183,17 @@ def test_entities_are_found_in_the_run(spark):
     assert {r["source"]: r["rows"] for r in counts.collect()} == {"rss": 2, "gdelt": 1} and read.value == 3
 
 
+def test_a_run_leaves_only_what_it_gives(spark):
+    folder = Path(require_checkpoint_dir(spark).removeprefix("file:"))
+    tables = NewsTables.empty(spark).with_(feeds=feeds(spark))
+    rows = [("f1", i, f"u{i}", f"Story {i}", text_about(f"word{i}")) for i in range(4)]
+    batch, before = arrivals(entries(spark, rows), None, tables.feeds, as_of()), set(folder.iterdir())
+    run = ingest_batch(batch, tables, as_of(), settings=Settings(embedding_dim=32))
+    # the stored articles with their vectors, and the entities
+    assert len(set(folder.iterdir()) - before) == 2
+    assert run.articles.count() == run.vectors.count() == 4
+
+
 def test_result_does_not_depend_on_partitions(spark):
     tables = NewsTables.empty(spark).with_(feeds=feeds(spark))
     rows = [("f1" if i % 2 else "f2", i, f"u{i % 17}", f"Story {i % 5}", f"{LONG} number {i % 7} " * 2) for i in range(40)]

@@ -537,3 +537,29 @@ def test_searching_row_goes_once_to_a_block(spark):
     looking = dealt.drop("cell").select("*", F.col("id").alias("comp"), F.lit(2.0).alias("bound"))
     routed = reachability._route(looking, cells)
     assert routed.count() == routed.select("id", "block").distinct().count() == 400 * len(set(cells.block_of.tolist()))
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_passes_bound_what_a_block_join_shuffles(spark, monkeypatch, crowded):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(240, 6)) + (np.array([30, 0, 0, 0, 0, 0]) if crowded else 0)
+    df = spark.createDataFrame([(f"v{i:03}", [float(x) for x in v], i) for i, v in enumerate(rows)], "id string, embedding array<float>, seq long")
+    shuffled, compare = [], similarity._compare
+
+    def counted(left, right, *rest):
+        shuffled.append(left.count() + right.count())
+        return compare(left, right, *rest)
+
+    def found():
+        shuffled.clear()
+        got = similarity.top_matches(df, df, 2, 0.2, max_sent=0, block_rows=16)
+        return sorted((r.query_id, r.article_id, round(r.score, 6), r["rank"]) for r in got.collect())
+
+    # blocks of 16 rows or so, so that there are many copies of each side; chunks are dealt by hash, not evenly
+    monkeypatch.setattr(similarity, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(similarity, "_compare", counted)
+    at_once = found()
+    copies = shuffled[0]
+    monkeypatch.setattr(similarity, "PASS_BYTES", 1, raising=False)
+    assert found() == at_once and len(at_once) > 200
+    assert copies > 2 * 960 and len(shuffled) > 2 and max(shuffled) <= 1.25 * 960 and sum(shuffled) == copies
